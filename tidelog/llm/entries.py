@@ -15,6 +15,7 @@ from .minhash import op3_minhash_near_dedup
 from .mixing import op5_source_mixing
 from .personal import op10_personal_data
 from .secrets import op7_secret_scan
+from .suffixes import op8_suffix_array_dedup
 from .vectors import op6_embedding_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_source_mixing,
         op6_embedding_near_dedup,
         op7_secret_scan,
+        op8_suffix_array_dedup,
         op9_document_fingerprints,
         op10_personal_data,
     )
