@@ -27,14 +27,13 @@ string stands.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, table
+from .common import pieces, table
 from .hashing import _BYTE, _P, _P_INV, mix, powers, raw_text
 
 LENGTH, GRAM = 50, 20
@@ -226,18 +225,25 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 _HASHES = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("slices", pa.binary())])
 
 
-def _six(h: np.ndarray) -> bytes:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _pack(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each number, all first bytes first: bytes that are zero throughout compress away."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _unsix(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def _unpack(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
     return out.view("<u8").reshape(-1)
 
 
-def _anchor_hashes(parts: int):
+def hash_bytes(total_bytes: int) -> int:
+    """Bytes of an anchor's hash to send: about one in 256 anchors or fewer agrees with another by chance."""
+    return min(6, -(-(max(total_bytes, 1).bit_length() + 4) // 8))
+
+
+def _anchor_hashes(parts: int, width: int):
     """(hash, slice) once for each document, packed by part."""
+    low = np.uint64((1 << 8 * width) - 1)
 
     def run(batches):
         for batch in batches:
@@ -245,154 +251,154 @@ def _anchor_hashes(parts: int):
                 found = Anchors(*raw_text(piece.column(1)))
                 if not len(found.at):
                     continue
-                o = np.lexsort((found.doc, found.hash))
-                h, d = found.hash[o], found.doc[o]
+                o = np.lexsort((found.doc, found.hash & low))
+                h, d = found.hash[o] & low, found.doc[o]
                 keep = _starts(h, d)
                 h, s = h[keep], piece.column(0).to_numpy()[d[keep]].astype("<u4")
                 part = (h % np.uint64(parts)).astype(np.int32)
                 o = np.argsort(part, kind="stable")
                 h, s, part = h[o], s[o], part[o]
                 at = [*_starts(part).tolist(), len(part)]
-                rows = [(int(part[a]), _six(h[a:b]), s[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+                rows = [(int(part[a]), _pack(h[a:b], width), _pack(s[a:b], 4)) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _HASHES, strict=True)], schema=_HASHES)
 
     return run
 
 
 def _parts(batches, columns: list[str]):
-    """The values of some binary columns, joined for each run of equal parts."""
-    held: list[list[bytes]] = []
+    """Lists of the values of some columns, for each run of equal parts."""
+    held: list[tuple] = []
     at = None
     for batch in batches:
         for p, *values in zip(batch.column(0).to_pylist(), *(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns), strict=True):
             if p != at and held:
-                yield [b"".join(x) for x in zip(*held, strict=True)]
+                yield list(zip(*held, strict=True))
                 held = []
             at = p
-            held.append(values)
+            held.append(tuple(values))
     if held:
-        yield [b"".join(x) for x in zip(*held, strict=True)]
+        yield list(zip(*held, strict=True))
 
 
-def _repeated(batches):
+def _repeated(width: int):
     """Hashes of two or more documents, packed for each slice that holds them; bit 63 marks those of more than HOT_DOCS."""
-    for hashes, slices in _parts(batches, ["hashes", "slices"]):
-        h, s = _unsix(hashes), np.frombuffer(slices, "<u4")
-        o = np.argsort(h, kind="stable")
-        h, s = h[o], s[o]
-        a = _starts(h)
-        n = np.diff(np.append(a, len(h)))
-        many = np.repeat(n, n)
-        keep = many > 1
-        h, s, hot = h[keep], s[keep], many[keep] > HOT_DOCS
-        h = np.where(hot, h | HOT, h)
-        o = np.lexsort((h, s))
-        h, s = h[o], s[o]
-        keep = _starts(s, h)
-        h, s = h[keep], s[keep]
-        at = [*_starts(s).tolist(), len(s)]
-        if len(s):
-            rows = [(int(s[x]), h[x:y].astype("<u8").tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["slice", "blob"])
-
-
-#: One packed entry: key, document, check of its text, slice, first byte, bytes before the anchor, number of strings.
-_ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("check", "<u4"), ("slice", "<u4"), ("first", "<i4"), ("before", "u1"), ("many", "u1")])
-#: One packed removal: document, check of its text, first byte and end.
-_REMOVAL = np.dtype([("doc", "<i8"), ("check", "<u4"), ("start", "<i4"), ("stop", "<i4")])
-
-
-def _by_slice(batches):
-    """(slice, blobs, ids, texts) from rows sorted by slice with blobs first."""
-    at, blobs, ids, texts = None, [], [], []
-    for batch in batches:
-        for s, blob, i, t in zip(*(batch.column(c) for c in range(4)), strict=True):
-            s = s.as_py()
-            if s != at:
-                if at is not None:
-                    yield at, blobs, ids, texts
-                at, blobs, ids, texts = s, [], [], []
-            if blob.is_valid:
-                blobs.append(blob.as_py())
-            else:
-                ids.append(i.as_py())
-                texts.append(t.as_py().encode("utf-8", "surrogatepass"))
-    if at is not None:
-        yield at, blobs, ids, texts
-
 
-def _contexts(parts: int):
     def run(batches):
-        for number, blobs, ids, texts in _by_slice(batches):
-            known = np.unique(np.frombuffer(b"".join(blobs), "<u8")) if blobs else np.zeros(0, np.uint64)
-            if not len(known) or not texts:
-                continue
-            bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-            found = Anchors(b"".join(texts), bounds)
-            plain = known & ~HOT
-            o = np.argsort(plain, kind="stable")
-            plain, hot_of = plain[o], (known & HOT)[o] > 0
-            at = np.minimum(np.searchsorted(plain, found.hash), len(plain) - 1)
-            kept = plain[at] == found.hash
-            hot = hot_of[at][kept]
-            doc, first, last, place, key = (x[kept] for x in (found.doc, found.first, found.last, found.at, found.hash))
-            # A hot anchor's strings become entries of one string each.
-            many = np.where(hot, last - first + 1, 1)
-            rep = np.repeat(np.arange(len(doc)), many)
-            step = np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)
-            split = hot[rep]
-            f = first[rep] + np.where(split, step, 0)
-            l_ = np.where(split, f, last[rep])
-            d, p = doc[rep], np.where(split, f, place[rep])
-            stop = l_ + LENGTH
-            whole = found.hash_of(f, stop)
-            k = np.where(split, whole, key[rep])
-            # Documents come in ascending order: the first row of equal contexts has the smallest document.
-            o = np.lexsort((d, p - f, whole, k))
-            d, p, f, l_, stop, k, whole = (x[o] for x in (d, p, f, l_, stop, k, whole))
-            a = _starts(k, whole, p - f)
-            lead = np.repeat(d[a], np.diff(np.append(a, len(d))))
-            id_ = np.array(ids, np.int64)
-            check = np.array([zlib.crc32(t) for t in texts], np.uint32)
-            base = bounds[:-1][d]
-            later = id_[d] > id_[lead]
-            gone = np.zeros(int(later.sum()), _REMOVAL)
-            gone["doc"], gone["check"] = id_[d][later], check[d][later]
-            gone["start"], gone["stop"] = (f - base)[later], (stop - base)[later]
-            if len(gone):
-                yield _row(-1, number, _merged(gone).tobytes(), None)
-            keep = ~later
-            # Equal contexts of one document need be sent once for each place, and the text of each with it.
-            entry = np.zeros(int(keep.sum()), _ENTRY)
-            entry["key"], entry["doc"], entry["check"], entry["slice"] = k[keep], id_[d][keep], check[d][keep], number
-            entry["first"], entry["before"], entry["many"] = (f - base)[keep], (p - f)[keep], (l_ - f + 1)[keep]
-            part = (mix(entry["key"]) % np.uint64(parts)).astype(np.int32)
-            o = np.argsort(part, kind="stable")
-            entry, part, f, stop = entry[o], part[o], f[keep][o], stop[keep][o]
-            cuts = [*_starts(part).tolist(), len(part)]
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                if y > x:
-                    yield _row(int(part[x]), None, entry[x:y].tobytes(), b"".join(found.raw[u:v] for u, v in zip(f[x:y].tolist(), stop[x:y].tolist(), strict=True)))
+        for hashes, slices in _parts(batches, ["hashes", "slices"]):
+            h, s = np.concatenate([_unpack(x, width) for x in hashes]), np.concatenate([_unpack(x, 4) for x in slices])
+            o = np.argsort(h, kind="stable")
+            h, s = h[o], s[o]
+            a = _starts(h)
+            n = np.diff(np.append(a, len(h)))
+            many = np.repeat(n, n)
+            keep = many > 1
+            h, s, hot = h[keep], s[keep], many[keep] > HOT_DOCS
+            h = np.where(hot, h | HOT, h)
+            o = np.lexsort((h, s))
+            h, s = h[o], s[o]
+            keep = _starts(s, h)
+            h, s = h[keep], s[keep]
+            at = [*_starts(s).tolist(), len(s)]
+            if len(s):
+                rows = [(int(s[x]), h[x:y].astype("<u8").tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["slice", "blob"])
 
     return run
 
 
-def _row(part: int, number: int | None, blob: bytes, text: bytes | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([blob], pa.binary()), pa.array([text], pa.binary())], names=["part", "slice", "blob", "contexts"])
+#: Fields of an entry and their bytes: key, document, its number in its slice, slice, first byte, bytes before the anchor, number of strings.
+_ENTRY = {"key": 6, "doc": 8, "row": 4, "slice": 4, "first": 4, "before": 1, "many": 1}
+#: One removal: the document's number in its slice, first byte and end.
+_REMOVAL = np.dtype([("row", "<u4"), ("start", "<u4"), ("stop", "<u4")])
+
+
+def _documents(given: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    """Ids and texts of a slice in one order, however its rows come."""
+    rows = sorted(zip(given.column("doc_id").to_pylist(), (t.encode("utf-8", "surrogatepass") for t in given.column("text").to_pylist()), strict=True))
+    return np.array([r[0] for r in rows], np.int64), [r[1] for r in rows]
+
+
+_SENT = pa.schema([("part", pa.int32()), ("slice", pa.int32()), ("blob", pa.binary()), ("contexts", pa.binary())])
+
+
+def _contexts(parts: int, width: int):
+    low = np.uint64((1 << 8 * width) - 1)
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows or not answers.num_rows:
+            return _SENT.empty_table()
+        number = docs.column("slice")[0].as_py()
+        known = np.unique(np.frombuffer(b"".join(answers.column("blob").to_pylist()), "<u8"))
+        ids, texts = _documents(docs)
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        found = Anchors(b"".join(texts), bounds)
+        if not len(found.at):
+            return _SENT.empty_table()
+        plain = known & ~HOT
+        o = np.argsort(plain, kind="stable")
+        plain, hot_of = plain[o], (known & HOT)[o] > 0
+        sought = found.hash & low
+        at = np.minimum(np.searchsorted(plain, sought), len(plain) - 1)
+        kept = plain[at] == sought
+        hot = hot_of[at][kept]
+        doc, first, last, place, key = (x[kept] for x in (found.doc, found.first, found.last, found.at, found.hash))
+        # A hot anchor's strings become entries of one string each.
+        many = np.where(hot, last - first + 1, 1)
+        rep = np.repeat(np.arange(len(doc)), many)
+        step = np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)
+        split = hot[rep]
+        f = first[rep] + np.where(split, step, 0)
+        end = np.where(split, f, last[rep])
+        d, p = doc[rep], np.where(split, f, place[rep])
+        stop = end + LENGTH
+        whole = found.hash_of(f, stop)
+        k = np.where(split, whole, key[rep]) & np.uint64((1 << 48) - 1)
+        # Documents stand in ascending order: the first row of equal contexts has the smallest document.
+        o = np.lexsort((d, p - f, whole, k))
+        d, p, f, end, stop, k, whole = (x[o] for x in (d, p, f, end, stop, k, whole))
+        a = _starts(k, whole, p - f)
+        lead = np.repeat(d[a], np.diff(np.append(a, len(d))))
+        base = bounds[:-1][d]
+        later = ids[d] > ids[lead]
+        gone = _removals(d[later], (f - base)[later], (stop - base)[later])
+        rows = [(int(number) % parts, number, gone.tobytes(), None)] if len(gone) else []
+        d, p, f, end, stop, k, base = (x[~later] for x in (d, p, f, end, stop, k, base))
+        part = (mix(k) % np.uint64(parts)).astype(np.int32)
+        o = np.argsort(part, kind="stable")
+        d, p, f, end, stop, k, base, part = (x[o] for x in (d, p, f, end, stop, k, base, part))
+        fields = {"key": k, "doc": ids[d], "row": d, "slice": np.full(len(d), number), "first": f - base, "before": p - f, "many": end - f + 1}
+        cuts = [*_starts(part).tolist(), len(part)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            packed = b"".join(_pack(v[x:y], _ENTRY[c]) for c, v in fields.items())
+            rows.append((int(part[x]), None, packed, b"".join(found.raw[u:v] for u, v in zip(f[x:y].tolist(), stop[x:y].tolist(), strict=True))))
+        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT) if rows else _SENT.empty_table()
+
+    return run
+
+
+def _removals(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    gone = np.zeros(len(row), _REMOVAL)
+    gone["row"], gone["start"], gone["stop"] = row, start, stop
+    return _merged(gone)
+
+
+def _entries(blob: bytes) -> dict[str, np.ndarray]:
+    n, at, out = len(blob) // sum(_ENTRY.values()), 0, {}
+    for name, width in _ENTRY.items():
+        out[name] = _unpack(blob[at : at + n * width], width).view(np.int64)
+        at += n * width
+    return out
 
 
 def _merged(gone: np.ndarray) -> np.ndarray:
-    """Removals of each document with those that touch made one."""
-    gone = gone[np.lexsort((gone["start"], gone["check"], gone["doc"]))]
+    """Removals with those of one document that touch made one."""
+    gone = gone[np.lexsort((gone["start"], gone["row"]))]
     if not len(gone):
         return gone
-    run = np.zeros(len(gone), np.int64)
-    run[_starts(gone["doc"], gone["check"])] = 1
-    run = np.cumsum(run)
-    shift = run * (1 << 32)
+    shift = gone["row"].astype(np.int64) << 32
     reach = np.maximum.accumulate(gone["stop"].astype(np.int64) + shift)
     new = np.ones(len(gone), bool)
-    new[1:] = gone["start"][1:] + shift[1:] > reach[:-1]
+    new[1:] = gone["start"][1:].astype(np.int64) + shift[1:] > reach[:-1]
     at = np.flatnonzero(new)
     out = gone[at]
     out["stop"] = np.maximum.reduceat(gone["stop"], at)
@@ -413,83 +419,92 @@ def _shared_bytes(a: bytes, b: bytes) -> int:
     return low
 
 
-def _may_share(contexts: list[tuple[int, bytes]]) -> list[int]:
-    """Numbers of the contexts that agree around the anchor with a neighbour, in the order of what follows it, for LENGTH bytes or,
-    where others lie between, could. The text of the rest need not be sorted: it shares no string."""
-    if len(contexts) > 2:
-        return list(range(len(contexts)))
-    (p, a), (q, b) = contexts
-    right = _shared_bytes(a[p:], b[q:])
-    left = _shared_bytes(a[:p][::-1], b[:q][::-1])
-    return [0, 1] if left + right >= LENGTH else []
+def _agreements(sides: list[bytes]) -> list[int]:
+    """For each byte string the longest prefix that it shares with another."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    out = [0] * len(sides)
+    for x, y in zip(order[:-1], order[1:], strict=True):
+        n = _shared_bytes(sides[x], sides[y])
+        out[x] = max(out[x], n)
+        out[y] = max(out[y], n)
+    return out
+
+
+def shared_part(contexts: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
+    """Start and end of what each context of one anchor can share with another: as far as any agrees with it on either side."""
+    left = _agreements([raw[:p][::-1] for p, raw in contexts])
+    right = _agreements([raw[p:] for p, raw in contexts])
+    return [(p - a, p + b) for (p, _), a, b in zip(contexts, left, right, strict=True)]
+
+
+_FOUND = pa.schema([("slice", pa.int32()), ("blob", pa.binary())])
 
 
 def _settle(batches):
-    for blob, contexts in _parts(batches, ["blob", "contexts"]):
-        entry = np.frombuffer(blob, _ENTRY)
-        sizes = entry["many"].astype(np.int64) + LENGTH - 1
+    """What the entries of each part remove, by slice; removals that slices have found themselves pass through."""
+    for numbers, blobs, texts in _parts(batches, ["slice", "blob", "contexts"]):
+        passed = [(n, b) for n, b in zip(numbers, blobs, strict=True) if n is not None]
+        if passed:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*passed, strict=True), _FOUND, strict=True)], schema=_FOUND)
+        each = [_entries(b) for n, b in zip(numbers, blobs, strict=True) if n is None]
+        if not each:
+            continue
+        entry = {c: np.concatenate([e[c] for e in each]) for c in _ENTRY}
+        contexts = b"".join(t for t in texts if t is not None)
+        sizes = entry["many"] + LENGTH - 1
         ends = np.cumsum(sizes)
         o = np.lexsort((entry["doc"], entry["key"]))
-        key = entry["key"][o]
-        a = _starts(key)
+        a = _starts(entry["key"][o])
         n = np.diff(np.append(a, len(o)))
-        out = []
+        doc, before, many, tail, head = (x.tolist() for x in (entry["doc"], entry["before"], entry["many"], ends, ends - sizes))
+        out: list[tuple[int, int, int]] = []
         for x, m in zip(a[n > 1].tolist(), n[n > 1].tolist(), strict=True):
-            rows = o[x : x + m].tolist()
             by: dict[tuple[int, bytes], list[int]] = {}
-            for r in rows:
-                by.setdefault((int(entry["before"][r]), contexts[ends[r] - sizes[r] : ends[r]]), []).append(r)
+            for r in o[x : x + m].tolist():
+                by.setdefault((before[r], contexts[head[r] : tail[r]]), []).append(r)
             for same in by.values():
-                lead = entry["doc"][same[0]]
-                out += [(r, 0, int(entry["many"][r]) - 1) for r in same[1:] if entry["doc"][r] > lead]
-            if len(by) > 1:
-                kinds = list(by)
-                some = _may_share(kinds)
-                if some:
-                    owners = [int(entry["doc"][by[kinds[c]][0]]) for c in some]
-                    least = least_owner([kinds[c][1] for c in some], owners)
-                    for c, own, low in zip(some, owners, least, strict=True):
-                        hit = [i for i, v in enumerate(low) if v < own]
-                        out += [(r, i, i) for r in by[kinds[c]] if entry["doc"][r] == own for i in hit]
+                out += [(r, 0, many[r] - 1) for r in same[1:] if doc[r] > doc[same[0]]]
+            if len(by) < 2:
+                continue
+            kinds = list(by)
+            held = [(c, u, v) for c, (u, v) in enumerate(shared_part(kinds)) if v - u >= LENGTH]
+            if len(held) > 1:
+                owners = [doc[by[kinds[c]][0]] for c, _, _ in held]
+                least = least_owner([kinds[c][1][u:v] for c, u, v in held], owners)
+                for (c, u, _), own, lowest in zip(held, owners, least, strict=True):
+                    hit = [u + i for i, v in enumerate(lowest) if v < own]
+                    out += [(r, i, i) for r in by[kinds[c]] if doc[r] == own for i in hit]
         if not out:
             continue
         r, i, j = np.array(out).T
-        gone = np.zeros(len(r), _REMOVAL)
-        gone["doc"], gone["check"] = entry["doc"][r], entry["check"][r]
-        gone["start"], gone["stop"] = entry["first"][r] + i, entry["first"][r] + j + LENGTH
         number = entry["slice"][r]
         o = np.argsort(number, kind="stable")
-        gone, number = gone[o], number[o]
+        r, i, j, number = r[o], i[o], j[o], number[o]
+        start = entry["first"][r]
         cuts = [*_starts(number).tolist(), len(number)]
-        rows = [(int(number[x]), _merged(gone[x:y]).tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([q[0] for q in rows], pa.int32()), pa.array([q[1] for q in rows], pa.binary())], names=["slice", "blob"])
-
+        rows = [(int(number[x]), _removals(entry["row"][r[x:y]], (start + i)[x:y], (start + j + LENGTH)[x:y]).tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
+def _remove(digests: bool):
+    last = ("kept_sha256", pa.string()) if digests else ("kept", pa.binary())
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), last])
 
-def _remove(batches):
-    for _, blobs, ids, texts in _by_slice(batches):
-        gone = _merged(np.frombuffer(b"".join(blobs), _REMOVAL))
-        order = _starts(gone["doc"], gone["check"]) if len(gone) else np.zeros(0, np.int64)
-        where = {(int(gone["doc"][a]), int(gone["check"][a])): (a, b) for a, b in zip(order.tolist(), [*order[1:].tolist(), len(gone)], strict=True)}
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        ids, texts = _documents(docs)
+        gone = _merged(np.frombuffer(b"".join(found.column("blob").to_pylist()), _REMOVAL))
+        edge = np.searchsorted(gone["row"], np.arange(len(texts) + 1))
         rows = []
-        for i, t in zip(ids, texts, strict=True):
-            a, b = where.get((i, zlib.crc32(t)), (0, 0))
-            spans, at, kept = gone[a:b], 0, []
+        for n, (i, t) in enumerate(zip(ids.tolist(), texts, strict=True)):
+            spans, at, kept = gone[edge[n] : edge[n + 1]], 0, []
             for u, v in zip(spans["start"].tolist(), spans["stop"].tolist(), strict=True):
                 kept.append(t[at:u])
                 at = v
             left = b"".join([*kept, t[at:]])
-            rows.append((i, len(t), len(t) - len(left), b - a, left))
-        if rows:
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:4]), pa.array([r[4] for r in rows], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            rows.append((i, len(t), len(t) - len(left), len(spans), hashlib.sha256(left).hexdigest() if digests else left))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
 
-
-def _digests(batches):
-    for batch in _remove(batches):
-        kept = [hashlib.sha256(x.as_py()).hexdigest() for x in batch.column(4)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(kept)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -500,28 +515,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lose nothing.  Documents with a null id neither lose bytes nor count as
     smaller.  Rows with one id are one another's equals: none is smaller.  Other
     columns are not read; an empty table stays empty.
+
+    Texts are dealt into slices once: both meetings read the same exchange.
     """
     spark = docs.sparkSession
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     given = every.where("doc_id is not null")
-    total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, min(-(-int(total) // SLICE_BYTES), (1 << 31) - 1))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = given.select(F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"), F.lit(None).cast("binary").alias("blob"), "doc_id", "text")
-    sent = placed.select("slice", "text").mapInArrow(_anchor_hashes(parts), "part int, hashes binary, slices binary")
-    known = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_repeated, "slice int, blob binary")
-
-    def meet(blobs: DataFrame) -> DataFrame:
-        none = blobs.select("slice", "blob", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-        rows = placed.unionByName(none).repartition("slice")
-        return rows.sortWithinPartitions("slice", F.col("blob").isNull(), "doc_id")
-
-    cuts = cut(meet(known).mapInArrow(_contexts(parts), "part int, slice int, blob binary, contexts binary"))
-    settled = cuts.where("part >= 0").select("part", "blob", "contexts").repartition("part").sortWithinPartitions("part").mapInArrow(_settle, "slice int, blob binary")
-    found = settled.unionByName(cuts.where("part < 0").select("slice", "blob"))
+    total = int(given.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    slices = max(1, min(-(-total // SLICE_BYTES), (1 << 31) - 1))
+    parts, width = int(spark.conf.get("spark.sql.shuffle.partitions")), hash_bytes(total)
+    placed = given.select(F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"), "doc_id", "text")
+    sent = placed.select("slice", "text").mapInArrow(_anchor_hashes(parts, width), "part int, hashes binary, slices binary")
+    known = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_repeated(width), "slice int, blob binary")
+    cuts = placed.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(_contexts(parts, width), "part int, slice int, blob binary, contexts binary")
+    found = cuts.repartition("part").sortWithinPartitions("part").mapInArrow(_settle, "slice int, blob binary")
+    last = "kept_sha256 string" if digests else "kept binary"
+    out = placed.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(_remove(digests), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
     left = F.sha2("text", 256).alias("kept_sha256") if digests else F.col("text").cast("binary").alias("kept")
     nameless = every.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), left)
-    out = meet(found).mapInArrow(_digests if digests else _remove, SCHEMA.replace("kept binary", "kept_sha256 string") if digests else SCHEMA)
     return out.unionByName(nameless)
 
 
