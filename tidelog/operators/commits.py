@@ -62,6 +62,6 @@ def progress(acks: DataFrame, order: str) -> DataFrame:
 def transitions(states: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Each change of state with whether the state graph allows it."""
     before = F.coalesce(F.lag("state").over(Window.partitionBy(*keys).orderBy(order)), F.lit("UNSET"))
-    allowed = F.array(*[F.struct(F.lit(a), F.lit(b)) for a, b in [("UNSET", "NACKED"), ("UNSET", "CANCELED"), ("UNSET", "ACKED"), ("NACKED", "CANCELED"), ("NACKED", "ACKED"), ("CANCELED", "ACKED")]])
+    graph = ["UNSET>NACKED", "UNSET>CANCELED", "UNSET>ACKED", "NACKED>CANCELED", "NACKED>ACKED", "CANCELED>ACKED"]
     x = states.withColumn("before", before).where("before <> state")
-    return x.withColumn("allowed", F.array_contains(allowed, F.struct("before", "state")))
+    return x.withColumn("allowed", F.concat_ws(">", "before", "state").isin(graph))

@@ -232,9 +232,9 @@ def ring_min(v: Views) -> DataFrame:
     return windows.ring(v.log, ["topic"], "ts_ms", 3_600_000, 10, "value", "min")
 
 
-@query(RING.format(f="round(sum(sm) OVER w / sum(ct) OVER w, 6)", n="avg"))
+@query(RING.format(f="floor(sum(sm) OVER w / sum(ct) OVER w * 1000 + 0.0005) / 1000", n="avg"))
 def ring_avg(v: Views) -> DataFrame:
-    return windows.ring(v.log, ["topic"], "ts_ms", 3_600_000, 10, "value", "avg").withColumn("avg", F.round("avg", 6))
+    return windows.ring(v.log, ["topic"], "ts_ms", 3_600_000, 10, "value", "avg").withColumn("avg", F.floor(F.col("avg") * 1000 + 0.0005) / 1000)
 
 
 @query("SELECT topic, hour, max(vbytes) AS max_inflight, 0 AS min_inflight, CAST(sum(vbytes) // count(*) AS BIGINT) AS avg_inflight FROM (SELECT topic, ts_ms // 3600000 AS hour, vbytes FROM log) GROUP BY topic, hour")
@@ -269,8 +269,8 @@ def latency_issue(v: Views) -> DataFrame:
     return _latency(v).select("topic", F.when(F.col("n") < 1000, None).when(F.col("med") > 1000 / 20.0, "median-latency").when(F.col("mx") > 2000 / 20.0, "max-latency").alias("issue"))
 
 
-@query("""WITH b AS (SELECT topic, CAST(least(99, greatest(0, ceil((value - 0) / 2.0))) AS INT) AS b, count(*) AS c FROM log GROUP BY ALL), r AS (SELECT *, sum(c) OVER (PARTITION BY topic ORDER BY b) AS cum, floor(0.9 * sum(c) OVER (PARTITION BY topic)) AS pivot FROM b)
- SELECT topic, CASE WHEN min(pivot) <= 0 THEN 0.0 ELSE min(b) * 2.0 END AS percentile FROM r WHERE cum >= pivot GROUP BY topic""")
+@query("""WITH b AS (SELECT topic, CAST(least(99, greatest(0, ceil((value - 0) / 2.0))) AS INT) AS b, count(*) AS c FROM log GROUP BY ALL), r AS (SELECT *, sum(c) OVER (PARTITION BY topic ORDER BY b) AS cum, floor(0.9 * sum(c) OVER (PARTITION BY topic)) AS piv FROM b)
+ SELECT topic, CASE WHEN min(piv) <= 0 THEN 0.0 ELSE min(b) * 2.0 END AS percentile FROM r WHERE cum >= piv GROUP BY topic""")
 def hist_percentile(v: Views) -> DataFrame:
     return windows.histogram_percentile(v.log, ["topic"], "value", 0.0, 200.0, 0.9)
 
