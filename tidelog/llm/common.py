@@ -43,6 +43,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where the table has such a column already (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether a table that has been cut has at most so many rows (Parquet footers answer the count)."""
     return df.count() <= rows

@@ -36,6 +36,7 @@ def _probes() -> np.ndarray:
 
 
 _PROBES = _probes()
+_LANE = np.arange(BINS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def densify(bins: np.ndarray) -> np.ndarray:
@@ -64,7 +65,8 @@ def fingerprints(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     place = owner * BINS + (values & np.uint64(BINS - 1)).astype(np.int64)
     np.minimum.at(bins, place, values >> np.uint64(8))
     full = densify(bins.reshape(n, BINS))
-    low = (mix(full) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    # The bin is hashed along: copies of one value then agree by chance in each bin on its own.
+    low = (mix(full + _LANE) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     low[counts == 0] = 0
     return (low[:, 0::2] << 4) | low[:, 1::2]
 

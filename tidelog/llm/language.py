@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hint_small, pieces, table
+from .common import cut, hint_small, pieces, table, unused
 from .hashing import raw_text
 
 BUCKETS = 1 << 14
@@ -224,9 +224,10 @@ def accepted_documents(docs: DataFrame) -> DataFrame:
 
     A document with a letter is kept unless its text looks like no language at all.
     """
-    told = identify_documents(docs).where("accepted").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).dropDuplicates(["_id"])
-    names = [F.col("_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns]
-    return docs.join(told, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*names)
+    id_, lang = unused(docs, "_id", "_lang")
+    told = identify_documents(docs).where("accepted").select(F.col("doc_id").alias(id_), F.col("lang").alias(lang)).dropDuplicates([id_])
+    names = [F.col(lang).alias("lang") if c == "lang" else F.col(c) for c in docs.columns]
+    return docs.join(told, F.col("doc_id").eqNullSafe(F.col(id_))).select(*names)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

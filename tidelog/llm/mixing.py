@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_FREE, cut, table
+from .common import SPACE_FREE, cut, table, unused
 
 SHARES = (1.0, 2.0, 3.0)
 MOST = 3.0
@@ -78,14 +78,8 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     raise AssertionError
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every document.
-
-    Size: runs of non-space characters, null text 0.  Null sources are one
-    source, the last.  taken is size times the copies taken, 0 to 3.  Repeated
-    ids share a point, so they are taken together.  Other columns are not read;
-    an empty table stays empty, and words are never split off a document.
-    """
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, of, size, source_size, target, times): of is the source, times how often the mix takes the document."""
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(SPACE_FREE)), F.lit(0)).cast("long")
     sized = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")))
     sums = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -97,13 +91,27 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = cut(plan.join(below.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("of"), "source_size", "target", "copies", F.coalesce("below", F.lit(0)).alias("below")))
     joined = sized.join(full, F.col("source").eqNullSafe(F.col("of")))
     times = F.col("copies") + (point(F.col("doc_id")) < F.col("below")).cast("long")
-    return joined.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.least(times, F.lit(int(MOST)))).alias("taken"))
+    return joined.select("doc_id", "of", "size", "source_size", F.col("target").cast("double").alias("target"), F.least(times, F.lit(int(MOST))).alias("times"))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every document.
+
+    Size: runs of non-space characters, null text 0.  Null sources are one
+    source, the last.  taken is size times the copies taken, 0 to 3.  Repeated
+    ids share a point, so they are taken together.  Other columns are not read;
+    an empty table stays empty, and words are never split off a document.
+    """
+    return mix_rows(docs, id_col, text_col, source_col).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def repeat_documents(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them: none, one or more rows of each, in the columns of docs."""
-    mixed = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.expr("cast(taken div size as int)").alias("_times")).dropDuplicates(["_id"])
-    return docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    id_, of, times, copy = unused(docs, "_id", "_of", "_times", "_copy")
+    # times depends on the id and the source alone, so repeated ids need no more than that.
+    mixed = mix_rows(docs).where("times > 0").select(F.col("doc_id").alias(id_), F.col("of").alias(of), F.col("times").cast("int").alias(times)).distinct()
+    same = [F.col("doc_id").eqNullSafe(F.col(id_)), F.col("source").eqNullSafe(F.col(of))]
+    return docs.where(F.col("text").rlike(SPACE_FREE)).join(mixed, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:

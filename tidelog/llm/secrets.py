@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hint_small, table
+from .common import cut, hint_small, table, unused
 from .spans import joined, match_spans
 
 #: Fixed values of the base kinds: (kind, pattern, group that holds the value, least length of the value, words of which the lower-cased text must hold one).
@@ -112,10 +112,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
 
     Columns and rows stay as they are, but n_chars, where there is one, follows the text.
     """
-    marked = judged(scan(docs, id_col, text_col, owner_col)).select(F.col("doc_id").alias("_id"), F.col("check").alias("_check"), F.filter("spans", lambda s: s["live"]).alias("_spans"))
-    marked = cut(marked.where(F.size("_spans") > 0).dropDuplicates(["_id", "_check"]))
+    id_, check, spans = unused(docs, "_id", "_check", "_spans")
+    marked = judged(scan(docs, id_col, text_col, owner_col)).select(F.col("doc_id").alias(id_), F.col("check").alias(check), F.filter("spans", lambda s: s["live"]).alias(spans))
+    marked = cut(marked.where(F.size(spans) > 0).dropDuplicates([id_, check]))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    same = [F.col(id_col).cast("long").eqNullSafe(F.col("_id")), F.xxhash64(text) == F.col("_check")]
+    same = [F.col(id_col).cast("long").eqNullSafe(F.col(id_)), F.xxhash64(text) == F.col(check)]
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -123,10 +124,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
         mask = F.when(s["start"] >= acc["at"], F.lit(MASK)).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], between, mask).alias("out"))
 
-    masked = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    both = docs.join(hint_small(marked, BROADCAST_ROWS // 5), same, "left").withColumn(text_col, F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col(text_col)))
+    masked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    both = docs.join(hint_small(marked, BROADCAST_ROWS // 5), same, "left").withColumn(text_col, F.when(F.col(spans).isNotNull(), masked).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
+        both = both.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
     return both.select(*docs.columns)
 
 
