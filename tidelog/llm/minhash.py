@@ -32,9 +32,9 @@ from .hashing import document_sets_of, mix
 
 BANDS, ROWS = 32, 4
 NUMERATOR, DENOMINATOR = 75, 100
-BLOCK_HASHES = 400_000
-BLOCK_ROWS = 1_000
-BROADCAST_ROWS = 1_000_000
+BLOCK_HASHES = 150_000
+BLOCK_ROWS = 300
+BROADCAST_ROWS = 200_000
 
 _LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
