@@ -236,6 +236,16 @@ def _unpack(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def _squeeze(raw: bytes) -> bytes:
+    """The bytes compressed more closely than the shuffle would, after their number."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _expand(held: bytes) -> bytes:
+    size = int.from_bytes(held[:8], "little")
+    return pa.decompress(held[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def hash_bytes(total_bytes: int) -> int:
     """Bytes of an anchor's hash to send: about one in 256 anchors or fewer agrees with another by chance."""
     return min(6, -(-(max(total_bytes, 1).bit_length() + 4) // 8))
@@ -370,7 +380,7 @@ def _contexts(parts: int, width: int):
         cuts = [*_starts(part).tolist(), len(part)]
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             packed = b"".join(_pack(v[x:y], _ENTRY[c]) for c, v in fields.items())
-            rows.append((int(part[x]), None, packed, b"".join(found.raw[u:v] for u, v in zip(f[x:y].tolist(), stop[x:y].tolist(), strict=True))))
+            rows.append((int(part[x]), None, packed, _squeeze(b"".join(found.raw[u:v] for u, v in zip(f[x:y].tolist(), stop[x:y].tolist(), strict=True)))))
         return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT) if rows else _SENT.empty_table()
 
     return run
@@ -450,7 +460,7 @@ def _settle(batches):
         if not each:
             continue
         entry = {c: np.concatenate([e[c] for e in each]) for c in _ENTRY}
-        contexts = b"".join(t for t in texts if t is not None)
+        contexts = b"".join(_expand(t) for t in texts if t is not None)
         sizes = entry["many"] + LENGTH - 1
         ends = np.cumsum(sizes)
         o = np.lexsort((entry["doc"], entry["key"]))
@@ -526,9 +536,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts, width = int(spark.conf.get("spark.sql.shuffle.partitions")), hash_bytes(total)
     placed = given.select(F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"), "doc_id", "text")
     sent = placed.select("slice", "text").mapInArrow(_anchor_hashes(parts, width), "part int, hashes binary, slices binary")
-    known = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_repeated(width), "slice int, blob binary")
+    known = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_repeated(width), "slice int, blob binary")
     cuts = placed.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(_contexts(parts, width), "part int, slice int, blob binary, contexts binary")
-    found = cuts.repartition("part").sortWithinPartitions("part").mapInArrow(_settle, "slice int, blob binary")
+    found = cuts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_settle, "slice int, blob binary")
     last = "kept_sha256 string" if digests else "kept binary"
     out = placed.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(_remove(digests), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
     left = F.sha2("text", 256).alias("kept_sha256") if digests else F.col("text").cast("binary").alias("kept")
