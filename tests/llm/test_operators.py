@@ -72,6 +72,35 @@ def test_large_clusters_meet_in_blocks(spark, monkeypatch):
     test_near_duplicates(spark)
 
 
+def test_linked_pairs_join_what_brute_force_joins():
+    rng = np.random.default_rng(5)
+    for n, cut_at in ((2, 1), (9, 7), (9, 2), (40, 20)):
+        sets = [np.unique(rng.integers(0, 24, 20)).astype(np.uint64) for _ in range(n)]
+        left = np.arange(n) < cut_at
+        for within in (True, False):
+            truth = []
+            for a in range(n):
+                for b in range(a):
+                    both = len(np.intersect1d(sets[a], sets[b]))
+                    if (within or left[a] != left[b]) and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                        truth.append((a, b))
+            got = minhash.linked_pairs(sets, left, within)
+            assert {(max(e), min(e)) for e in got} <= set(truth)
+            assert closure(set(range(n)), got) == closure(set(range(n)), truth)
+
+
+def test_followers_of_a_head_that_link_only_among_themselves(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 2)
+    words = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(12):  # a chain: neighbours are alike, the ends are not
+        rows.append((k, " ".join(words[k * 4 : k * 4 + 60])))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [(i, shingles(t)) for i, t in rows]
+    links = [(a, b) for k, (a, s) in enumerate(sets) for b, t in sets[:k] if 100 * len(s & t) >= 75 * len(s | t)]
+    assert links and got == closure({i for i, _ in sets}, links)
+
+
 def test_sketch_likeness():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)

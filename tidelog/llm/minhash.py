@@ -10,10 +10,15 @@ is equal with probability J.
    set and the band keys.  Equal digests are one class; its smallest id stands for it.
 2. Documents that share a band key with a class hang on the key's smallest id
    (an aggregate and a join); their components are the candidate clusters.
-3. A cluster is dealt into blocks of bounded bytes; every pair of blocks meets
-   once, where all intersections are counted on the full sets and only a
-   spanning forest of the true links leaves the task.
-4. Components of those forests, carried back to the copies.
+3. In a cluster of more than one block's bytes or rows each document is compared
+   with the one head that it shares most bands with: a hub's followers are dealt
+   into parts, each with its own copy of the hub, so this is linear in the cluster.
+   A cluster that this joins into one is done.
+4. A small cluster is one block.  In a large one still in several parts the largest
+   part is dealt into blocks, the rest into others, and every pair of blocks but
+   those inside the largest part meets once.  All intersections are counted on the
+   full sets, and only a spanning forest of the true links leaves the task.
+5. Components of all links, carried back to the copies.
 
 Bands: 32 of 4 rows.  A pair at exactly 0.75 is missed with probability
 (1 - 0.75**4)**32 < 6e-6.
@@ -23,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Forest, by_pieces, cut, hint_small, runs, table
@@ -100,43 +105,112 @@ def _first(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def _joined(both: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes with so many members in common are linked."""
+    return DENOMINATOR * both >= NUMERATOR * (one + others - both)
+
+
 def linked_pairs(sets: list[np.ndarray], left: np.ndarray, within: bool) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of sets with 100 * |both| >= 75 * |either|.
 
-    left marks the first block; pairs across the blocks are compared, and with
-    `within` those inside as well.  All intersections are exact.
+    left marks the first block.  With `within` all pairs are compared, else each
+    set of the smaller block with all of the other.  All intersections are exact.
     """
-    sizes = np.array([len(s) for s in sets])
-    _, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.arange(len(sets)) if within else np.argsort(left if 2 * left.sum() > len(left) else ~left, kind="stable")
+    first = len(sets) - 1 if within else int(min(left.sum(), len(left) - left.sum()))
+    dealt = [sets[k] for k in order]
+    sizes = np.array([len(s) for s in dealt])
+    _, inverse = np.unique(np.concatenate(dealt), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
     flags = np.zeros(int(inverse.max()) + 1, np.uint8)
     forest, edges = Forest(len(sets)), []
-    for i in range(len(sets) - 1):
+    for i in range(first):
         own = inverse[starts[i] : starts[i] + sizes[i]]
+        to = i + 1 if within else first
         flags[own] = 1
-        shared = np.add.reduceat(flags[inverse[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1], dtype=np.int64)
+        shared = np.add.reduceat(flags[inverse[starts[to] :]], starts[to:] - starts[to], dtype=np.int64)
         flags[own] = 0
-        good = DENOMINATOR * shared >= NUMERATOR * (sizes[i] + sizes[i + 1 :] - shared)
-        if not within:
-            good &= left[i + 1 :] != left[i]
-        for j in (np.flatnonzero(good) + i + 1).tolist():
+        for j in (np.flatnonzero(_joined(shared, sizes[i], sizes[to:])) + to).tolist():
             if forest.root(i) != forest.root(j):
                 forest.join(i, j)
-                edges.append((i, j))
+                edges.append((int(order[i]), int(order[j])))
     return edges
 
 
+def _sets(group: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes").combine_chunks()]
+
+
+def _links(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _verify_heads(batches):
+    for group in runs(batches, ["head", "part"]):
+        ids, head = group.column("doc_id").to_numpy(), group.column("head")[0].as_py()
+        sets, hub = _sets(group), int(np.flatnonzero(ids == head)[0])
+        sizes = np.array([len(s) for s in sets])
+        own, every = np.sort(sets[hub]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+        shared = np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+        good = _joined(shared, sizes[hub], sizes)
+        good[hub] = False
+        if good.any():
+            yield _links(ids[good], np.full(good.sum(), head))
+
+
 def _verify(batches):
     for group in runs(batches, ["cluster", "i", "j"]):
-        if group.num_rows < 2:
-            continue
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        ids = group.column("doc_id").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes").combine_chunks()]
-        edges = linked_pairs(sets, group.column("block").to_numpy() == i, i == j)
+        left = group.column("block").to_numpy() == i
+        if group.num_rows < 2 or (i != j and (left.all() or not left.any())):
+            continue
+        edges = linked_pairs(_sets(group), left, i == j)
         if edges:
             a, b = np.array(edges).T
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["u", "v"])
+            ids = group.column("doc_id").to_numpy()
+            yield _links(ids[a], ids[b])
+
+
+def _parts(total: Column, rows: Column) -> Column:
+    """Into how many parts of bounded bytes and rows sets are dealt."""
+    return F.greatest(F.ceil(total / BLOCK_HASHES), F.ceil(rows / BLOCK_ROWS), F.lit(1)).cast("int")
+
+
+def _dealt(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), parts).cast("int")
+
+
+def head_links(held: DataFrame) -> DataFrame:
+    """(u, v): the documents of held, in clusters of more than one block, that are linked with their own head."""
+    large = cut(held.groupBy("cluster").agg(_parts(F.sum("n_shingles"), F.count("*")).alias("blocks")).where("blocks > 1").select("cluster"))
+    held = held.join(hint_small(large, BROADCAST_ROWS), "cluster")
+    led = held.where("head is not null")
+    fans = cut(led.groupBy("head").agg(_parts(F.sum("n_shingles"), F.count("*")).alias("parts")))
+    few = hint_small(fans, BROADCAST_ROWS)
+    members = led.join(few, "head").select("head", _dealt(F.col("parts")).alias("part"), "doc_id", "hashes")
+    hubs = held.select("doc_id", "hashes").join(few.withColumnRenamed("head", "doc_id"), "doc_id")
+    hubs = hubs.select(F.col("doc_id").alias("head"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc_id", "hashes")
+    return cut(members.unionByName(hubs).repartition("head", "part").sortWithinPartitions("head", "part").mapInArrow(_verify_heads, "u long, v long"))
+
+
+def block_links(held: DataFrame, linked: DataFrame) -> DataFrame:
+    """(u, v): links between what `linked` leaves apart in one cluster, as spanning forests of pairs of blocks."""
+    named = hint_small(cut(components(linked).withColumnsRenamed({"node": "doc_id"})), BROADCAST_ROWS)
+    told = held.join(named, "doc_id", "left").withColumn("piece", F.coalesce("component", "doc_id"))
+    pieces = told.groupBy("cluster", "piece").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
+    most = pieces.groupBy("cluster").agg(F.max(F.struct("n", "total", "piece")).alias("main"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("*").alias("pieces"))
+    one = _parts(F.col("total"), F.col("n")) == 1
+    mains = F.when(one, F.lit(0)).otherwise(_parts(F.col("main.total"), F.col("main.n")))
+    others = F.when(one, F.lit(1)).otherwise(_parts(F.col("total") - F.col("main.total"), F.col("n") - F.col("main.n")))
+    apart = cut(most.where("pieces > 1").select("cluster", F.col("main.piece").alias("main"), mains.alias("mains"), others.alias("others")))
+    dealt = told.join(hint_small(apart, BROADCAST_ROWS), "cluster").withColumn("inner", (F.col("mains") > 0) & (F.col("piece") == F.col("main")))
+    dealt = dealt.withColumn("block", F.when(F.col("inner"), _dealt(F.col("mains"))).otherwise(F.col("mains") + _dealt(F.col("others"))))
+    least = F.when(F.col("inner"), F.col("mains")).otherwise(F.lit(0))
+    paired = dealt.withColumn("other", F.explode(F.sequence(least, F.col("mains") + F.col("others") - 1))).select(
+        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "hashes"
+    )
+    return cut(paired.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verify, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,18 +233,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = single.select("doc_id", F.posexplode("keys").alias("band", "key"))
     heads = cut(banded.groupBy("band", "key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"))
     stars = banded.join(hint_small(heads, BROADCAST_ROWS), ["band", "key"]).where("doc_id <> head").select(F.col("doc_id").alias("u"), F.col("head").alias("v"))
-    clusters = cut(components(stars).withColumnsRenamed({"node": "doc_id", "component": "cluster"}))
-    held = cut(single.join(hint_small(clusters, BROADCAST_ROWS), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "cluster", "n_shingles", "hashes"))
-    sized = cut(
-        held.groupBy("cluster")
-        .agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n"))
-        .select("cluster", F.greatest(F.ceil(F.col("total") / BLOCK_HASHES), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int").alias("blocks"))
-    )
-    dealt = held.join(hint_small(sized, BROADCAST_ROWS), "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "hashes"
-    )
-    links = cut(paired.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verify, "u long, v long"))
+    shared = cut(stars.groupBy("u", "v").agg(F.count("*").alias("n")))
+    nearest = shared.groupBy("u").agg(F.max(F.struct("n", (-F.col("v")).alias("v"))).alias("best")).select(F.col("u").alias("doc_id"), (-F.col("best.v")).alias("head"))
+    clusters = cut(components(shared).withColumnsRenamed({"node": "doc_id", "component": "cluster"}).join(nearest, "doc_id", "left"))
+    held = cut(single.join(hint_small(clusters, BROADCAST_ROWS), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "cluster", "head", "n_shingles", "hashes"))
+    near = head_links(held)
+    links = near.unionByName(block_links(held, near))
     found = cut(components(links).withColumnsRenamed({"node": "rep", "component": "least"}))
     named = first.select("doc_id", "n_shingles", "d1", "d2").join(few, ["d1", "d2"], "left")
     named = named.withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
