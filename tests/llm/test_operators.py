@@ -321,6 +321,7 @@ def test_repeats(spark):
 def test_repeats_with_hot_anchors(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT_DOCS", 2)
     monkeypatch.setattr(suffixes, "SLICE_BYTES", 3000)
+    monkeypatch.setattr(suffixes, "PART_BYTES", 10_000)
     test_repeats(spark)
 
 

@@ -14,8 +14,9 @@ No text of the corpus' size is ever sorted.  A string of LENGTH bytes holds an
 anchor: the leftmost least hash of its GRAM-byte strings, the same wherever the
 string stands.
 
-1. Each document sends its anchors' hashes; those in one document only are out.
-2. Documents meet the hashes left in slices of bounded bytes, cut out the context
+1. Documents are dealt into slices of bounded bytes; each slice sends its anchors'
+   hashes, once with their numbers of documents.  Those of one document are out.
+2. The slices meet the hashes left, cut out the context
    of each anchor (the bytes of all strings that it anchors), and send each
    context once for a slice.
 3. Contexts of one anchor are joined to one text; its suffix array tells which of
@@ -33,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table
-from .hashing import _BYTE, _P, _P_INV, mix, powers, raw_text
+from .common import table
+from .hashing import _BYTE, _P, _P_INV, mix, powers
 
 LENGTH, GRAM = 50, 20
 STRIDE = LENGTH - GRAM + 1
 SLICE_BYTES = 2 << 20
+PART_BYTES = 128 << 20
 HOT_DOCS = 2_000
 HOT = np.uint64(1 << 63)
 
@@ -222,7 +224,7 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-_HASHES = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("slices", pa.binary())])
+_HASHES = pa.schema([("part", pa.int32()), ("slice", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary())])
 
 
 def _pack(x: np.ndarray, width: int) -> bytes:
@@ -252,25 +254,28 @@ def hash_bytes(total_bytes: int) -> int:
 
 
 def _anchor_hashes(parts: int, width: int):
-    """(hash, slice) once for each document, packed by part."""
+    """The hashes of a slice, each once with the number of its documents there, packed by part."""
     low = np.uint64((1 << 8 * width) - 1)
 
-    def run(batches):
-        for batch in batches:
-            for piece in pieces(batch, "text", SLICE_BYTES):
-                found = Anchors(*raw_text(piece.column(1)))
-                if not len(found.at):
-                    continue
-                o = np.lexsort((found.doc, found.hash & low))
-                h, d = found.hash[o] & low, found.doc[o]
-                keep = _starts(h, d)
-                h, s = h[keep], piece.column(0).to_numpy()[d[keep]].astype("<u4")
-                part = (h % np.uint64(parts)).astype(np.int32)
-                o = np.argsort(part, kind="stable")
-                h, s, part = h[o], s[o], part[o]
-                at = [*_starts(part).tolist(), len(part)]
-                rows = [(int(part[a]), _pack(h[a:b], width), _pack(s[a:b], 4)) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _HASHES, strict=True)], schema=_HASHES)
+    def run(docs: pa.Table) -> pa.Table:
+        number = docs.column("slice")[0].as_py()
+        texts = [t.encode("utf-8", "surrogatepass") for t in docs.column("text").to_pylist()]
+        found = Anchors(b"".join(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
+        if not len(found.at):
+            return _HASHES.empty_table()
+        o = np.lexsort((found.doc, found.hash & low))
+        h, d = found.hash[o] & low, found.doc[o]
+        h = h[_starts(h, d)]
+        at = _starts(h)
+        # More than HOT_DOCS is all that matters; one document is packed as 0.
+        n = np.minimum(np.diff(np.append(at, len(h))), HOT_DOCS + 1) - 1
+        h = h[at]
+        part = (h % np.uint64(parts)).astype(np.int32)
+        o = np.argsort(part, kind="stable")
+        h, n, part = h[o], n[o], part[o]
+        at = [*_starts(part).tolist(), len(part)]
+        rows = [(int(part[a]), number, _pack(h[a:b], width), _pack(n[a:b], 2)) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _HASHES, strict=True)], schema=_HASHES)
 
     return run
 
@@ -294,20 +299,18 @@ def _repeated(width: int):
     """Hashes of two or more documents, packed for each slice that holds them; bit 63 marks those of more than HOT_DOCS."""
 
     def run(batches):
-        for hashes, slices in _parts(batches, ["hashes", "slices"]):
-            h, s = np.concatenate([_unpack(x, width) for x in hashes]), np.concatenate([_unpack(x, 4) for x in slices])
+        for slices, hashes, docs in _parts(batches, ["slice", "hashes", "docs"]):
+            h, m = np.concatenate([_unpack(x, width) for x in hashes]), np.concatenate([_unpack(x, 2) for x in docs]).astype(np.int64) + 1
+            s = np.repeat(np.array(slices, np.int64), [len(x) // width for x in hashes])
             o = np.argsort(h, kind="stable")
-            h, s = h[o], s[o]
+            h, s, m = h[o], s[o], m[o]
             a = _starts(h)
-            n = np.diff(np.append(a, len(h)))
-            many = np.repeat(n, n)
+            many = np.repeat(np.add.reduceat(m, a), np.diff(np.append(a, len(h))))
             keep = many > 1
             h, s, hot = h[keep], s[keep], many[keep] > HOT_DOCS
             h = np.where(hot, h | HOT, h)
             o = np.lexsort((h, s))
             h, s = h[o], s[o]
-            keep = _starts(s, h)
-            h, s = h[keep], s[keep]
             at = [*_starts(s).tolist(), len(s)]
             if len(s):
                 rows = [(int(s[x]), h[x:y].astype("<u8").tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
@@ -526,16 +529,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smaller.  Rows with one id are one another's equals: none is smaller.  Other
     columns are not read; an empty table stays empty.
 
-    Texts are dealt into slices once: both meetings read the same exchange.
+    Texts are dealt into slices once: all three steps read the same exchange.
+    The parts in which hashes and contexts meet stand for PART_BYTES of text each or less.
     """
     spark = docs.sparkSession
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     given = every.where("doc_id is not null")
     total = int(given.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     slices = max(1, min(-(-total // SLICE_BYTES), (1 << 31) - 1))
-    parts, width = int(spark.conf.get("spark.sql.shuffle.partitions")), hash_bytes(total)
+    parts, width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES)), hash_bytes(total)
     placed = given.select(F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"), "doc_id", "text")
-    sent = placed.select("slice", "text").mapInArrow(_anchor_hashes(parts, width), "part int, hashes binary, slices binary")
+    sent = placed.groupBy("slice").applyInArrow(_anchor_hashes(parts, width), "part int, slice int, hashes binary, docs binary")
     known = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_repeated(width), "slice int, blob binary")
     cuts = placed.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(_contexts(parts, width), "part int, slice int, blob binary, contexts binary")
     found = cuts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_settle, "slice int, blob binary")
