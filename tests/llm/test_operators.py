@@ -248,6 +248,29 @@ def test_licenses(spark):
     assert len(licenses.rules()) > 300 and all(re.compile(r[3]) for r in licenses.rules())
 
 
+def test_texts_with_many_matches(spark):
+    for n in (0, 1, 255, 256, 257, 600):
+        text = ("deadbeef" * 4 + " é ") * n
+        got = secrets.secret_report(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+        assert got.n_hex == n and got.spans == ",".join(f"hex:{35 * i}:{35 * i + 32}" for i in range(n))
+
+
+def test_suppression_is_that_of_all_pairs(spark):
+    texts = ["the MIT License, all rights reserved. " * 3, "Licensed under the GNU General Public License v3, GPL-3.0. SPDX-License-Identifier: GPL-3.0-only", "license: MIT; cc by-nc-sa 4.0 https://creativecommons.org/licenses/by-nc-sa/4.0/ New BSD License", documents()[-5][1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("low", F.lower("text")).withColumn("check", F.lit(1).cast("long"))
+    got = {r.doc_id: {(f.start, f.stop, f.rule) for f in r.found} for r in licenses.detections(df, spark).collect()}
+    for i, text in enumerate(texts):
+        plain, every = text.translate(LOWER), []
+        if any(s in text.lower() for s in licenses.STEMS):
+            for rule, _, keyword, pattern, priority, _ in licenses.rules():
+                if keyword in plain:
+                    every += [(m.start(), m.end(), rule, priority) for m in re.finditer(pattern, plain)]
+        order = lambda d: (d[3], d[0] - d[1], d[2])
+        want = {d[:3] for d in every if not any(e[0] <= d[0] and e[1] >= d[1] and order(e) < order(d) for e in every)}
+        assert got.get(i, set()) == want
+    assert len(got) >= 3
+
+
 def test_suppression(spark):
     df = spark.createDataFrame([(1, "Licensed under the Apache License, Version 2.0."), (2, "the MIT License and also the MIT License")], "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.license_report(df).collect()}

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, table
@@ -154,12 +154,15 @@ def detections(docs: DataFrame, spark: SparkSession) -> DataFrame:
     # The rule table has a fixed number of rows.
     tried = met.join(F.broadcast(rule_table(spark)), "keyword").where(F.expr("plain rlike pattern"))
     each = tried.select("doc_id", "check", "rule", "label", "priority", "weight", F.explode(match_spans(F.col("plain"), F.col("pattern"))).alias("s"))
-    size = (F.col("s")["start"] - F.col("s")["stop"]).alias("less")
-    one = F.struct(F.col("s")["start"].alias("start"), F.col("s")["stop"].alias("stop"), "priority", size, "rule", "label", "weight")
-    grouped = each.dropDuplicates(["doc_id", "check", "rule", "s"]).groupBy("doc_id", "check").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    order = lambda d: F.struct(d["priority"], d["less"], d["rule"])
-    kept = F.filter("all", lambda d: ~F.exists("all", lambda e: (e["start"] <= d["start"]) & (e["stop"] >= d["stop"]) & (order(e) < order(d))))
-    return grouped.select("doc_id", "check", kept.alias("found"))
+    spans = each.repartition("doc_id", "check").dropDuplicates(["doc_id", "check", "rule", "s"]).select("doc_id", "check", "rule", "label", "priority", "weight", "s.start", "s.stop")
+    # Whatever suppresses a detection stands before it in this order, has no higher priority number and reaches its end.
+    before = Window.partitionBy("doc_id", "check").orderBy("start", F.desc("stop"), "priority", "rule").rowsBetween(Window.unboundedPreceding, -1)
+    levels = sorted({r[4] for r in rules()})
+    reach = {p: F.max(F.when(F.col("priority") <= p, F.col("stop"))).over(before) for p in levels}
+    told = spans.select("*", *[r.alias(f"reach{p}") for p, r in reach.items()])
+    own = F.coalesce(*[F.when(F.col("priority") == p, F.col(f"reach{p}")) for p in levels], F.lit(-1))
+    one = F.struct("start", "stop", "priority", "rule", "label", "weight")
+    return told.where(own < F.col("stop")).groupBy("doc_id", "check").agg(F.array_sort(F.collect_list(one)).alias("found"))
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
