@@ -2,13 +2,18 @@
 
 A vector is described by its PREFIX nearest reference points in order of
 nearness.  Reference points ("pivots") are a bounded sample of the vectors
-themselves, fewer than MAX_PIVOTS, drawn by hash.  Two vectors are candidates
-when they share at least SHARED pivots.  Every pair that shares so many must
-meet in one of the PREFIX - SHARED + 1 rarest pivots of either (a common order
-by list length), so only those are posted to the inverted lists.  A list is
-dealt into blocks; each pair of blocks is one group, counted where the pair's
-rarest shared posting is, so a pair is verified once and never leaves the task:
-what leaves is each vector's number of links and a spanning forest.
+themselves, at most MAX_PIVOTS, drawn by hash and thinned so that no two have a
+cosine above APART: a large group of near copies gives one pivot and not most.
+Two vectors are candidates when they have the same nearest pivot (their home)
+or share at least SHARED pivots.  Two vectors that link with one pivot have it
+as their home, since all others are farther, so such a pair is never missed.
+Every pair that shares SHARED pivots must meet in one of the
+PREFIX - SHARED + 1 rarest pivots of either (a common order by list length), so
+only those are posted to the inverted lists, and the home to a list of its own.
+A list is dealt into blocks; each pair of blocks is one group, counted at the
+home where that is the same and else where the pair's rarest shared posting is,
+so a pair is verified once and never leaves the task: what leaves is each
+vector's number of links and a spanning forest.
 
 Rows whose length of vector has no pivots of its own share one list, compared
 in blocks without an index.
@@ -26,6 +31,8 @@ from .components import components
 
 THRESHOLD = 0.98
 MAX_PIVOTS = 2048
+#: Twice the angle of THRESHOLD is less than the angle of APART.
+APART = 0.9
 PREFIX, SHARED = 8, 4
 POSTED = PREFIX - SHARED + 1
 BLOCK_ROWS = 1_000
@@ -47,13 +54,24 @@ def normalised(column: pa.ListArray) -> list[np.ndarray | None]:
 
 
 def choose_pivots(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """Pivots by length of vector: the `count` rows of least id hash (at most MAX_PIVOTS), repeats dropped."""
-    rows = vectors.where("embedding is not null").select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(count).collect()
-    by: dict[int, dict] = {}
+    """Pivots by length of vector: of the MAX_PIVOTS rows of least id hash the first `count` that are not close to an earlier one."""
+    rows = vectors.where("embedding is not null").select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(MAX_PIVOTS).collect()
+    by: dict[int, list] = {}
     for v in normalised(pa.array([r["embedding"] for r in rows], pa.list_(pa.float64()))):
         if v is not None:
-            by.setdefault(len(v), {})[v.tobytes()] = v
-    return {d: np.array(list(x.values())) for d, x in by.items() if len(x) >= PREFIX}
+            by.setdefault(len(v), []).append(v)
+    apart = {d: thinned(np.array(x), count) for d, x in by.items()}
+    return {d: x for d, x in apart.items() if len(x) >= PREFIX}
+
+
+def thinned(units: np.ndarray, count: int) -> np.ndarray:
+    """The first `count` unit vectors whose cosine with each one taken before is at most APART."""
+    free, taken = np.ones(len(units), bool), []
+    for i in range(len(units)):
+        if free[i] and len(taken) < count:
+            taken.append(i)
+            free &= units @ units[i] <= APART
+    return units[taken]
 
 
 def nearest(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -92,7 +110,8 @@ def count_links(units: np.ndarray, weight: np.ndarray, side: np.ndarray, within:
     """Links of each row to the others of its group, as sums of weights, and a spanning forest of them.
 
     near, posts: pivot numbers and, of these, the posted ones, in rarest-first order; None compares all pairs.
-    A pair counts only if it shares SHARED pivots and if `pivot` is its rarest shared posting.
+    A pair of one home (first pivot of near) counts in the list of that home alone, any other only if it shares
+    SHARED pivots and if `pivot` is its rarest shared posting.
     """
     n = len(units)
     sums, forest, edges = np.zeros(n, np.int64), Forest(n), []
@@ -105,6 +124,8 @@ def count_links(units: np.ndarray, weight: np.ndarray, side: np.ndarray, within:
         i, j = np.nonzero(good)
         i, j = i + a, j + a
         if near is not None and len(i):
+            apart = near[i, 0] != near[j, 0]
+            i, j = i[apart], j[apart]
             shared = (near[i][:, :, None] == near[j][:, None, :]).any(axis=2).sum(axis=1) >= SHARED
             i, j = i[shared], j[shared]
             both = (posts[i][:, :, None] == posts[j][:, None, :]).any(axis=2)
@@ -126,6 +147,7 @@ def _verify(batches):
         i, j, pivot = (group.column(c)[0].as_py() for c in ("i", "j", "pivot"))
         ids = group.column("vec_id").to_numpy()
         units = np.frombuffer(b"".join(group.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
+        # Below 0 all pairs count: -1 for vectors without pivots, -2 and less for homes.
         lists = None if pivot < 0 else [np.array(group.column(c).to_pylist()) for c in ("near", "posts")]
         sums, edges = count_links(units, group.column("weight").to_numpy(), group.column("block").to_numpy(), i == j, *(lists or (None, None)), pivot)
         linked = np.flatnonzero(sums)
@@ -160,7 +182,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     ranks = lists.groupBy("dim").agg(F.map_from_entries(F.collect_list(F.struct("pivot", F.struct("n", "pivot")))).alias("rank"))
     rarest = F.slice(F.transform(F.array_sort(F.transform("near", lambda p: F.col("rank")[p])), lambda r: r["pivot"]), 1, POSTED)
     posted = single.join(F.broadcast(ranks), "dim", "left").withColumn("posts", F.when(F.col("near").isNotNull(), rarest))
-    posted = posted.withColumn("pivot", F.explode(F.coalesce("posts", F.array(F.lit(-1))))).drop("rank")
+    posted = posted.withColumn("pivot", F.explode(F.coalesce(F.concat("posts", F.array(-2 - F.col("near")[0])), F.array(F.lit(-1))))).drop("rank")
     sizes = cut(posted.groupBy("label", "dim", "pivot").agg(F.count("*").alias("n")).where("n > 1").select("label", "dim", "pivot", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")))
     dealt = posted.join(hint_small(sizes, BROADCAST_ROWS), ["label", "dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
