@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency, in built-in functions only.
 
 A scan finds candidate spans of each kind.  Hashes of the candidates' values are
-aggregated by owner and then over owners: a value that many owners carry is a
-copied example, one that stays with few owners looks live.  Rows are
+aggregated by owner and then over owners: a value that many owners carry, in as
+many repositories, is a copied example; one that stays with few owners, or in
+few repositories (the forks of one), looks live.  Rows are
 pre-aggregated by (value, owner), so a value that a third of all documents hold
 is as many rows as it has owners.
 """
@@ -23,8 +24,16 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]+", 0, 16, ["akia"]),
     ("hex", r"[0-9a-f]{32,}", 0, 32, []),
 ]
+_KEY = r"(?: [A-Z0-9]{1,20}){0,4} PRIVATE KEY-----"
+_BREAK = r"(?:\s|\\[nr])"
+#: What stands before the END line; without one, the lines of base64 that follow (possessive, so that no match recurses).
+_BODY = (
+    rf"(?:[^-]*+-(?!----))*+[^-]*+(?=-----END{_KEY})"
+    rf"|(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:{_BREAK}++[A-Za-z0-9+/=]{{16,}}+)++(?:(?:\r?\n|\\n)[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=[ \t]*+(?:[\r\n]|\\n|\z)))?+"
+    r"|"
+)
 MORE = [
-    ("key", r"-----BEGIN(?: [A-Z0-9]{1,20}){0,4} PRIVATE KEY-----", 0, 1, ["-----begin"]),
+    ("key", rf"-----BEGIN{_KEY}({_BODY})(?:-----END{_KEY})?+", 1, 0, ["-----begin"]),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, ["eyj"]),
     ("forge", r"(?:gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_-]{20,})", 0, 1, ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-"]),
     ("chat", r"xox[abeoprs]-[A-Za-z0-9-]{10,}", 0, 1, ["xox"]),
@@ -36,6 +45,8 @@ MORE = [
 KINDS = BASE + MORE
 EXAMPLE_OWNERS = 3
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|change_me|placeholder|your[_-]|xxxx|0000000|1234567|abcdef"
+#: In longer key bodies a placeholder's letters stand by chance.
+DUMMY_KEY_CHARS = 200
 BROADCAST_ROWS = 500_000
 MASK = "[SECRET]"
 SPANS = "array<struct<start:int,rank:int,kind:string,stop:int,hash:bigint,dummy:boolean>>"
@@ -46,9 +57,12 @@ def find_spans(text: Column, low: Column) -> Column:
 
     def one(rank: int, kind: str, pattern: str, group: int, least: int, words: list[str]) -> Column:
         found = F.filter(match_spans(text, F.lit(pattern), group), lambda s: F.length(s["value"]) >= least)
+        # One key is one value however its lines are broken.
+        value = lambda s: F.regexp_replace(s["value"], _BREAK, "") if kind == "key" else s["value"]
+        dummy = lambda s: s["value"].rlike(PLACEHOLDER) & (F.lit(kind != "key") | (F.length(value(s)) < DUMMY_KEY_CHARS))
         made = F.transform(
             found,
-            lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["stop"].alias("stop"), F.xxhash64(s["value"]).alias("hash"), s["value"].rlike(PLACEHOLDER).alias("dummy")),
+            lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["stop"].alias("stop"), F.xxhash64(value(s)).alias("hash"), dummy(s).alias("dummy")),
         )
         gate = reduce(lambda a, b: a | b, [low.contains(w) for w in words]) if words else text.rlike(pattern)
         return F.when(gate, made).otherwise(F.array().cast(SPANS))
@@ -70,12 +84,17 @@ def ownership(scanned: DataFrame, one_repo_a_row: bool = True) -> DataFrame:
     if not one_repo_a_row:
         seen = seen.distinct()
     by_owner = seen.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repos"))
+    owners = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repos"))
+    if one_repo_a_row:
+        return owners
+    # A repository under several owners is one.
+    repos = seen.groupBy("hash", "repo").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("repos"))
+    return owners.select("hash", "owners").join(repos, "hash")
 
 
 def judged(scanned: DataFrame, one_repo_a_row: bool = True, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """The scanned rows with spans marked: live is false for copied examples and placeholders."""
-    wide = cut(ownership(scanned, one_repo_a_row).where(F.col("owners") >= example_owners).select("hash", F.lit(True).alias("copied")))
+    wide = cut(ownership(scanned, one_repo_a_row).where((F.col("owners") >= example_owners) & (F.col("repos") >= example_owners)).select("hash", F.lit(True).alias("copied")))
     rows = scanned.where(F.size("spans") > 0).select("doc_id", "check", "spans").dropDuplicates(["doc_id", "check"])
     each = rows.select("doc_id", "check", F.explode("spans").alias("s")).withColumn("hash", F.col("s")["hash"])
     told = each.join(hint_small(wide, BROADCAST_ROWS), "hash", "left").withColumn("live", F.col("copied").isNull() & ~F.col("s")["dummy"])
