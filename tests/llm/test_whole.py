@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
+import re
+
 import numpy as np
 
-from tidelog.llm import secrets, vectors
+from tidelog.llm import licenses, secrets, vectors
 
 
 def test_vectors_of_a_hot_group(spark):
@@ -42,3 +44,43 @@ def test_forks_of_one_repository_are_no_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
     got = {r.doc_id: r.n_live for r in secrets.secret_report(df, repo_col="repo").collect()}
     assert got == {0: 1, 1: 1, 2: 1, 9: 0, 10: 0, 11: 0}
+
+
+def always_holds(parsed, word):
+    """Whether every match of a parsed pattern holds the word, as far as one run of literals shows it."""
+    run = ""
+    for op, value in parsed:
+        name = str(op)
+        run = run + chr(value) if name == "LITERAL" else ""
+        if word in run:
+            return True
+        if name == "SUBPATTERN" and always_holds(value[-1], word) or name == "BRANCH" and all(always_holds(b, word) for b in value[1]):
+            return True
+    return False
+
+
+def test_every_match_of_a_license_rule_holds_its_keyword():
+    for _, _, keyword, pattern, *_ in licenses.rules():
+        assert always_holds(re._parser.parse(pattern), keyword), (keyword, pattern)
+        gate = licenses.GATES.get(keyword)
+        assert gate is None or gate in pattern
+
+
+def test_licenses_without_a_common_stem(spark):
+    want = {
+        "Released under the GPLv3": "gpl",
+        "the 3-clause BSD": "bsd-3-clause",
+        "MIT No Attribution": "mit-0",
+        "see mozilla.org/MPL/2.0": "mpl-2.0",
+        "see eclipse.org/legal/epl-v20": "epl-2.0",
+        "see scripts.sil.org/OFL": "ofl-1.1",
+        "as is without warranties": "no-warranty",
+        "released into the public\ndomain": "public-domain",
+        "Creative\nCommons Attribution": "cc-by",
+        "under cc\nby-sa": "cc-by-sa",
+        "Do What The Fun You Want To Public License": "wtfpl",
+        "commit the account": "",
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.license_report(df).collect()}
+    assert all(label in got[i] for i, label in enumerate(want.values()))

@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, in built-in functions only.
 
 A rule has a keyword, a pattern, a priority (lower comes first) and a weight.
-A document meets the patterns of only those rules whose keyword its lower-cased
-text holds.  A detection is dropped if its interval lies inside that of a
+Every match of a rule's pattern holds its keyword, so a document meets the
+patterns of only those rules whose keyword its lower-cased text holds.  A detection is dropped if its interval lies inside that of a
 detection of lower priority number, or of equal number that is longer or, at
 equal length, of an earlier rule.
 """
@@ -23,9 +23,6 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: A text without any of these words meets no rule.
-STEMS = ["licen", "copyright", "rights reserved", "public domain", "creativecommons", "creative commons", "spdx", "copyleft", "unlicense", "proprietary", "confidential", "warranty", "(c)", "cc by", "cc-by", "cc0"]
-
 _V = r"(?:,?\s+(?:version|v\.?)\s*|[\s-]+v?)"
 #: (label, keyword, name, SPDX identifiers as a pattern, address as a pattern or "")
 FAMILIES = [
@@ -69,7 +66,7 @@ FAMILIES = [
     ("openssl", "openssl", r"openssl\s+licen[cs]e", "openssl", ""),
     ("ofl-1.1", "font", rf"sil\s+open\s+font\s+licen[cs]e(?:{_V}1\.1)?", r"ofl-1\.1", r"scripts\.sil\.org/ofl"),
     ("odbl-1.0", "database", r"open\s+database\s+licen[cs]e", r"odbl-1\.0", r"opendatacommons\.org/licenses/odbl"),
-    ("wtfpl", "wtf", r"do\s+what\s+the\s+f\S+\s+you\s+want\s+to\s+public\s+licen[cs]e|wtfpl\s+licen[cs]e", "wtfpl", ""),
+    ("wtfpl", "licen", r"do\s+what\s+the\s+f\S+\s+you\s+want\s+to\s+public\s+licen[cs]e|wtfpl\s+licen[cs]e", "wtfpl", ""),
     ("unlicense", "unlicense", r"(?:the\s+)?unlicense", "unlicense", r"unlicense\.org"),
     ("cc0-1.0", "cc0", r"cc0(?:[\s-]+1\.0)?(?:\s+universal)?", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero"),
 ]
@@ -80,7 +77,7 @@ NOTICES = [
     ("reserved", "rights", r"some\s+rights\s+reserved", 3, 0.4),
     ("copyright", "copyright", r"copyright\s+(?:\(c\)\s+|©\s*)?(?:19|20)\d\d(?:\s*[-,]\s*(?:19|20)\d\d)*", 3, 0.4),
     ("copyright", "(c)", r"\(c\)\s+(?:19|20)\d\d", 4, 0.3),
-    ("public-domain", "public domain", r"(?:released\s+(?:in)?to|in|dedicated\s+to)\s+the\s+public\s+domain", 3, 0.6),
+    ("public-domain", "domain", r"(?:released\s+(?:in)?to|in|dedicated\s+to)\s+the\s+public\s+domain", 3, 0.6),
     ("proprietary", "proprietary", r"proprietary\s+(?:and\s+confidential|licen[cs]e|software)", 3, 0.5),
     ("proprietary", "confidential", r"confidential\s+and\s+proprietary", 3, 0.5),
     ("no-warranty", "warrant", r"without\s+warranty\s+of\s+any\s+kind|as\s+is[\"']?\s+without\s+warrant(?:y|ies)", 4, 0.2),
@@ -118,6 +115,12 @@ def rules() -> list[tuple]:
     return [(i, *r) for i, r in enumerate(out)]
 
 
+#: Every rule's keyword; a text without any of these words meets no rule.
+STEMS = sorted({r[2] for r in rules()})
+#: What else every match of a keyword's rules holds, where the keyword is a part of common words and has many rules.
+GATES = {"cc": r"cc[\s-]+by", "creative": r"creative\s+commons"}
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rules(), SCHEMA)
 
@@ -148,9 +151,9 @@ def base_places(low: Column, plain: Column) -> Column:
 
 def detections(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """(doc_id, check, found): kept detections of each document that has any, by start."""
-    held = docs.where(_any([F.col("low").contains(s) for s in STEMS])).select("doc_id", "check", F.translate("text", UPPER, LOWER).alias("plain"))
-    words = sorted({r[2] for r in rules()})
-    met = held.withColumn("keyword", F.explode(F.array_compact(F.array(*[F.when(F.col("plain").contains(w), F.lit(w)) for w in words]))))
+    read = docs.select("doc_id", "check", F.translate("text", UPPER, LOWER).alias("plain"))
+    gate = lambda w: F.col("plain").contains(w) & F.col("plain").rlike(GATES[w]) if w in GATES else F.col("plain").contains(w)
+    met = read.withColumn("keyword", F.explode(F.array_compact(F.array(*[F.when(gate(w), F.lit(w)) for w in STEMS]))))
     # The rule table has a fixed number of rows.
     tried = met.join(F.broadcast(rule_table(spark)), "keyword").where(F.expr("plain rlike pattern"))
     each = tried.select("doc_id", "check", "rule", "label", "priority", "weight", F.explode(match_spans(F.col("plain"), F.col("pattern"))).alias("s"))
