@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidelog.llm import bpe, fingerprint, hashing, language, licenses, minhash, mixing, personal, secrets, suffixes, vectors
 from tidelog.llm.components import components
 
@@ -84,11 +85,61 @@ def test_linked_pairs_join_what_brute_force_joins():
                     both = len(np.intersect1d(sets[a], sets[b]))
                     if (within or left[a] != left[b]) and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
                         truth.append((a, b))
-            got = minhash.linked_pairs(sets, left, within)
+            got = minhash.linked_pairs(sets, np.zeros(n, bool) if within else left)
             assert {(max(e), min(e)) for e in got} <= set(truth)
             assert closure(set(range(n)), got) == closure(set(range(n)), truth)
 
 
+def jaccard_closure(rows):
+    sets = [(i, shingles(t)) for i, t in rows]
+    links = [(a, b) for k, (a, s) in enumerate(sets) for b, t in sets[:k] if s and t and 100 * len(s & t) >= 75 * len(s | t)]
+    return closure({i for i, _ in sets}, links)
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 3])
+def test_near_duplicates_of_one_id_with_several_texts(spark, order):
+    rng = random.Random(order)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(80)) for x in "abc")
+    rows = [(10, a), (10, b), (20, a + " more"), (30, b + " more"), (30, c), (40, c + " end"), (50, ""), (50, c), (60, "  "), (5, a), (10, a), (7, None), (7, b)]
+    rng.shuffle(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = jaccard_closure(rows)
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, _worded string, row int"), "")
+    left = kept.collect()
+    assert sorted(r.doc_id for r in left if (r.text or "").strip()) == sorted({want[i] for i, t in rows if (t or "").strip()} & {i for i, t in rows if (t or "").strip()})
+    assert kept.columns == ["doc_id", "text", "_worded", "row"]
+
+
+@pytest.mark.parametrize("leaders", [0, 2, 100])
+def test_large_cluster_with_settled_trees(spark, monkeypatch, leaders):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(minhash, "LEADERS", leaders)
+    rng = random.Random(leaders)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[k * 4 : k * 4 + 60])) for k in range(30)]
+    rows += [(100 + k, " ".join(words[:40] + [f"x{rng.randrange(9)}" for _ in range(3)] + words[40:60])) for k in range(40)]
+    rows += [(200 + k, " ".join(rng.sample(words[:60], 30) + words[:30])) for k in range(10)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == jaccard_closure(rows)
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "bb", "é", "x" * 40, "y" * 700]) for _ in range(n)) for n in (3, 60, 400)] + ["z" * 3000 + " a b c d e f"]
+    whole = [hashing.document_sets_of(pa.array([t])) for t in texts]
+    plain = [hashing.document_shingles([t]) for t in texts]
+    monkeypatch.setattr(hashing, "LONG", 100)
+    monkeypatch.setattr(hashing.segments, "__defaults__", (100,))
+    for t, (v, n), (s, m) in zip(texts, whole, plain, strict=True):
+        got = hashing.document_sets_of(pa.array([t]))
+        assert got[0].tolist() == v.tolist() and got[1].tolist() == n.tolist() == [len(shingles(t))]
+        got = hashing.document_shingles([t])
+        assert got[0].tolist() == s.tolist() and got[1].tolist() == m.tolist()
+
+
 def test_followers_of_a_head_that_link_only_among_themselves(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 2)
     words = [f"w{k}" for k in range(120)]

@@ -16,30 +16,45 @@ SPACE_FREE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of a batch that goes to a Python worker: a batch of long texts so holds fewer rows, whatever the session's row limit.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, where it has no closer bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str((1 << 31) - 1)).rstrip("bB") or 0) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a new one of this machine only in local mode."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            at = current.get()
-        else:
-            at = tempfile.mkdtemp(prefix="tidelog-")
-            spark.sparkContext.setCheckpointDir(at)
-            at = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        context = spark.sparkContext
+        current = context._jsc.sc().getCheckpointDir()
+        if not current.isDefined():
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
+            current = context._jsc.sc().getCheckpointDir()
+        at = current.get()
     return at.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read back from a Parquet table in the shared folder: later reads don't repeat the work,
-    and a lost executor costs no more than its own tasks."""
+    and a lost executor costs no more than its own tasks.  The table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,10 +8,15 @@ bytes are never white space, so byte words are the words of the text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 SHINGLE_WORDS = 5
+#: Texts of more bytes are hashed in parts, so that arrays of 8 bytes a byte are made of one part at a time.
+LONG = 1 << 20
 
+#: The multipliers of a published 64-bit finaliser.
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 _P = 0x9E3779B97F4A7C15 | 1
@@ -120,10 +125,58 @@ def encode_batch(texts) -> tuple[bytes, np.ndarray]:
     return b"".join(parts), bounds
 
 
+def segments(raw: bytes, most: int = LONG) -> Iterator[bytes]:
+    """The bytes in parts of about `most` that end between words; a longer word makes its part longer."""
+    at = 0
+    while at < len(raw):
+        to = at + most
+        if to < len(raw):
+            space = np.flatnonzero(_SPACE[np.frombuffer(raw, np.uint8, most, at)])
+            while not len(space) and to < len(raw):
+                space = np.flatnonzero(_SPACE[np.frombuffer(raw, np.uint8, min(most, len(raw) - to), to)])
+                if len(space):
+                    space = space[:1] + (to - at)
+                else:
+                    to += most
+            to = at + int(space[-1]) + 1 if len(space) else len(raw)
+        yield raw[at:to]
+        at = to
+
+
+def long_shingles(raw: bytes, k: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
+    """Shingle hashes of one long text in order, part by part; the last k - 1 words are carried over."""
+    held, some = np.zeros(0, np.uint64), False
+    for part in segments(raw):
+        words, _ = word_hashes(part, np.array([0, len(part)]))
+        held = np.concatenate([held, words])
+        if len(held) >= k:
+            yield shingle_hashes(held, np.array([len(held)]), k)[0]
+            held, some = held[1 - k :], True
+    if len(held) and not some:
+        yield shingle_hashes(held, np.array([len(held)]), k)[0]
+
+
 def document_shingles(texts) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes and their numbers for a batch of texts."""
-    raw, bounds = encode_batch(texts)
-    return shingle_hashes(*word_hashes(raw, bounds))
+    """Shingle hashes and their numbers for a batch of texts; long ones are taken part by part."""
+    values, counts, short = [], [], []
+
+    def flush() -> None:
+        if short:
+            v, n = shingle_hashes(*word_hashes(*encode_batch(short)))
+            values.append(v)
+            counts.append(n)
+            short.clear()
+
+    for t in texts:
+        if t is not None and len(t) > LONG:
+            flush()
+            own = list(long_shingles(t.encode("utf-8", "surrogatepass")))
+            values += own
+            counts.append(np.array([sum(map(len, own))]))
+        else:
+            short.append(t)
+    flush()
+    return (np.concatenate(values), np.concatenate(counts)) if counts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def distinct_sets(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,4 +207,9 @@ def raw_text(column) -> tuple[bytes, np.ndarray]:
 def document_sets_of(column) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each row of an Arrow string column, and their numbers."""
     raw, bounds = raw_text(column)
+    if len(bounds) == 2 and len(raw) > LONG:
+        one = np.zeros(0, np.uint64)
+        for values in long_shingles(raw):
+            one = np.union1d(one, values)
+        return one, np.array([len(one)])
     return distinct_sets(*shingle_hashes(*word_hashes(raw, bounds)))

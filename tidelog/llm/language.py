@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hint_small, pieces, table, unused
+from .common import cut, hint_small, pieces, table
 from .hashing import raw_text
 
 BUCKETS = 1 << 14
-TRAIN_ROWS = 2_000
+#: Sampled documents of each language, and how many languages (each takes BUCKETS numbers in every worker).
+TRAIN_ROWS = 500
+MOST_LANGUAGES = 256
 MOST_EVIDENCE = 40.0
 HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 8.0, 4.0, 20.0
 REJECT_BELOW = 0.5
@@ -63,17 +65,27 @@ def trigrams(raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (code & np.uint32(BUCKETS - 1)).astype(np.int64), np.diff(np.searchsorted(at, bounds))
 
 
+def sampled(docs: DataFrame, lang_col: str, rows: int) -> DataFrame:
+    """(text, lang) of about `rows` labelled documents of each of the MOST_LANGUAGES most frequent languages, or all there are.
+
+    A language's documents are taken by a threshold on a hash of the whole row
+    that its number of rows sets, so no language is missed however rare it is,
+    none is sorted, and rows that share an id are not taken together.
+    """
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col("text").isNotNull()).select("text", F.col(lang_col).cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("mark"))
+    many = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    # At most MOST_LANGUAGES rows.
+    known = many.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    share = F.pmod(F.col("mark"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return labelled.join(F.broadcast(known), "lang").where(share * F.col("n") < rows).select("text", "lang")
+
+
 def train(docs: DataFrame, lang_col: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages, and log probabilities (languages x BUCKETS), from the `rows` labelled documents of least id hash.
+    """Languages, and log probabilities (languages x BUCKETS), from about `rows` labelled documents of each language.
 
     Counts are made on the executors; what comes to the driver is at most
     BUCKETS sums for each language.
     """
-    mark = F.xxhash64("doc_id")
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col("text").isNotNull())
-    last = labelled.select(mark.alias("h")).orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()["h"]
-    if last is None:
-        return [], np.zeros((0, BUCKETS))
 
     def run(batches):
         for batch in batches:
@@ -84,7 +96,7 @@ def train(docs: DataFrame, lang_col: str = "lang", rows: int = TRAIN_ROWS) -> tu
                     sums = np.bincount(codes[np.repeat(langs == name, counts)], minlength=BUCKETS)
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sums.astype(np.int64)], pa.list_(pa.int64()))], names=["lang", "n"])
 
-    counted = labelled.where(mark <= last).select("text", F.col(lang_col).alias("lang")).mapInArrow(run, "lang string, n array<bigint>")
+    counted = sampled(docs, lang_col, rows).mapInArrow(run, "lang string, n array<bigint>")
     each = counted.select("lang", F.posexplode("n").alias("bucket", "n")).where("n > 0").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("sums")).collect()
     table_ = {}
     for r in each:
@@ -93,16 +105,35 @@ def train(docs: DataFrame, lang_col: str = "lang", rows: int = TRAIN_ROWS) -> tu
             row[b] += n
         table_[r["lang"]] = np.log(row / row.sum())
     names = sorted(table_)
-    return names, np.array([table_[n] for n in names])
+    return names, np.array([table_[n] for n in names]).reshape(-1, BUCKETS)
 
 
-_HIDDEN = re.compile(r"<(script|style|nav|footer|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_OPEN = re.compile(r"<!--|<(script|style|nav|footer|noscript)\b", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "nav", "footer", "noscript")} | {"": re.compile("-->")}
 _TAG = re.compile(r"<[^<>]*>")
 
 
+def without_hidden(page: str) -> str:
+    """The page with a space for each comment, script, style and navigation; one that is never closed stays.
+
+    One scan forward: a kind of which no end was found is not sought again, so the time is linear in the page.
+    """
+    out, kept, at, endless = [], 0, 0, set()
+    while (m := _OPEN.search(page, at)) is not None:
+        kind = (m[1] or "").lower()
+        end = None if kind in endless else _CLOSE[kind].search(page, m.end())
+        if end is None:
+            endless.add(kind)
+            at = m.end()
+        else:
+            out += [page[kept : m.start()], " "]
+            kept = at = end.end()
+    return "".join([*out, page[kept:]])
+
+
 def visible_text(page: str | None) -> str:
     """The text of a page without markup, scripts, styles, navigation and comments."""
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page or "")))
+    return html.unescape(_TAG.sub(" ", without_hidden(page or "")))
 
 
 def text_verdict(names: list[str], logs: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,26 +145,32 @@ def text_verdict(names: list[str], logs: np.ndarray, codes: np.ndarray, counts:
     return tempered - tempered.max(axis=1, keepdims=True), noise
 
 
-def _score(given: DataFrame, names: list[str], logs: np.ndarray, markup: bool) -> DataFrame:
-    """given: (key, text, declared, host, suffix) -> the same without text, with ll array and noise."""
+def evidence(names: list[str], logs: np.ndarray, markup: bool):
+    """A column function: (ll, noise) of a text, piece by piece so that memory is bounded by the longest text."""
     floor = -1e9
 
-    def run(batches):
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                column = piece.column(1)
-                if markup:
-                    column = pa.array([visible_text(t) for t in column.to_pylist()], pa.string())
-                raw, bounds = raw_text(column)
-                codes, counts = trigrams(raw, bounds)
-                ll, noise = text_verdict(names, logs, codes, counts)
-                noise |= ~has_letters(raw, bounds)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), *(piece.column(i) for i in (2, 3, 4)), pa.array(list(np.maximum(ll, floor)), pa.list_(pa.float64())), pa.array(noise)],
-                    names=["key", "declared", "host", "suffix", "ll", "noise"],
-                )
+    @F.arrow_udf("struct<ll:array<double>,noise:boolean>")
+    def told(column: pa.Array) -> pa.Array:
+        made = []
+        for piece in pieces(pa.RecordBatch.from_arrays([column], names=["text"]), "text"):
+            texts = piece.column(0)
+            if markup:
+                texts = pa.array([visible_text(t) for t in texts.to_pylist()], pa.string())
+            raw, bounds = raw_text(texts)
+            codes, counts = trigrams(raw, bounds)
+            ll, noise = text_verdict(names, logs, codes, counts)
+            noise |= ~has_letters(raw, bounds)
+            lists = pa.array(list(np.maximum(ll, floor)), pa.list_(pa.float64()))
+            made.append(pa.StructArray.from_arrays([lists, pa.array(noise)], names=["ll", "noise"]))
+        return pa.concat_arrays(made) if made else pa.array([], pa.struct([("ll", pa.list_(pa.float64())), ("noise", pa.bool_())]))
 
-    return given.mapInArrow(run, "key long, declared string, host string, suffix string, ll array<double>, noise boolean")
+    return told
+
+
+def _score(given: DataFrame, names: list[str], logs: np.ndarray, markup: bool) -> DataFrame:
+    """given: (key, text, declared, host, suffix) -> the same without text, with ll and noise; key may be anything."""
+    told = given.withColumn("told", evidence(names, logs, markup)("text"))
+    return told.select("key", "declared", "host", "suffix", "told.ll", "told.noise")
 
 
 def _norm(v: Column) -> Column:
@@ -197,37 +234,53 @@ def identify_pages(pages: DataFrame, labelled: DataFrame, train_rows: int = TRAI
 
     A null page has no text; a page without a host or declaration leaves that
     evidence out.  Without labelled documents the result has null languages and
-    accepts nothing.  Repeated ids come back repeated; an empty table stays empty.
+    accepts nothing.  Ties go to the first language in code point order.
+    Repeated ids come back repeated, each row judged by its own page; other
+    columns are not read; an empty table stays empty.  A worker holds some 35
+    bytes for each byte of the longest page.
     """
     host = host_of(F.col("url"))
     declared = F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
-    given = pages.select(F.col("page_id").cast("long").alias("key"), F.coalesce("html", F.lit("")).alias("text"), F.when(declared != "", declared).alias("declared"), host.alias("host"), suffix_of(host).alias("suffix"))
+    said = F.when(declared != "", declared)
+    key = F.struct(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), said.alias("declared"))
+    given = pages.select(key.alias("key"), F.coalesce("html", F.lit("")).alias("text"), said.alias("declared"), host.alias("host"), suffix_of(host).alias("suffix"))
     names, logs = train(labelled, rows=train_rows)
-    if not names:
-        return given.select(F.col("key").alias("page_id"), "host", "declared", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("accepted"))
-    scored = cut(_score(given, names, logs, True).withColumn("page_id", F.col("key")).withColumn("key", F.monotonically_increasing_id()).withColumn("said", F.col("declared")))
-    found = fuse(scored.select("key", "declared", "host", "suffix", "ll", "noise"), names)
-    return scored.select("key", "page_id", "host", F.col("said").alias("declared")).join(found, "key").drop("key")
+    found = fuse(cut(_score(given, names, logs, True)), names) if names else _unknown(given)
+    return found.select("key.*", "lang", "confidence", "text_lang", "accepted")
 
 
-def identify_documents(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, lang, confidence, text_lang, accepted): the lang column is the declaration, the source is the host."""
-    given = docs.select(F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
+def _unknown(given: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return given.select("key", none.alias("lang"), F.lit(0.0).alias("confidence"), none.alias("text_lang"), F.lit(False).alias("accepted"))
+
+
+def _documents(docs: DataFrame, key: Column, train_rows: int) -> DataFrame:
+    given = docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("declared"), F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("suffix"))
     names, logs = train(docs, rows=train_rows)
-    if not names:
-        return given.select(F.col("key").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("accepted"))
-    return fuse(cut(_score(given, names, logs, False)), names).withColumnRenamed("key", "doc_id")
+    return fuse(cut(_score(given, names, logs, False)), names) if names else _unknown(given)
+
+
+def identify_documents(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, lang, confidence, text_lang, accepted): the lang column is the declaration, the source is the host.
+
+    Null texts have no letters and are not accepted; null languages and sources
+    leave that evidence out.  Without any labelled document nothing is accepted.
+    Every row is judged by itself, repeated ids too; other columns are not read;
+    an empty table stays empty.
+    """
+    return _documents(docs, F.col("doc_id").cast("long"), train_rows).withColumnRenamed("key", "doc_id")
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
     """The documents whose language is accepted, with the columns of docs; lang becomes the verdict.
 
-    A document with a letter is kept unless its text looks like no language at all.
+    A document with a letter is kept unless its text looks like no language at all;
+    null, empty and wordless texts go.  Rows are carried beside their evidence, so
+    no text is shuffled by id, repeated ids are judged row by row, and columns of
+    any name stay.  Ties and empty tables: as identify_documents.
     """
-    id_, lang = unused(docs, "_id", "_lang")
-    told = identify_documents(docs).where("accepted").select(F.col("doc_id").alias(id_), F.col("lang").alias(lang)).dropDuplicates([id_])
-    names = [F.col(lang).alias("lang") if c == "lang" else F.col(c) for c in docs.columns]
-    return docs.join(told, F.col("doc_id").eqNullSafe(F.col(id_))).select(*names)
+    told = _documents(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), TRAIN_ROWS).where("accepted")
+    return told.select(*[F.col("lang").alias(c) if c == "lang" else F.col("key")[c].alias(c) for c in docs.columns])
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

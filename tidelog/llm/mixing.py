@@ -13,17 +13,18 @@ finer level, and no row is sorted.
 
 from __future__ import annotations
 
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_FREE, cut, table, unused
+from .common import SPACE_FREE, cut, hint_small, table, unused
 
 SHARES = (1.0, 2.0, 3.0)
 MOST = 3.0
 LEVEL_BITS = 10
 LEVELS = 3
 SEED = 17
+BROADCAST_SOURCES = 300_000
 
 
 def point(doc_id: Column) -> Column:
@@ -31,26 +32,42 @@ def point(doc_id: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(SEED)), 2)
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """The sources with their number in code point order (null last), from 0: sorted in ranges, whose sizes are summed up."""
+    ordered = cut(sources.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).withColumn("place", F.monotonically_increasing_id()))
+    part, within = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    # One row for each range.
+    sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    starts = dict(zip([r["part"] for r in sizes], np.cumsum([0, *[r["n"] for r in sizes]]).tolist(), strict=False))
+    if not starts:
+        return ordered.withColumn("number", F.lit(0).cast("long")).drop("place")
+    first = F.create_map(*[F.lit(x).cast("long") for p, at in starts.items() for x in (p, at)])
+    return ordered.withColumn("number", first[part] + within).drop("place")
+
+
 def targets(sources: DataFrame, shares: tuple = SHARES, most: float = MOST) -> DataFrame:
     """(source, source_size, target) from (source, source_size), one row a source.
 
     Sources in code point order, null last, weigh `shares` in turn.  The targets
     are least(most * size, level * weight) for the one level at which they sum to
-    all words: caps in order of cap / weight, of which a prefix is reached.
+    all words.  The level rises from all words over all weights: sources at their
+    cap leave, the rest share what is left, until none is above.  Each turn is
+    one aggregate over the sources, so their number doesn't matter.
     """
-    bins = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.lit(list(shares))[F.pmod(F.row_number().over(bins) - 1, F.lit(len(shares)))]
-    ranked = sources.withColumn("weight", weight).withColumn("cap", F.lit(most) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy(F.lit(1))
-    level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    # Sources whose cap is not reached all see the same level, that of the first of them.
-    tried = ranked.withColumn("level", level)
-    reached = F.min(F.when(F.col("level") < F.col("ratio"), F.struct("ratio", "level"))).over(every)
-    chosen = F.coalesce(reached["level"], F.max("ratio").over(every))
-    return tried.select("source", "source_size", F.least(F.col("cap"), chosen * F.col("weight")).alias("target"))
+    weight = F.lit(list(shares))[F.pmod("number", F.lit(len(shares))).cast("int")]
+    rows = cut(ranked(sources).withColumn("weight", weight).withColumn("cap", F.lit(most) * F.col("source_size")))
+    over, level = F.lit(False), 0.0
+    while True:
+        # A source's cap is reached where level * weight is no less.
+        r = rows.agg(F.sum("source_size").alias("all"), F.sum(F.when(over, F.col("cap"))).alias("capped"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+        if not r["weight"]:
+            break
+        now = (r["all"] - (r["capped"] or 0.0)) / r["weight"]
+        if now <= level:
+            break
+        level = now
+        over = F.col("cap") <= F.lit(level) * F.col("weight")
+    return rows.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -78,20 +95,26 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     raise AssertionError
 
 
-def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, of, size, source_size, target, times): of is the source, times how often the mix takes the document."""
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(SPACE_FREE)), F.lit(0)).cast("long")
-    sized = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")))
+def plan_of(sized: DataFrame) -> DataFrame:
+    """(of, source_size, target, copies, below), one row a source: whole copies first, then the rest as the threshold's budget."""
     sums = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    # One row a source; whole copies first, then the rest as the threshold's budget.
     ratio = F.col("target") / F.col("source_size")
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(ratio + F.lit(1e-12)), F.lit(int(MOST)))).otherwise(F.lit(0)).cast("long")
     plan = cut(targets(sums).withColumn("copies", whole).withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size")))
     below = thresholds(sized.select("source", point(F.col("doc_id")).alias("point"), "size"), plan.where("budget > 0.5").select("source", "budget"))
-    full = cut(plan.join(below.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("of"), "source_size", "target", "copies", F.coalesce("below", F.lit(0)).alias("below")))
-    joined = sized.join(full, F.col("source").eqNullSafe(F.col("of")))
-    times = F.col("copies") + (point(F.col("doc_id")) < F.col("below")).cast("long")
-    return joined.select("doc_id", "of", "size", "source_size", F.col("target").cast("double").alias("target"), F.least(times, F.lit(int(MOST))).alias("times"))
+    full = plan.join(below.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
+    return cut(full.select(F.col("source").alias("of"), "source_size", F.col("target").cast("double").alias("target"), "copies", F.coalesce("below", F.lit(0)).alias("below")))
+
+
+def sized_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, size), cut: one pass over the texts."""
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(SPACE_FREE)), F.lit(0)).cast("long")
+    return cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")))
+
+
+def times(doc_id: Column, copies: Column, below: Column) -> Column:
+    """How often the mix takes a document."""
+    return F.least(copies + (point(doc_id) < below).cast("long"), F.lit(int(MOST)))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -102,16 +125,26 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids share a point, so they are taken together.  Other columns are not read;
     an empty table stays empty, and words are never split off a document.
     """
-    return mix_rows(docs, id_col, text_col, source_col).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    sized = sized_rows(docs, id_col, text_col, source_col)
+    joined = sized.join(hint_small(plan_of(sized), BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("of")))
+    taken = F.col("size") * times(F.col("doc_id"), F.col("copies"), F.col("below"))
+    return joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def repeat_documents(docs: DataFrame) -> DataFrame:
-    """The documents as the mix takes them: none, one or more rows of each, in the columns of docs."""
-    id_, of, times, copy = unused(docs, "_id", "_of", "_times", "_copy")
-    # times depends on the id and the source alone, so repeated ids need no more than that.
-    mixed = mix_rows(docs).where("times > 0").select(F.col("doc_id").alias(id_), F.col("of").alias(of), F.col("times").cast("int").alias(times)).distinct()
-    same = [F.col("doc_id").eqNullSafe(F.col(id_)), F.col("source").eqNullSafe(F.col(of))]
-    return docs.where(F.col("text").rlike(SPACE_FREE)).join(mixed, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    """The documents as the mix takes them: none, one or more rows of each, in the columns of docs.
+
+    Each source's threshold meets the documents where they lie: no text is
+    shuffled and none is sorted.  Null, empty and wordless texts have no words
+    and are not taken; null sources are one source, the last; repeated rows and
+    ids share a point, so all or none of them are taken; columns of any name
+    stay; an empty table stays empty.
+    """
+    of, copies, below, copy = unused(docs, "_of", "_copies", "_below", "_copy")
+    plan = plan_of(sized_rows(docs, "doc_id", "text", "source")).select(F.col("of").alias(of), F.col("copies").alias(copies), F.col("below").alias(below))
+    met = docs.where(F.col("text").rlike(SPACE_FREE)).join(hint_small(plan, BROADCAST_SOURCES), F.col("source").cast("string").eqNullSafe(F.col(of)))
+    many = times(F.col("doc_id").cast("long"), F.col(copies), F.col(below)).cast("int")
+    return met.where(many > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), many))).select(*docs.columns)
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
