@@ -5,13 +5,17 @@ the text to its right only through a merge r' = (x, y) of higher priority that
 takes the right end of v first, so x lies on v's right spine; whether r' happens
 depends on the text after y in the same way.  Priorities rise strictly along
 such a chain, so the farthest reach of every merge follows from the merges
-before it in one pass over the list.  The largest reach past a boundary is the
-lookahead: a token boundary with that many bytes after it never changes.
-
-A piece is encoded through a window: tokens whose end is stable are emitted,
-the window drops their bytes and takes more.  Memory does not grow with the
-piece.  (A boundary of the final segmentation splits the work into independent
-halves, so the window may restart at one.)
+before it in one pass over the list.  A merge across the end of a token t starts
+with a token u on t's right spine; the farthest reach of these merges is t's
+wait.  With that many bytes after it, the end of t never changes, and so
+nothing before it does.
+
+A text goes through windows: pieces whose end is certain leave the splitter, and
+each piece goes through the transducer, which emits tokens whose end is certain,
+drops their bytes and takes more.  Memory does not grow with the piece or, but
+for the text itself, with the text.  (A boundary of the final segmentation
+splits the work into independent halves, so the transducer may restart at one.)
+Short pieces that come again are remembered.
 
 Decoding keeps only the bytes of an unfinished UTF-8 sequence between tokens.
 """
@@ -25,6 +29,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -38,6 +43,10 @@ from .common import pieces, table
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
 REMEMBERED = 150_000
 SHORT = 48
+#: Characters of a text that are split at a time; a piece's end is certain with MARGIN characters after it in the window.
+WINDOW, MARGIN = 1 << 15, 3
+#: Bytes that the transducer takes at a time.
+STEP = 256
 
 
 def byte_alphabet() -> list[str]:
@@ -82,24 +91,25 @@ class Transducer:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         raw |= {i: t.encode() for t, i in self.special.items()}
         self.bytes = [raw.get(i, b"") for i in range(max(raw) + 1)]
-        self.lookahead = self._reach()
-        self._pieces = re.compile(split_pattern()).findall
+        self.wait = self._waits()
+        self.lookahead = max(self.wait, default=0)
+        splitter = re.compile(split_pattern())
+        self._pieces, self._piece = splitter.findall, splitter.match
         self._cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self._known: dict[str, tuple] = {}  # two generations of at most REMEMBERED pieces each
         self._older: dict[str, tuple] = {}
 
-    def _reach(self) -> int:
+    def _waits(self) -> list[int]:
+        """For each token the bytes after its end from which on that end is certain."""
         size = {i: len(b) for i, b in enumerate(self.bytes)}
         spine: dict[int, tuple] = {i: (i,) for i in self.start}
         best: dict[int, int] = {}
-        far = 1
         for (a, b), (_, new) in sorted(self.merge.items(), key=lambda m: m[1][0]):
             on = spine.get(b, (b,))
             reach = size[b] + max((best.get(x, 0) for x in on), default=0)
-            spine.setdefault(new, (new, *on))
+            spine[new] = tuple(dict.fromkeys((*spine.get(new, ()), new, *on)))
             best[a] = max(best.get(a, 0), reach)
-            far = max(far, reach)
-        return far
+        return [max((best.get(x, 0) for x in spine.get(i, (i,))), default=0) for i in range(len(self.bytes))]
 
     def _merge_short(self, ids: list[int]) -> list[int]:
         get, none = self.rank.get, self.none
@@ -144,71 +154,114 @@ class Transducer:
         return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
-        """Token ids of one piece that comes in chunks; holds lookahead + one step of bytes at most, besides a chunk."""
-        need, held = self.lookahead, b""
-        step = max(4 * need, 1024)
+        """Token ids of one piece that comes in chunks, each as soon as its end is certain.
+
+        Holds lookahead + two steps of bytes at most, besides a chunk.  All tokens before a certain end are certain.
+        """
+        wait, size, held, goal = self.wait, self.bytes, b"", STEP
         for chunk in chunks:
-            for at in range(0, len(chunk), step):
-                held += chunk[at : at + step]
-                if len(held) < need + step:
+            for at in range(0, len(chunk), STEP):
+                held += chunk[at : at + STEP]
+                if len(held) < goal:
                     continue
-                done = 0
-                for t in self._whole(held):
-                    end = done + len(self.bytes[t])
-                    if end + need > len(held):
-                        break
-                    done = end
-                    yield t
+                ids = self._whole(held)
+                done = count = end = 0
+                for k, t in enumerate(ids, 1):
+                    end += len(size[t])
+                    if end + wait[t] <= len(held):
+                        done, count = end, k
+                yield from ids[:count]
                 held = held[done:]
+                goal = len(held) + STEP
         yield from self._whole(held)
 
     def encode_piece(self, piece: str) -> list[int]:
-        raw = piece.encode("utf-8")
-        return self._whole(raw) if len(raw) <= self.lookahead + 1024 else list(self.stream([raw]))
+        return list(self.stream((piece.encode("utf-8"),)))
+
+    def encode_stream(self, text: str) -> Iterator[array]:
+        """Ids of a text, window by window; strings of special tokens in it become their ids.
+
+        What ends within MARGIN characters of a window's end may go on beyond it and waits for the next window; a piece
+        that fills a window goes to the transducer in chunks.
+        """
+        for start, stop, token in self._parts(text):
+            at = start
+            while at < stop:
+                to = min(stop, at + WINDOW)
+                found = self._pieces(text[at:to])
+                held = 0
+                while to < stop and found and held < MARGIN:
+                    held += len(found.pop())
+                if found:
+                    yield self._ids(found)
+                    at = to - held
+                else:
+                    end = self._piece(text, at, stop).end()
+                    ids = self.stream(text[k : min(end, k + WINDOW)].encode("utf-8") for k in range(at, end, WINDOW))
+                    while some := array("I", islice(ids, WINDOW)):
+                        yield some
+                    at = end
+            if token is not None:
+                yield array("I", [token])
 
-    def encode(self, text: str) -> array:
-        """Ids of a text; strings of special tokens in it become their ids."""
+    def _ids(self, found: list[str]) -> array:
         out: list[int] = []
         known = self._known
-        for part, token in self._parts(text):
-            for piece in self._pieces(part):
-                ids = known.get(piece)
-                if ids is None:
-                    ids = self._older.get(piece) or tuple(self.encode_piece(piece))
-                    if len(piece) <= SHORT:
-                        if len(known) >= REMEMBERED:
-                            self._older, self._known = known, {}
-                            known = self._known
-                        known[piece] = ids
-                out += ids
-            if token is not None:
-                out.append(token)
+        for piece in found:
+            ids = known.get(piece)
+            if ids is None:
+                ids = self._older.get(piece) or tuple(self.encode_piece(piece))
+                if len(piece) <= SHORT:
+                    if len(known) >= REMEMBERED:
+                        self._older, self._known = known, {}
+                        known = self._known
+                    known[piece] = ids
+            out += ids
         return array("I", out)
 
-    def _parts(self, text: str) -> Iterator[tuple[str, int | None]]:
+    def encode(self, text: str) -> array:
+        out = array("I")
+        for ids in self.encode_stream(text):
+            out += ids
+        return out
+
+    def _parts(self, text: str) -> Iterator[tuple[int, int, int | None]]:
         at = 0
         if self._cut is not None:
             for m in self._cut.finditer(text):
-                yield text[at : m.start()], self.special[m[0]]
+                yield at, m.start(), self.special[m[0]]
                 at = m.end()
-        yield text[at:], None
+        yield at, len(text), None
+
+    def decoder(self) -> Decoder:
+        return Decoder(self.bytes)
 
     def decode_stream(self, ids: Iterable[int], batch: int = 4096) -> Iterator[str]:
         """Text as it becomes certain; malformed bytes become U+FFFD. Ids outside the vocabulary give nothing."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        names, top, held = self.bytes, len(self.bytes), []
-        for i in ids:
-            if 0 <= i < top:
-                held.append(names[i])
-            if len(held) == batch:
-                yield machine.decode(b"".join(held))
-                held = []
-        yield machine.decode(b"".join(held), final=True)
+        machine, ids = self.decoder(), iter(ids)
+        while some := list(islice(ids, batch)):
+            yield machine.feed(some)
+        yield machine.end()
 
     def decode(self, ids: Iterable[int]) -> str:
         return "".join(self.decode_stream(ids))
 
 
+class Decoder:
+    """Ids to text; between calls it holds the bytes of an unfinished character only."""
+
+    def __init__(self, names: list[bytes]):
+        self.names, self.top = names, len(names)
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: Iterable[int]) -> str:
+        names, top = self.names, self.top
+        return self.machine.decode(b"".join([names[i] for i in ids if 0 <= i < top]))
+
+    def end(self) -> str:
+        return self.machine.decode(b"", final=True)
+
+
 _loaded: dict[str, Transducer] = {}
 
 
@@ -243,7 +296,8 @@ def tokenize(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
     """(doc_id, ids, decoded): the whole text's ids, and the text that they decode to.
 
     Null texts are empty and give no ids; rows with null or repeated ids are
-    kept as they are; other columns are not read; an empty table stays empty.
+    kept as they are; other columns are not read; an empty table stays empty.  A
+    very long text is held once, and its ids and decoded text as they leave.
     """
     path = path or tokenizer_path()
 
@@ -257,7 +311,10 @@ def tokenize(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
 
 
 def tokenize_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As tokenize, with SHA-256 digests of the ids (little-endian, 32 bits each) and of the decoded text."""
+    """As tokenize, with SHA-256 digests of the ids (little-endian, 32 bits each) and of the decoded text.
+
+    Ids and decoded text go into the digests window by window: a very long text is held, its ids are not.
+    """
     path = path or tokenizer_path()
 
     def run(batches):
@@ -265,13 +322,15 @@ def tokenize_digests(docs: DataFrame, path: str | None = None, id_col: str = "do
         for ids, texts in _texts(batches):
             counts, id_hash, text_hash = [], [], []
             for x in texts:
-                made = t.encode(x)
-                counts.append(len(made))
-                id_hash.append(hashlib.sha256(little_endian(made)).hexdigest())
-                h = hashlib.sha256()
-                for part in t.decode_stream(made):
-                    h.update(part.encode("utf-8"))
-                text_hash.append(h.hexdigest())
+                n, id_sum, text_sum, machine = 0, hashlib.sha256(), hashlib.sha256(), t.decoder()
+                for made in t.encode_stream(x):
+                    n += len(made)
+                    id_sum.update(little_endian(made))
+                    text_sum.update(machine.feed(made).encode("utf-8"))
+                text_sum.update(machine.end().encode("utf-8"))
+                counts.append(n)
+                id_hash.append(id_sum.hexdigest())
+                text_hash.append(text_sum.hexdigest())
             yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _given(docs, id_col, text_col).mapInArrow(run, DIGEST)
