@@ -1,20 +1,22 @@
 """License scans by ordered signature rules, in built-in functions only.
 
-A rule has a keyword, a pattern, a priority (lower comes first) and a weight.
-Every match of a rule's pattern holds its keyword, so a document meets the
-patterns of only those rules whose keyword its lower-cased text holds.  A detection is dropped if its interval lies inside that of a
-detection of lower priority number, or of equal number that is longer or, at
-equal length, of an earlier rule.
+A rule has a keyword, a pattern, a priority (lower comes first) and a weight;
+signatures.py lists them.  Every match of a rule's pattern holds its keyword, so
+a text is asked only for those patterns whose keyword it holds, and only texts
+that match one are copied for it.  A detection is dropped if its interval lies
+inside that of a detection of lower priority number, or of equal number that is
+longer or, at equal length, of an earlier rule.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, table
+from .signatures import rules
 from .spans import match_spans
 
 #: Fixed values of the base phrases: (words, label).
@@ -23,106 +25,12 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-_V = r"(?:,?\s+(?:version|v\.?)\s*|[\s-]+v?)"
-#: (label, keyword, name, SPDX identifiers as a pattern, address as a pattern or "")
-FAMILIES = [
-    ("apache-2.0", "apache", rf"apache(?:\s+software)?\s+licen[cs]e(?:{_V}2(?:\.0)?)?", r"apache-2\.0", r"apache\.org/licenses/license-2\.0"),
-    ("apache-1.1", "apache", rf"apache(?:\s+software)?\s+licen[cs]e{_V}1\.1", r"apache-1\.1", r"apache\.org/licenses/license-1\.1"),
-    ("mit", "mit", r"mit(?:/x11)?\s+licen[cs]e", "mit", r"opensource\.org/licenses?/mit"),
-    ("mit-0", "mit", r"mit\s+no\s+attribution", "mit-0", ""),
-    ("x11", "x11", r"x11\s+licen[cs]e", "x11", ""),
-    ("bsd-4-clause", "bsd", r"(?:original|old|4[\s-]clause)\s+bsd(?:\s+licen[cs]e)?", "bsd-4-clause", ""),
-    ("bsd-3-clause", "bsd", r"(?:(?:new|revised|modified|3[\s-]clause)\s+bsd(?:\s+licen[cs]e)?|bsd\s+3[\s-]clause(?:\s+licen[cs]e)?)", "bsd-3-clause", r"opensource\.org/licenses?/bsd-3-clause"),
-    ("bsd-2-clause", "bsd", r"(?:(?:simplified|freebsd|2[\s-]clause)\s+bsd(?:\s+licen[cs]e)?|bsd\s+2[\s-]clause(?:\s+licen[cs]e)?)", "bsd-2-clause", r"opensource\.org/licenses?/bsd-2-clause"),
-    ("0bsd", "bsd", r"zero[\s-]clause\s+bsd(?:\s+licen[cs]e)?", "0bsd", ""),
-    ("bsd", "bsd", r"bsd(?:[\s-]style)?\s+licen[cs]e", "bsd", ""),
-    ("gpl-3.0", "general", rf"gnu\s+general\s+public\s+licen[cs]e{_V}3(?:\.0)?", r"gpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/gpl-3\.0"),
-    ("gpl-2.0", "general", rf"gnu\s+general\s+public\s+licen[cs]e{_V}2(?:\.0)?", r"gpl-2\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
-    ("gpl-1.0", "general", rf"gnu\s+general\s+public\s+licen[cs]e{_V}1(?:\.0)?", r"gpl-1\.0(?:-only|-or-later|\+)?", ""),
-    ("gpl", "general", r"(?:gnu\s+)?general\s+public\s+licen[cs]e", "gpl", r"gnu\.org/licenses/gpl"),
-    ("gpl", "gpl", r"(?:gnu\s+)?gpl(?:v?[123])?", "gnu-gpl", ""),
-    ("lgpl-3.0", "lesser", rf"gnu\s+lesser\s+general\s+public\s+licen[cs]e{_V}3(?:\.0)?", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/lgpl-3\.0"),
-    ("lgpl-2.1", "lesser", rf"gnu\s+lesser\s+general\s+public\s+licen[cs]e{_V}2\.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
-    ("lgpl", "lesser", r"(?:gnu\s+)?lesser\s+general\s+public\s+licen[cs]e", "lgpl", ""),
-    ("agpl-3.0", "affero", rf"gnu\s+affero\s+general\s+public\s+licen[cs]e(?:{_V}3(?:\.0)?)?", r"agpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/agpl"),
-    ("gfdl", "documentation", rf"gnu\s+free\s+documentation\s+licen[cs]e(?:{_V}1\.[123])?", r"gfdl-1\.[123]", r"gnu\.org/licenses/fdl"),
-    ("mpl-2.0", "mozilla", rf"mozilla\s+public\s+licen[cs]e{_V}2(?:\.0)?", r"mpl-2\.0", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
-    ("mpl-1.1", "mozilla", rf"mozilla\s+public\s+licen[cs]e{_V}1\.1", r"mpl-1\.1", r"mozilla\.org/mpl/1\.1"),
-    ("mpl", "mozilla", r"mozilla\s+public\s+licen[cs]e", "mpl", ""),
-    ("epl-2.0", "eclipse", rf"eclipse\s+public\s+licen[cs]e(?:{_V}2(?:\.0)?)?", r"epl-2\.0", r"eclipse\.org/legal/epl"),
-    ("epl-1.0", "eclipse", rf"eclipse\s+public\s+licen[cs]e{_V}1(?:\.0)?", r"epl-1\.0", ""),
-    ("cddl-1.0", "development", rf"common\s+development\s+and\s+distribution\s+licen[cs]e(?:{_V}1(?:\.\d)?)?", r"cddl-1\.[01]", ""),
-    ("eupl-1.2", "european", rf"european\s+union\s+public\s+licen[cs]e(?:{_V}1\.[012])?", r"eupl-1\.[012]", r"joinup\.ec\.europa\.eu/\S*eupl"),
-    ("isc", "isc", r"isc\s+licen[cs]e", "isc", r"opensource\.org/licenses?/isc"),
-    ("zlib", "zlib", r"zlib(?:/libpng)?\s+licen[cs]e", "zlib", ""),
-    ("artistic-2.0", "artistic", rf"artistic\s+licen[cs]e(?:{_V}2(?:\.0)?)?", r"artistic-2\.0", ""),
-    ("ms-pl", "microsoft", r"microsoft\s+public\s+licen[cs]e", "ms-pl", ""),
-    ("bsl-1.0", "boost", rf"boost\s+software\s+licen[cs]e(?:{_V}1\.0)?", r"bsl-1\.0", r"boost\.org/license"),
-    ("busl-1.1", "business", rf"business\s+source\s+licen[cs]e(?:{_V}1\.1)?", r"busl-1\.1", ""),
-    ("elastic-2.0", "elastic", rf"elastic\s+licen[cs]e(?:{_V}2(?:\.0)?)?", r"elastic-2\.0", ""),
-    ("sspl-1.0", "server", rf"server\s+side\s+public\s+licen[cs]e(?:{_V}1)?", r"sspl-1\.0", ""),
-    ("psf-2.0", "python", r"python\s+software\s+foundation\s+licen[cs]e", r"psf-2\.0", ""),
-    ("postgresql", "postgresql", r"postgresql\s+licen[cs]e", "postgresql", ""),
-    ("openssl", "openssl", r"openssl\s+licen[cs]e", "openssl", ""),
-    ("ofl-1.1", "font", rf"sil\s+open\s+font\s+licen[cs]e(?:{_V}1\.1)?", r"ofl-1\.1", r"scripts\.sil\.org/ofl"),
-    ("odbl-1.0", "database", r"open\s+database\s+licen[cs]e", r"odbl-1\.0", r"opendatacommons\.org/licenses/odbl"),
-    ("wtfpl", "licen", r"do\s+what\s+the\s+f\S+\s+you\s+want\s+to\s+public\s+licen[cs]e|wtfpl\s+licen[cs]e", "wtfpl", ""),
-    ("unlicense", "unlicense", r"(?:the\s+)?unlicense", "unlicense", r"unlicense\.org"),
-    ("cc0-1.0", "cc0", r"cc0(?:[\s-]+1\.0)?(?:\s+universal)?", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero"),
-]
-_CC = [("by", r"attribution"), ("by-sa", r"attribution[\s-]+share[\s-]?alike"), ("by-nd", r"attribution[\s-]+no[\s-]?deriv(?:ative)?s?"), ("by-nc", r"attribution[\s-]+non[\s-]?commercial"), ("by-nc-sa", r"attribution[\s-]+non[\s-]?commercial[\s-]+share[\s-]?alike"), ("by-nc-nd", r"attribution[\s-]+non[\s-]?commercial[\s-]+no[\s-]?deriv(?:ative)?s?")]
-#: (label, keyword, pattern, priority, weight)
-NOTICES = [
-    ("reserved", "rights", r"all\s+rights\s+reserved", 3, 0.6),
-    ("reserved", "rights", r"some\s+rights\s+reserved", 3, 0.4),
-    ("copyright", "copyright", r"copyright\s+(?:\(c\)\s+|©\s*)?(?:19|20)\d\d(?:\s*[-,]\s*(?:19|20)\d\d)*", 3, 0.4),
-    ("copyright", "(c)", r"\(c\)\s+(?:19|20)\d\d", 4, 0.3),
-    ("public-domain", "domain", r"(?:released\s+(?:in)?to|in|dedicated\s+to)\s+the\s+public\s+domain", 3, 0.6),
-    ("proprietary", "proprietary", r"proprietary\s+(?:and\s+confidential|licen[cs]e|software)", 3, 0.5),
-    ("proprietary", "confidential", r"confidential\s+and\s+proprietary", 3, 0.5),
-    ("no-warranty", "warrant", r"without\s+warranty\s+of\s+any\s+kind|as\s+is[\"']?\s+without\s+warrant(?:y|ies)", 4, 0.2),
-    ("copyleft", "copyleft", r"copyleft", 4, 0.2),
-    ("licensed", "licen", r"licensed\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?", 9, 0.1),
-]
-SCHEMA = "rule int, label string, keyword string, pattern string, priority int, weight double"
-
-
-@lru_cache
-def rules() -> list[tuple]:
-    """All rules in order; families give one rule for each of the ways in which a license is named."""
-    out = []
-    edge, end = r"(?<![a-z0-9])", r"(?![a-z0-9])"
-
-    def named(label, keyword, name, ids, address, extra=0):
-        grant = r"(?:licen[cs]ed|released|distributed|available|published|provided)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?"
-        out.append((label, "spdx", rf"spdx-license-identifier:\s*{ids}{end}", 0, 1.0))
-        out.append((label, keyword, rf"{edge}{grant}(?:{name}){end}", 1 + extra, 0.95))
-        out.append((label, keyword, rf"{edge}(?:{name}){end}", 2 + extra, 0.8))
-        out.append((label, "licen", rf"licen[cs]e[\"']?\s*[:=]\s*[\"']?{ids}{end}", 1 + extra, 0.9))
-        if address:
-            out.append((label, address.split(r"\.")[0], rf"(?:https?://)?(?:www\.)?{address}\S*", 1 + extra, 0.9))
-
-    for family in FAMILIES:
-        named(*family)
-    for short, words in _CC:
-        for version in ("1.0", "2.0", "2.5", "3.0", "4.0", ""):
-            v = version.replace(".", r"\.")
-            tail = rf"[\s-]+v?{v}" if version else ""
-            label = f"cc-{short}-{version}".rstrip("-")
-            named(label, "cc", rf"cc[\s-]+{short.replace('-', r'[\s-]')}{tail}", f"cc-{short}{'-' + v if version else ''}", rf"creativecommons\.org/licenses/{short}/{v}" if version else rf"creativecommons\.org/licenses/{short}", 0)
-            out.append((label, "creative", rf"{edge}creative\s+commons\s+{words}(?:[\s-]+(?:international|unported|generic))?{rf'\s+{v}' if version else ''}{end}", 2, 0.85))
-    out += NOTICES
-    return [(i, *r) for i, r in enumerate(out)]
-
-
-#: Every rule's keyword; a text without any of these words meets no rule.
-STEMS = sorted({r[2] for r in rules()})
-#: What else every match of a keyword's rules holds, where the keyword is a part of common words and has many rules.
-GATES = {"cc": r"cc[\s-]+by", "creative": r"creative\s+commons"}
+RULES = rules()
+SCHEMA = "rule int, label string, pattern string, priority int, weight double, grp int"
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rules(), SCHEMA)
+    return spark.createDataFrame([(n, label, "(?i)" + pattern, priority, weight, group) for n, label, _, _, pattern, priority, weight, group in RULES], SCHEMA)
 
 
 def _any(tests: list[Column]) -> Column:
@@ -149,18 +57,33 @@ def base_places(low: Column, plain: Column) -> Column:
     return F.when(_any(gates), found).otherwise(F.array().cast("array<struct<start:int,label:string>>"))
 
 
+def matching_rules(text: Column, low: Column) -> Column:
+    """Numbers of the rules that a text matches; low is the text in lower case."""
+
+    def some(tests: dict[str, Column]) -> Column:
+        none = F.array().cast("array<int>")
+        return F.flatten(F.array(*[F.when(low.contains(word), numbers).otherwise(none) for word, numbers in tests.items()]))
+
+    by: dict[str, dict[str, list]] = {}
+    for number, _, stem, keyword, pattern, *_ in RULES:
+        by.setdefault(stem, {}).setdefault(keyword, []).append(F.when(text.rlike("(?i)" + pattern), F.lit(number)))
+    tried = lambda tests: F.array_compact(F.array(*tests))
+    return some({stem: some({word: tried(t) for word, t in words.items()}) if list(words) != [stem] else tried(words[stem]) for stem, words in by.items()})
+
+
 def detections(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """(doc_id, check, found): kept detections of each document that has any, by start."""
-    read = docs.select("doc_id", "check", F.translate("text", UPPER, LOWER).alias("plain"))
-    gate = lambda w: F.col("plain").contains(w) & F.col("plain").rlike(GATES[w]) if w in GATES else F.col("plain").contains(w)
-    met = read.withColumn("keyword", F.explode(F.array_compact(F.array(*[F.when(gate(w), F.lit(w)) for w in STEMS]))))
+    # A lambda names the text and its lower case, so that they are made once and the branches stay out of one large method.
+    read = F.array(F.struct(F.col("text").alias("text"), F.col("low").alias("low")))
+    met = docs.select("doc_id", "check", "text", F.explode(F.flatten(F.transform(read, lambda t: matching_rules(t["text"], t["low"])))).alias("rule"))
     # The rule table has a fixed number of rows.
-    tried = met.join(F.broadcast(rule_table(spark)), "keyword").where(F.expr("plain rlike pattern"))
-    each = tried.select("doc_id", "check", "rule", "label", "priority", "weight", F.explode(match_spans(F.col("plain"), F.col("pattern"))).alias("s"))
-    spans = each.repartition("doc_id", "check").dropDuplicates(["doc_id", "check", "rule", "s"]).select("doc_id", "check", "rule", "label", "priority", "weight", "s.start", "s.stop")
+    tried = met.join(F.broadcast(rule_table(spark)), "rule")
+    each = tried.select("doc_id", "check", "rule", "label", "priority", "weight", "grp", F.explode(match_spans(F.col("text"), F.col("pattern"), F.col("grp"))).alias("s"))
+    named = F.when((F.col("grp") == 1) & (F.col("s.value") != ""), F.concat("label", F.lit("-"), F.col("s.value"))).otherwise(F.col("label")).alias("label")
+    spans = each.select("doc_id", "check", "rule", named, "priority", "weight", "s.start", "s.stop").repartition("doc_id", "check").dropDuplicates(["doc_id", "check", "rule", "start"])
     # Whatever suppresses a detection stands before it in this order, has no higher priority number and reaches its end.
     before = Window.partitionBy("doc_id", "check").orderBy("start", F.desc("stop"), "priority", "rule").rowsBetween(Window.unboundedPreceding, -1)
-    levels = sorted({r[4] for r in rules()})
+    levels = sorted({r[5] for r in RULES})
     reach = {p: F.max(F.when(F.col("priority") <= p, F.col("stop"))).over(before) for p in levels}
     told = spans.select("*", *[r.alias(f"reach{p}") for p, r in reach.items()])
     own = F.coalesce(*[F.when(F.col("priority") == p, F.col(f"reach{p}")) for p in levels], F.lit(-1))

@@ -16,10 +16,10 @@ SPAN = "array<struct<start:int,stop:int,value:string>>"
 CHUNK = 256
 
 
-def match_spans(text: Column, pattern: Column, value_group: int = 0) -> Column:
+def match_spans(text: Column, pattern: Column, value_group: int | Column = 0) -> Column:
     """Leftmost matches that don't overlap, as (start, stop, value) with the text of a group as value."""
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    values = hits if value_group == 0 else F.regexp_extract_all(text, pattern, F.lit(value_group))
+    values = hits if isinstance(value_group, int) and value_group == 0 else F.regexp_extract_all(text, pattern, F.lit(value_group))
     gaps = F.split(text, pattern, -1)
     parts = F.zip_with(F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"))), values, lambda p, v: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), v.alias("value")))
 
