@@ -2,7 +2,8 @@
 
 A vector is described by its PREFIX nearest reference points in order of
 nearness.  Reference points ("pivots") are a bounded sample of the vectors
-themselves, at most MAX_PIVOTS, drawn by hash and thinned so that no two have a
+themselves, between one and two times the square root of the rows (MAX_PIVOTS at
+most), drawn by hash and thinned so that no two have a
 cosine above APART: a large group of near copies gives one pivot and not most.
 Two vectors are candidates when they have the same nearest pivot (their home)
 or share at least SHARED pivots.  Two vectors that link with one pivot have it
@@ -30,12 +31,17 @@ from .common import Forest, cut, hint_small, runs, table
 from .components import components
 
 THRESHOLD = 0.98
-MAX_PIVOTS = 2048
+#: Pivots grow with the square root of the rows, so that lists grow with it too and not with the rows; bytes bound them.
+MAX_PIVOTS = 1 << 15
+PIVOT_BYTES = 64 << 20
+LEAST_SAMPLE = 2048
+#: Scores that are held at a time.
+SCORES = 1 << 20
 #: Twice the angle of THRESHOLD is less than the angle of APART.
 APART = 0.9
 PREFIX, SHARED = 8, 4
 POSTED = PREFIX - SHARED + 1
-BLOCK_ROWS = 1_000
+BLOCK_ROWS = 256
 BROADCAST_ROWS = 500_000
 
 
@@ -54,8 +60,10 @@ def normalised(column: pa.ListArray) -> list[np.ndarray | None]:
 
 
 def choose_pivots(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """Pivots by length of vector: of the MAX_PIVOTS rows of least id hash the first `count` that are not close to an earlier one."""
-    rows = vectors.where("embedding is not null").select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(MAX_PIVOTS).collect()
+    """Pivots by length of vector: of some more than `count` rows of least id hash the first `count` that are not close to an earlier one."""
+    longest = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    most = max(LEAST_SAMPLE, min(count + count // 2, PIVOT_BYTES // (8 * max(longest, 1))))
+    rows = vectors.where("embedding is not null").select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(most).collect()
     by: dict[int, list] = {}
     for v in normalised(pa.array([r["embedding"] for r in rows], pa.list_(pa.float64()))):
         if v is not None:
@@ -76,8 +84,16 @@ def thinned(units: np.ndarray, count: int) -> np.ndarray:
 
 def nearest(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """For each unit vector its PREFIX nearest pivots, nearest first (ties: lower number first)."""
-    scores = vectors @ pivots.T
-    return np.argsort(-scores, axis=1, kind="stable")[:, :PREFIX].astype(np.int32)
+    out = np.empty((len(vectors), PREFIX), np.int32)
+    step = max(1, SCORES // len(pivots))
+    for a in range(0, len(vectors), step):
+        scores = vectors[a : a + step] @ pivots.T
+        # What is no farther than the PREFIX-th nearest, ties included, in order.
+        last = np.partition(scores, len(pivots) - PREFIX, axis=1)[:, len(pivots) - PREFIX]
+        for r, (row, least) in enumerate(zip(scores, last, strict=True)):
+            close = np.flatnonzero(row >= least)
+            out[a + r] = close[np.argsort(-row[close], kind="stable")[:PREFIX]]
+    return out
 
 
 _DESCRIBED = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("unit", pa.binary()), ("near", pa.list_(pa.int32()))])
@@ -151,10 +167,11 @@ def _verify(batches):
         lists = None if pivot < 0 else [np.array(group.column(c).to_pylist()) for c in ("near", "posts")]
         sums, edges = count_links(units, group.column("weight").to_numpy(), group.column("block").to_numpy(), i == j, *(lists or (None, None)), pivot)
         linked = np.flatnonzero(sums)
-        u = np.concatenate([ids[linked], ids[[a for a, _ in edges]]]) if len(linked) else ids[:0]
-        if len(u):
-            v = [None] * len(linked) + [int(ids[b]) for _, b in edges]
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(np.concatenate([sums[linked], np.zeros(len(edges), np.int64)]))], names=["u", "v", "links"])
+        if len(linked):
+            a, b = np.array(edges).T
+            marks = group.column("row").to_numpy()[linked]
+            columns = [np.concatenate([ids[linked], ids[a]]), [None] * len(linked) + ids[b].tolist(), [*marks.tolist(), *[None] * len(edges)], np.concatenate([sums[linked], np.zeros(len(edges), np.int64)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v", "row", "links"])
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", pivots: int | None = None) -> DataFrame:
@@ -163,40 +180,58 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Only rows with equal labels that are not null, and vectors of one length,
     are compared; null, empty, zero and not finite vectors and those with null
     components link with nothing.  Equal vectors of one label are one class:
-    they link with each other and share their other links.  Repeated ids give
-    repeated rows; null ids link with nothing (component null, kept true).  An
-    empty table gives an empty result.
+    they link with each other and share their other links.  Ids are the nodes
+    of components: rows that share an id have one component, that of all links
+    of all their vectors, and each row counts the links of its own vector.  Null
+    ids link with nothing (component null, kept true).  Other columns are not
+    read; an empty table gives an empty result.
     """
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("long").alias("label"))
     total = given.count()
-    wanted = pivots or min(MAX_PIVOTS, max(64, 1 << max(0, int(total**0.5).bit_length())))
-    sample = choose_pivots(given, min(wanted, MAX_PIVOTS))
+    sample = choose_pivots(given, min(MAX_PIVOTS, pivots or max(64, 1 << int(total**0.5).bit_length())))
     told = cut(given.mapInArrow(_describer(sample), "vec_id long, label long, dim int, unit binary, near array<int>"))
     usable = told.where("vec_id is not null and label is not null and unit is not null")
-    classes = cut(usable.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
-    copies = classes.where("weight > 1")
-    single = classes.join(usable.select("label", "unit", F.col("vec_id").alias("rep"), "dim", "near").dropDuplicates(["rep", "label"]), ["label", "unit", "rep"]).withColumnRenamed("rep", "vec_id")
-    single = cut(single)
-    lists = single.select("label", "dim", F.explode("near").alias("pivot")).groupBy("dim", "pivot").agg(F.count("*").alias("n"))
-    # At most MAX_PIVOTS rows: the common order of pivots, rarest first.
-    ranks = lists.groupBy("dim").agg(F.map_from_entries(F.collect_list(F.struct("pivot", F.struct("n", "pivot")))).alias("rank"))
-    rarest = F.slice(F.transform(F.array_sort(F.transform("near", lambda p: F.col("rank")[p])), lambda r: r["pivot"]), 1, POSTED)
+    several = cut(told.where("vec_id is not null").groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"))
+    # One row for each class; an id may stand for several, which row tells apart.
+    mark = F.xxhash64("label", "unit").alias("row")
+    classes = usable.groupBy("label", "unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("dim").alias("dim"), F.first("near").alias("near"))
+    single = cut(classes.select("*", mark))
+    copies = cut(single.where("weight > 1").select("label", "unit", F.col("vec_id").alias("rep"), "weight"))
+    # One row for each pivot: the common order of a dimension's pivots, rarest first.
+    lists: dict[int, list] = {}
+    for r in single.select("dim", F.explode("near").alias("pivot")).groupBy("dim", "pivot").agg(F.count("*").alias("n")).collect():
+        lists.setdefault(r["dim"], []).append((r["n"], r["pivot"]))
+    orders = []
+    for dim, held in lists.items():
+        rank = [0] * len(sample[dim])
+        for k, (_, p) in enumerate(sorted(held)):
+            rank[p] = k
+        orders.append((dim, rank))
+    ranks = single.sparkSession.createDataFrame(orders, "dim int, rank array<int>")
+    rarest = F.slice(F.transform(F.array_sort(F.transform("near", lambda p: F.struct(F.get("rank", p).alias("rank"), p.alias("pivot")))), lambda r: r["pivot"]), 1, POSTED)
     posted = single.join(F.broadcast(ranks), "dim", "left").withColumn("posts", F.when(F.col("near").isNotNull(), rarest))
     posted = posted.withColumn("pivot", F.explode(F.coalesce(F.concat("posts", F.array(-2 - F.col("near")[0])), F.array(F.lit(-1))))).drop("rank")
     sizes = cut(posted.groupBy("label", "dim", "pivot").agg(F.count("*").alias("n")).where("n > 1").select("label", "dim", "pivot", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")))
-    dealt = posted.join(hint_small(sizes, BROADCAST_ROWS), ["label", "dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    dealt = posted.join(hint_small(sizes, BROADCAST_ROWS), ["label", "dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "row"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "label", "dim", "pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "weight", "unit", "near", "posts"
+        "label", "dim", "pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "row", "weight", "unit", "near", "posts"
     )
     keys = ["label", "dim", "pivot", "i", "j"]
-    seen = cut(paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify, "u long, v long, links long"))
-    links = cut(seen.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links")))
-    found = cut(components(seen.where("v is not null")).withColumnsRenamed({"node": "rep", "component": "least"}))
-    named = told.join(hint_small(copies.select("label", "unit", F.col("rep"), "weight"), BROADCAST_ROWS), ["label", "unit"], "left")
-    named = named.select("vec_id", F.coalesce("rep", "vec_id").alias("rep"), F.coalesce(F.col("weight") - 1, F.lit(0)).alias("own"))
-    out = named.join(hint_small(links, BROADCAST_ROWS), "rep", "left").join(hint_small(found, BROADCAST_ROWS), "rep", "left")
+    seen = cut(paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify, "u long, v long, row long, links long"))
+    links = cut(seen.where("v is null").groupBy(F.col("u").alias("rep"), "row").agg(F.sum("links").alias("links")))
+    edges = seen.where("v is not null").select("u", "v")
+    few = hint_small(copies, BROADCAST_ROWS)
+    if not several.isEmpty():
+        # The classes of one id meet in it.
+        mine = usable.join(hint_small(several, BROADCAST_ROWS), "vec_id", "left_semi").join(few, ["label", "unit"])
+        edges = edges.unionByName(mine.select(F.col("vec_id").alias("u"), F.col("rep").alias("v")))
+    found = cut(components(edges).withColumnsRenamed({"node": "rep", "component": "least"}))
+    named = told.join(few, ["label", "unit"], "left").withColumn("row", F.when(F.col("label").isNotNull() & F.col("unit").isNotNull(), F.xxhash64("label", "unit")))
+    named = named.select("vec_id", "row", F.when(F.col("vec_id").isNotNull(), F.coalesce("rep", "vec_id")).alias("rep"), F.when(F.col("vec_id").isNotNull(), F.col("weight") - 1).alias("own"))
+    out = named.join(hint_small(links, BROADCAST_ROWS), ["rep", "row"], "left").join(hint_small(found, BROADCAST_ROWS), "rep", "left")
     component = F.coalesce("least", "rep")
-    return out.select("vec_id", (F.col("own") + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    many = F.coalesce("own", F.lit(0)) + F.coalesce("links", F.lit(0))
+    return out.select("vec_id", many.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 def op6_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
