@@ -71,51 +71,56 @@ def find_spans(text: Column, low: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
-    """(doc_id, check, owner, repo, spans) for each row: one pass over the texts, cut in the shared folder."""
+    """(doc_id, check, owner, repo, spans) for each row: one pass over the texts."""
     repo = F.col(repo_col) if repo_col else F.col(id_col)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(owner_col).cast("string").alias("owner"), repo.cast("string").alias("repo"))
     read = given.withColumn("low", F.lower("text"))
-    return cut(read.select("doc_id", F.xxhash64("text").alias("check"), "owner", "repo", find_spans(F.col("text"), F.col("low")).alias("spans")))
-
-
-def ownership(scanned: DataFrame, one_repo_a_row: bool = True) -> DataFrame:
-    """(hash, owners, repos): in how many owners and repositories each candidate value occurs."""
-    seen = scanned.select("owner", "repo", F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
-    if not one_repo_a_row:
-        seen = seen.distinct()
-    by_owner = seen.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    owners = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repos"))
-    if one_repo_a_row:
-        return owners
+    return read.select("doc_id", F.xxhash64("text").alias("check"), "owner", "repo", find_spans(F.col("text"), F.col("low")).alias("spans"))
+
+
+def ownership(scanned: DataFrame) -> DataFrame:
+    """(hash, owners, repos): in how many distinct owners and repositories each candidate value occurs; repeated rows count once."""
+    seen = scanned.select("owner", "repo", F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash")).distinct()
+    owners = seen.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("owners"))
     # A repository under several owners is one.
     repos = seen.groupBy("hash", "repo").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("repos"))
-    return owners.select("hash", "owners").join(repos, "hash")
+    return owners.join(repos, "hash")
 
 
-def judged(scanned: DataFrame, one_repo_a_row: bool = True, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """The scanned rows with spans marked: live is false for copied examples and placeholders."""
-    wide = cut(ownership(scanned, one_repo_a_row).where((F.col("owners") >= example_owners) & (F.col("repos") >= example_owners)).select("hash", F.lit(True).alias("copied")))
+def judged(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+    """(doc_id, check, marks) for each distinct text with spans: live is false for copied examples and placeholders.
+
+    owners and repos are those of a copied value, 0 of any other; scanned has been cut.
+    """
+    wide = cut(ownership(scanned).where((F.col("owners") >= example_owners) & (F.col("repos") >= example_owners)))
     rows = scanned.where(F.size("spans") > 0).select("doc_id", "check", "spans").dropDuplicates(["doc_id", "check"])
     each = rows.select("doc_id", "check", F.explode("spans").alias("s")).withColumn("hash", F.col("s")["hash"])
-    told = each.join(hint_small(wide, BROADCAST_ROWS), "hash", "left").withColumn("live", F.col("copied").isNull() & ~F.col("s")["dummy"])
-    one = F.struct(*[F.col("s")[c].alias(c) for c in ("start", "rank", "kind", "stop")], F.col("live"))
-    marks = told.groupBy(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).agg(F.array_sort(F.collect_list(one)).alias("marks"))
-    same = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("check") == F.col("_check")]
-    kind = "array<struct<start:int,rank:int,kind:string,stop:int,live:boolean>>"
-    return scanned.join(marks, same, "left").select("doc_id", "check", F.coalesce("marks", F.array().cast(kind)).alias("spans"))
+    told = each.join(hint_small(wide, BROADCAST_ROWS), "hash", "left").withColumn("live", F.col("owners").isNull() & ~F.col("s")["dummy"])
+    one = F.struct(*[F.col("s")[c].alias(c) for c in ("start", "rank", "kind", "stop")], "live", F.coalesce("owners", F.lit(0)).cast("long").alias("owners"), F.coalesce("repos", F.lit(0)).cast("long").alias("repos"))
+    return told.groupBy("doc_id", "check").agg(F.array_sort(F.collect_list(one)).alias("marks"))
+
+
+MARKS = "array<struct<start:int,rank:int,kind:string,stop:int,live:boolean,owners:bigint,repos:bigint>>"
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """One row per document: counts of the base kinds, digest of the base spans, all spans, and how many look live or copied.
 
-    Null texts are empty.  A null owner counts as no owner's name but as one
-    owner; without repo_col every row is its own repository.  Repeated rows
-    come back repeated.  Other columns are not read; an empty table stays empty.
+    copied_owners and copied_repos are the most owners and repositories of a
+    copied value of the document, 0 without one.  Null texts are empty.  A null
+    owner counts as one owner; without repo_col every id is its own repository.
+    Repeated rows come back repeated and count once in both numbers.  Other
+    columns are not read; an empty table stays empty.  The time is linear in a
+    text and its matches.
     """
-    marked = judged(scan(docs, id_col, text_col, owner_col, repo_col), repo_col is None)
+    scanned = cut(scan(docs, id_col, text_col, owner_col, repo_col))
+    marks = judged(scanned).withColumnsRenamed({"doc_id": "_id", "check": "_check"})
+    same = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("check") == F.col("_check")]
+    marked = scanned.join(marks, same, "left").select("doc_id", F.coalesce("marks", F.array().cast(MARKS)).alias("spans"))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
     live = F.size(F.filter("spans", lambda s: s["live"])).cast("long")
+    most = lambda c: F.coalesce(F.array_max(F.transform("spans", lambda s: s[c])), F.lit(0)).cast("long")
     return marked.select(
         "doc_id",
         *[count(i).alias(f"n_{k[0]}") for i, k in enumerate(BASE)],
@@ -123,19 +128,30 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         joined(F.col("spans")).alias("spans"),
         live.alias("n_live"),
         (F.size("spans") - live).cast("long").alias("n_copied"),
+        most("owners").alias("copied_owners"),
+        most("repos").alias("copied_repos"),
     )
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """The documents with every live-looking span masked in the text; copied examples stay.
 
-    Columns and rows stay as they are, but n_chars, where there is one, follows the text.
+    Columns and rows stay as they are, but n_chars, where there is one, follows
+    the text.  Null and empty texts have no spans; repeated rows come back
+    repeated; an empty table stays empty.  Only texts with spans are joined with
+    their marks; the others pass.
     """
-    id_, check, spans = unused(docs, "_id", "_check", "_spans")
-    marked = judged(scan(docs, id_col, text_col, owner_col)).select(F.col("doc_id").alias(id_), F.col("check").alias(check), F.filter("spans", lambda s: s["live"]).alias(spans))
-    marked = cut(marked.where(F.size(spans) > 0).dropDuplicates([id_, check]))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    same = [F.col(id_col).cast("long").eqNullSafe(F.col(id_)), F.xxhash64(text) == F.col(check)]
+    id_, check, spans, marks, row = unused(docs, "_id", "_check", "_spans", "_marks", "_row")
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(id_col), F.col(text_col), F.col(owner_col))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    read = cut(given.select(row, F.col(id_col).cast("long").alias(id_), F.xxhash64(text).alias(check), F.col(owner_col).cast("string").alias("owner"), F.col(id_col).cast("string").alias("repo"), find_spans(text, F.lower(text)).alias(spans)))
+    scanned = read.select(F.col(id_).alias("doc_id"), F.col(check).alias("check"), "owner", "repo", F.col(spans).alias("spans"))
+    live = judged(scanned).select(F.col("doc_id").alias(f"{id_}2"), F.col("check").alias(f"{check}2"), F.filter("marks", lambda s: s["live"]).alias(marks))
+    live = cut(live.where(F.size(marks) > 0))
+    same = [F.col(id_).eqNullSafe(F.col(f"{id_}2")), F.col(check) == F.col(f"{check}2")]
+    bare = read.where(F.size(spans) == 0).select(f"{row}.*")
+    rich = read.where(F.size(spans) > 0).select(row, id_, check).join(hint_small(live, BROADCAST_ROWS // 5), same, "left").select(f"{row}.*", marks)
+    text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -143,11 +159,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
         mask = F.when(s["start"] >= acc["at"], F.lit(MASK)).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], between, mask).alias("out"))
 
-    masked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    both = docs.join(hint_small(marked, BROADCAST_ROWS // 5), same, "left").withColumn(text_col, F.when(F.col(spans).isNotNull(), masked).otherwise(F.col(text_col)))
+    masked = F.aggregate(marks, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    both = rich.withColumn(text_col, F.when(F.col(marks).isNotNull(), masked).otherwise(text))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return both.select(*docs.columns)
+        both = both.withColumn("n_chars", F.when(F.col(marks).isNotNull(), F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
+    return bare.unionByName(both.select(*docs.columns))
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
