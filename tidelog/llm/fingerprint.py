@@ -26,6 +26,11 @@ from .common import pieces, table
 from .hashing import document_shingles, mix
 
 BINS, BITS = 256, 4
+#: Hashes that are placed at a time; bytes of text for each id range, and how many ranges there are at most (texts
+#: stream through a range, so a larger one takes longer and no more memory).
+STEP = 1 << 20
+RANGE_BYTES = 128 << 20
+MOST_RANGES = 50_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -62,8 +67,9 @@ def fingerprints(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     n = len(counts)
     bins = np.full(n * BINS, EMPTY, np.uint64)
     owner = np.repeat(np.arange(n), counts)
-    place = owner * BINS + (values & np.uint64(BINS - 1)).astype(np.int64)
-    np.minimum.at(bins, place, values >> np.uint64(8))
+    for a in range(0, len(values), STEP):
+        part = values[a : a + STEP]
+        np.minimum.at(bins, owner[a : a + STEP] * BINS + (part & np.uint64(BINS - 1)).astype(np.int64), part >> np.uint64(8))
     full = densify(bins.reshape(n, BINS))
     # The bin is hashed along: copies of one value then agree by chance in each bin on its own.
     low = (mix(full + _LANE) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
@@ -145,13 +151,16 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """Fingerprints of every text and of its edited text, with their likeness, and that to the next text.
 
     Order: id descending, nulls last, equal ids by the text's hash.  A single
-    row is its own next document.  Null texts are empty.  Other columns are
-    not read; an empty table gives an empty result.
+    row is its own next document.  Null texts are empty.  Repeated rows stand
+    next to each other.  Other columns are not read; an empty table gives an
+    empty result.  A worker holds a very long text and its edited one, and
+    hashes of 8 bytes a word.
     """
     spark = docs.sparkSession
     rank = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
     keyed = docs.select(rank.alias("k"))
-    cells = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    cells = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(total // RANGE_BYTES, MOST_RANGES))
     shares = [i / cells for i in range(1, cells)]
     cuts = np.unique(np.array(keyed.agg(F.percentile_approx("k", shares, F.lit(20 * cells)).alias("c")).first()["c"] or [], np.int64))
     if not len(cuts):
