@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidelog.llm import bpe, fingerprint, hashing, language, licenses, minhash, mixing, personal, secrets, signatures, suffixes, vectors
+from tidelog.llm import bpe, common, fingerprint, hashing, language, licenses, minhash, mixing, personal, secrets, signatures, suffixes, vectors
 from tidelog.llm.components import components
 
 from .data import documents, empty, frame
@@ -182,6 +182,10 @@ def test_fingerprints(spark):
             assert g.n_chars == len(t) and g.edited_sha256 == digest(e)
             assert g.fingerprint == fingerprint.fingerprint_text(t) and g.edited_fingerprint == fingerprint.fingerprint_text(e)
             a, b = shingles(t), shingles(e)
+            same = lambda x, y: sum(p == q for p, q in zip(x, y, strict=True))
+            want = lambda x, y, none: float(none[0] and none[1]) if none[0] or none[1] else max(0.0, (same(x, y) / 256 - 1 / 16) / (15 / 16))
+            assert g.near_edited == pytest.approx(want(g.fingerprint, g.edited_fingerprint, (not a, not b)))
+            assert g.near_next == pytest.approx(want(g.fingerprint, by[rows[(k + 1) % len(rows)][0]].fingerprint, (not a, not shingles(nxt))))
             assert abs(g.near_edited - (len(a & b) / len(a | b) if a | b else 1.0)) < 0.2
     assert fingerprint.fingerprint_neighbours(empty(spark)).count() == 0
     one = fingerprint.fingerprint_neighbours(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).first()
@@ -301,6 +305,36 @@ def test_secrets(spark):
     assert secrets.secret_report(empty(spark)).count() == 0
 
 
+def test_secrets_of_all_kinds_and_their_owners(spark):
+    rows = [(i, t, s, f"r{i % 7}") for i, t, _, s in documents()]
+    shared = 'token="sharedvalue77" glpat-abcdefghij0123456789 and Bearer abc.def/ghi=jkl~mnop xoxb-1234-abcdefgh AIza' + "x" * 35
+    rows += [(2000 + k, ("é " * k) + shared + (" sk_live_abcdefgh12345678" if k % 2 else ""), [f"o{k % 4}", None][k == 5], f"r{k % 5}") for k in range(9)]
+    rows += [rows[-1], rows[-2]]
+    texts = {}
+    for i, t, owner, repo in rows:
+        every = []
+        for rank, (kind, pattern, group, least, _) in enumerate(secrets.KINDS):
+            every += [(m.start(), rank, kind, m.end(), m[group] if kind != "key" else re.sub(secrets._BREAK, "", m[group])) for m in re.finditer(pattern.replace(r"\z", r"\Z"), t or "", re.A) if len(m[group]) >= least]
+        texts.setdefault((i, t), []).append((sorted(every), owner, repo))
+    owners, repos = {}, {}
+    for found in texts.values():
+        for every, owner, repo in found:
+            for *_, value in every:
+                owners.setdefault(value, set()).add(owner)
+                repos.setdefault(value, set()).add(repo)
+    wide = {v for v in owners if len(owners[v]) >= 3 and len(repos[v]) >= 3}
+    want = Counter()
+    for (i, _), found in texts.items():
+        for every, *_ in found:
+            copied = [x for x in every if x[4] in wide]
+            live = [x for x in every if x[4] not in wide and not re.search(secrets.PLACEHOLDER, x[4])]
+            want[i, ",".join(f"{k}:{a}:{b}" for a, _, k, b, _ in every), len(live), len(every) - len(live), max((len(owners[x[4]]) for x in copied), default=0), max((len(repos[x[4]]) for x in copied), default=0)] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string").repartition(4)
+    got = secrets.secret_report(df, repo_col="repo").collect()
+    assert Counter((r.doc_id, r.spans, r.n_live, r.n_copied, r.copied_owners, r.copied_repos) for r in got) == want
+    assert max(r.copied_owners for r in got) == 5 and {s.split(":")[0] for r in got for s in r.spans.split(",") if s} >= {"forge", "bearer", "chat", "cloud", "pay", "key", "jwt", "url"}
+
+
 def test_ownership_and_redaction(spark):
     rows = [(i, f"password = copiedvalue{'9' * 3} end", "en", f"s{i}") for i in range(5)] + [(9, "é token: onlyhere77 and token: onlyhere77.", "en", "s1"), (10, None, "en", None)]
     df = frame(spark, rows)
@@ -371,6 +405,15 @@ def test_licenses_are_those_of_all_rules_without_gates(spark):
     assert len(got) >= len(LICENSE_TEXTS)
 
 
+def test_count_runs(spark):
+    rng = random.Random(3)
+    texts = [None, "", " ", "a", " a", "a ", "  é \t b\n", "\x0b", "a\u00a0b", "\x85 x"] + ["".join(rng.choice(" a\n-é") for _ in range(rng.randint(0, 8))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(common.count_runs(F.col("t"), common.SPACE).alias("n"), common.count_runs(F.col("t"), licenses.BETWEEN).alias("m")).collect()
+    assert [r.n for r in got] == [len(re.findall("[^\x20\x09-\x0d]+", t or "")) for t in texts]
+    assert [r.m for r in got] == [len(re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t or "")) for t in texts]
+
+
 def test_long_repetitions_do_not_recurse(spark):
     years = "copyright 2001" + ", 2002" * 170_000
     texts = [years, "licensed under the " * 40_000, "cc " * 200_000, " " * 1_000_000, "license" + " " * 500_000 + ": mit", "a as-is " * 50_000]
@@ -411,18 +454,78 @@ def test_personal(spark):
         assert [(a, personal.BASE_KINDS[k], b) for a, k, b in personal.base_spans(t)] == [(a, n, b) for a, _, n, b in base_personal(t)]
 
 
-def test_skip_chain_carries_labels():
-    texts = [f"call +4930{i:07d} or mail a{i}@b.org and order {i} of 2024 at 10.0.0.{i}" for i in range(100)]
+def card(rng):
+    """Sixteen digits that pass the check sum."""
+    digits = "4" + "".join(str(rng.randrange(10)) for _ in range(14))
+    return next(digits + str(d) for d in range(10) if personal.luhn(digits + str(d)))
+
+
+def personal_texts(rng, n):
+    out = []
+    for k in range(n):
+        kinds = [f"+1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}", f"u{rng.randrange(99)}.x@mail{k % 9}.example.com", ".".join(str(rng.randrange(1, 250)) for _ in range(4)), card(rng)]
+        filler = lambda: " ".join(rng.choice(["word", "licence 2.0.", "step 3.", "in 2024", "other", '"9c2f00aa41"']) for _ in range(rng.randrange(3, 20))) + " word"
+        out.append(" ".join(x for e in rng.sample(kinds, rng.randrange(0, 4)) for x in (filler(), e, "and")) + " " + filler())
+    return out
+
+
+def trained(texts):
     samples = []
-    for t in texts:
-        nodes = personal.nodes_of(t)
-        samples.append((nodes, personal.covered(nodes, personal.base_spans(t))))
-    field = personal.fit(samples)
-    text = "call +49301234567 today. " + "word " * 200 + "order 493012 34567 and 49301234567 again in 2024"
-    base, every = personal.all_spans(text, field)
-    more = [s for s in every if s not in base]
+    for k, t in enumerate(texts):
+        spans = personal.base_spans(t)
+        for text, true in ((t, spans), personal.masked(t, spans, k)):
+            nodes = personal.nodes_of(text)
+            samples.append((nodes, personal.covered(nodes, true)))
+    return personal.fit(samples)
+
+
+def test_field_finds_masked_patterns():
+    rng = random.Random(11)
+    field = trained(personal_texts(rng, 400))
+    found = hidden = wrong = 0
+    for k, t in enumerate(personal_texts(rng, 300)):
+        text, true = personal.masked(t, personal.base_spans(t), 10**6 + k)
+        base, every = personal.all_spans(text, field)
+        more = [s for s in every if s[1] >= 4]
+        lost = [s for s in true if not any(a < s[2] and b > s[0] for a, _, b in base)]
+        hidden += len(lost)
+        found += sum(any(m[1] - 4 == s[1] and m[0] <= s[0] + 2 and m[2] >= s[2] - 1 for m in more) for s in lost)
+        wrong += sum(not any(m[1] - 4 == s[1] and m[0] < s[2] and m[2] > s[0] for s in true) for m in more)
+    assert hidden > 150 and found >= 0.85 * hidden and wrong <= 0.05 * found
+    # A number of three tokens is one span.
+    text = "word other 001 (212) 555-1234 word"
+    assert [text[a:b] for a, _, b in personal.all_spans(text, field)[1]] == ["001 (212) 555-1234"]
+
+
+def test_skip_links_carry_labels():
+    rng = random.Random(12)
+    k = len(personal.LABELS)
+    like = personal.Field(np.zeros((personal.N_FEATURES, k)), np.zeros((k, k)), 4.0 * np.eye(k), 4.0 * np.eye(k))
+    text = "+49301234567 then " + "word " * 300 + ("49301234567 " + "word " * 50) * 39 + "49301234568 and 99887766"
+    base, every = personal.all_spans(text, like)
+    more = [text[a:b] for a, kind, b in every if kind == 7]
     assert [text[a:b] for a, _, b in base] == ["+49301234567"]
-    assert "49301234567" in [text[a:b] for a, _, b in more] and "2024" not in [text[a:b] for a, _, b in more]
+    assert more.count("49301234567") == 39 and "49301234568" in more and "99887766" not in more
+    assert rng
+
+
+def test_similar_forms_are_those_one_character_apart():
+    rng = random.Random(13)
+    forms = sorted({"".join(rng.choice("12") for _ in range(rng.randint(5, 8))) for _ in range(60)})
+    rests = [{f, *(f[:i] + f[i + 1 :] for i in range(len(f)))} for f in forms]
+    links = [(a, b) for b in range(len(forms)) for a in range(b) if min(len(forms[a]), len(forms[b])) >= 6 and rests[a] & rests[b]]
+    got = personal.similar_forms(forms)
+    assert set(got) <= set(links) and closure(set(range(len(forms))), got) == closure(set(range(len(forms))), links)
+    assert personal.similar_forms(["1" * 5000, "1" * 4999]) == []
+
+
+def test_covered_takes_the_first_span():
+    rng = random.Random(14)
+    for _ in range(200):
+        spans = sorted((a, kind, a + rng.randint(1, 6)) for kind in range(4) for a in range(kind, 60, rng.choice([7, 11, 30])))
+        nodes = sorted((a, a + rng.randint(1, 5)) for a in rng.sample(range(60), 20))
+        want = [next((k + 1 for a, k, b in spans if a < n[1] and b > n[0]), 0) for n in nodes]
+        assert personal.covered(nodes, spans).tolist() == want
 
 
 def test_repeats(spark):

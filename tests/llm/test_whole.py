@@ -19,6 +19,44 @@ def test_vectors_of_a_hot_group(spark):
     assert links.sum() > 900_000 and [got[i] for i in range(3000)] == links.tolist()
 
 
+def test_recall_near_the_threshold(spark):
+    """Pairs of cosine 0.98 to 0.985, with 2,048 pivots in 64 dimensions, against brute force."""
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(2500, 64))
+    a /= np.sqrt((a**2).sum(axis=1, keepdims=True))
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.sqrt((side**2).sum(axis=1, keepdims=True))
+    cosine = rng.uniform(0.9801, 0.985, size=(len(a), 1))
+    rows = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * side])
+    units = rows / np.sqrt((rows**2).sum(axis=1, keepdims=True))
+    links = (units @ units.T >= 0.98).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(df, pivots=2048).collect()}
+    found = np.array([got[i] for i in range(len(rows))])
+    assert (found <= links).all() and found.sum() >= 0.95 * links.sum()
+
+
+def test_vectors_of_one_id(spark):
+    rng = np.random.default_rng(6)
+    a, b, c = rng.normal(size=(3, 16))
+    near = lambda v: v + 0.001 * rng.normal(size=16)
+    rows = [(10, a, 1), (10, b, 1), (20, near(a), 1), (30, near(b), 1), (40, near(b), 2), (5, a, 1), (10, c, 2), (10, a, 2), (50, near(c), 2), (60, None, 1), (60, c, 2), (10, a, 1)]
+    want, links = {}, {}
+    for k, (i, v, lab) in enumerate(rows):
+        links[k] = [m for m, (_, w, other) in enumerate(rows) if m != k and v is not None and w is not None and lab == other and v @ w >= 0.98 * np.sqrt((v @ v) * (w @ w))]
+    for _ in range(len(rows)):
+        for k, (i, *_) in enumerate(rows):
+            want[i] = min([want.get(i, i), *(want.get(rows[m][0], rows[m][0]) for m in links[k])])
+            for m in links[k]:
+                want[rows[m][0]] = min(want[i], want.get(rows[m][0], rows[m][0]))
+    for seed in range(3):
+        order = rng.permutation(len(rows))
+        df = spark.createDataFrame([(rows[k][0], None if rows[k][1] is None else rows[k][1].tolist(), rows[k][2]) for k in order], "vec_id long, embedding array<double>, label int").repartition(3)
+        got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(df).collect())
+        assert got == sorted((i, len(links[k]), want[i]) for k, (i, *_) in enumerate(rows))
+
+
 def test_private_keys_are_told_apart_by_their_bodies(spark):
     rng = np.random.default_rng(2)
     head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
