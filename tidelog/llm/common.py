@@ -9,10 +9,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPACE_FREE = r"[^\x20\x09-\x0D]+"
+SPACE = r"\x20\x09-\x0D"
+SPACE_FREE = rf"[^{SPACE}]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,6 +59,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def count_runs(text: Column, between: str) -> Column:
+    """How many runs a text has of characters other than those of the class `between` (null: 0): pieces between matches, less empty ones at the ends."""
+    pieces_ = F.size(F.split(text, f"[{between}]+", -1))
+    ends = text.rlike(f"^[{between}]").cast("int") + F.substring(text, -1, 1).rlike(f"[{between}]").cast("int")
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(pieces_ - ends).cast("long")
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, changed where the table has such a column already (case aside)."""
     taken = {c.lower() for c in df.columns}

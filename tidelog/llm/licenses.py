@@ -15,14 +15,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, count_runs, table
 from .signatures import rules
 from .spans import match_spans
 
 #: Fixed values of the base phrases: (words, label).
 PHRASES = [(("cc", "by"), "cc-by"), (("general", "public", "license"), "gpl"), (("all", "rights", "reserved"), "reserved")]
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words while A-Z are not yet lower-cased.
+BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 RULES = rules()
@@ -102,7 +103,7 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     read = given.withColumn("low", F.lower("text")).withColumn("check", F.xxhash64("text"))
     found = detections(read, docs.sparkSession)
-    base = read.select("doc_id", "check", F.regexp_count("text", F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"), base_places(F.col("low"), F.translate("text", UPPER, LOWER)).alias("places"))
+    base = read.select("doc_id", "check", count_runs(F.col("text"), BETWEEN).alias("n_words"), base_places(F.col("low"), F.translate("text", UPPER, LOWER)).alias("places"))
     rows = base.withColumnRenamed("doc_id", "id").withColumnRenamed("check", "ck").join(found, [F.col("id").eqNullSafe(F.col("doc_id")), F.col("ck") == F.col("check")], "left")
     starts = F.transform("places", lambda p: p["start"])
     own = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))

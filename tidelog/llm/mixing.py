@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_FREE, cut, hint_small, table, unused
+from .common import SPACE, SPACE_FREE, count_runs, cut, hint_small, table, unused
 
 SHARES = (1.0, 2.0, 3.0)
 MOST = 3.0
@@ -108,7 +108,7 @@ def plan_of(sized: DataFrame) -> DataFrame:
 
 def sized_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(doc_id, source, size), cut: one pass over the texts."""
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(SPACE_FREE)), F.lit(0)).cast("long")
+    size = count_runs(F.col(text_col).cast("string"), SPACE)
     return cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")))
 
 

@@ -13,7 +13,7 @@ _V = r"(?:,?\s+(?:version|v\.?)\s*|[\s-]+v?)"
 _L = r"licen[cs]e"
 
 #: Words of which a text of most signatures holds one.
-STEMS = ["licen", "software", "copyright", "permission", "commons", "rights"]
+STEMS = ["licen", ".org/", "software", "copyright", "permission", "commons", "rights", "public", "gpl", "source", "distribut", "exception", "warrant", "font", "perl", "names"]
 
 #: (label, keyword, name, SPDX identifiers or "", address or "")
 FAMILIES = [
@@ -337,5 +337,5 @@ def always(pattern: str) -> list[str]:
 
 def stem_of(pattern: str, keyword: str) -> str:
     """The first word of STEMS that every match holds, else the keyword: texts without it are not asked for the keyword."""
-    held = always(pattern)
+    held = [keyword, *always(pattern)]
     return next((s for s in STEMS if any(s in r for r in held)), keyword)
