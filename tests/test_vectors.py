@@ -122,23 +122,157 @@ def test_placement():
     assert placement.bins_needed([0.6, 0.6, 0.4, 0.4]) == 2
     assert placement.overloaded([5.0, 0.1, 0.1], 1.0) == [False, True, True]
     assert placement.overloaded([0.5, 0.6, 0.3], 1.0) == [False, True, False]
-    jobs = [(i, 0.2, 0) for i in range(12)]
-    made = placement.place(jobs, [1, 2, 3, 4])
-    assert set(made) == set(range(12))
-    loads = {w: sum(0.2 for x in made.values() if x == w) for w in set(made.values())}
-    assert max(loads.values()) <= 1.0
-    again = placement.place([(j, 0.2, w) for j, w in made.items()], [1, 2, 3, 4], per_uri=4)
-    assert set(again) == set(made)
     assert placement.replace_stale([(1, 1.0), (2, 3.0), (3, 1.0)], [7, 8]) == {2: 7, 3: 8, 1: 8}
     assert placement.balance({1: [(1, 2.0), (2, 2.0)], 2: []}, 3.0) == {2: 1, 1: 2}
     assert placement.hibernating_plan(32, 10) == [10, 11, 11]
-    assert placement.free_workers({}, 1) == 0
 
 
-def test_scale_state():
-    s = ScaleState()
-    assert s.sample(0, 1.0) == 1.0 and s.mode == "CALIBRATING"
-    for i in range(1, 12):
-        s.sample(i * 60_000, 1.5)
-    assert 1.2 <= s.scale <= 2.0
-    assert ScaleState().sample(0, 0.0) == 0.0
+def test_jobs_go_to_the_least_loaded_then_to_the_newest_spare_worker():
+    # Two workers a URI, taken from the newest on; the third job fits no longer and takes a spare one.
+    assert placement.place([(1, "u", 0.6, None), (2, "u", 0.6, None), (3, "u", 0.6, None)], [1, 2, 3, 4]) == {1: 3, 2: 4, 3: 2}
+    # Without a spare one the least loaded takes more than it should, and unloading gives back what has no better place.
+    assert placement.place([(1, "u", 0.6, None), (2, "u", 0.6, None), (3, "u", 0.6, None)], [3, 4]) == {1: 3, 2: 4, 3: 3}
+    # Lost workers' jobs are placed anew, others stay.
+    assert placement.place([(1, "u", 0.2, 9), (2, "u", 0.2, 1), (3, "u", 0.2, 1)], [1, 2]) == {1: 2, 2: 1, 3: 1}
+    assert placement.place([(1, "u", 0.2, None)], []) == {}
+
+
+def test_workers_merge_beyond_what_a_uri_needs():
+    jobs = [(1, "u", 0.1, 1), (2, "u", 0.2, 2), (3, "u", 0.3, 3)]
+    # All merge on 3, so the pool's second worker is idle: worker 3 gives up its jobs, and they are dealt to the least loaded.
+    assert placement.place(jobs, [1, 2, 3]) == {1: 2, 2: 3, 3: 2}
+    fleet = placement.Fleet(jobs, [1, 2, 3], 1.0, 2)
+    fleet.minimise()
+    assert fleet.at == {1: 3, 2: 3, 3: 3}
+    full = placement.Fleet([(1, "u", 0.6, 1), (2, "u", 0.6, 2), (3, "u", 0.6, 3)], [1, 2, 3], 1.0, 2)
+    full.minimise()
+    assert full.at == {1: 1, 2: 2, 3: 3}
+
+
+def test_idle_workers_are_fed():
+    fleet = placement.Fleet([(1, "u", 0.3, 1), (2, "u", 0.3, 1)], [1, 2], 1.0, 2)
+    assert fleet.feed() == {1: 1, 2: 1} and fleet.at == {1: None, 2: None}
+    assert placement.place([(1, "u", 0.3, 1), (2, "u", 0.3, 1)], [1, 2]) == {1: 1, 2: 2}
+    # One job alone stays; then nothing more is tried, not even for other URIs.
+    alone = placement.Fleet([(1, "a", 0.3, 1), (2, "b", 0.3, 3), (3, "b", 0.3, 3)], [1, 2, 3, 4], 1.0, 2)
+    assert alone.feed() == {}
+
+
+def test_overloaded_jobs_go_back_where_no_place_is_better():
+    fleet = placement.Fleet([(1, "u", 0.7, 1), (2, "u", 0.7, 1), (3, "u", 0.7, 2)], [1, 2], 1.0, 2)
+    assert fleet.unload() == {2: 1}
+    fleet.assign({2: 1})
+    assert fleet.at == {1: 1, 2: 1, 3: 2}
+
+
+def test_workers_move_between_partitions(spark):
+    held = spark.createDataFrame([(w, 0, float(w), 1) for w in range(1, 7)] + [(10, 1, 1.0, 1)], "worker_id long, part int, load double, jobs int")
+    free = spark.createDataFrame([(20,)], "worker_id long")
+    needed = spark.createDataFrame([(0, 2), (1, 3), (2, 1)], "part int, needed long")
+    got = {r.worker_id: r.part for r in placement.spread_workers(held, free, needed).collect()}
+    # Partition 0 gives up two; 20, 1 and 2 go to partitions 1, 2, 1 in turns.
+    assert got == {3: 0, 4: 0, 5: 0, 6: 0, 10: 1, 20: 1, 1: 2, 2: 1}
+    only = placement.spread_workers(held.where("part = 0"), free, needed.where("part = 0"))
+    assert {r.part for r in only.collect()} == {0} and only.count() == 7
+
+
+def test_hibernating_groups_fill_few_workers(spark):
+    workers = spark.createDataFrame([(0, w) for w in (1, 2, 3)] + [(1, 9)], "pod long, worker_id long")
+    rows = [(0, g, 1) for g in (1, 2, 3, 4)] + [(0, 5, 2), (0, 6, None), (2, 7, None)]
+    got = {r.group_id: r.worker_id for r in placement.balance_hibernating(spark.createDataFrame(rows, "pod long, group_id long, worker_id long"), workers, 3).collect()}
+    # Six groups on two workers, three each: 2 and 1 are used, 4 moves, 6 is placed.
+    assert got == {1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 2, 7: None}
+
+
+def test_groups_without_workers_go_to_other_pods(spark):
+    groups = spark.createDataFrame([(g, 9) for g in range(4)] + [(10, 0)], "group_id long, pod long")
+    workers = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 4)], "pod long, worker_id long")
+    assert {r.group_id: r.pod for r in placement.fallback_pods(groups, workers).collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 10: 0}
+
+
+def minutes(state, values, start=0):
+    return [state.sample(start + 60_000 * (i + 1), v) for i, v in enumerate(values)]
+
+
+def test_scale_goes_up_within_its_window():
+    s = ScaleState(0, 1.0)
+    assert s.mode == "RUNNING"
+    out = minutes(s, [1.5] * 10)
+    # Ten samples and more than five minutes: the lower edge of the bucket that holds half of them.
+    assert out[:9] == [1.0] * 9 and out[9] == pytest.approx(1.5) and s.mode == "RUNNING"
+
+
+def test_scale_goes_down_only_after_a_day():
+    s = ScaleState(0, 1.0)
+    assert set(minutes(s, [0.6] * 1440)) == {1.0}
+    assert minutes(s, [0.6], 1440 * 60_000)[0] == pytest.approx(0.6)
+
+
+def test_calibration_is_fast_and_ends():
+    s = ScaleState(0, 1.0, from_quota=True)
+    assert s.mode == "CALIBRATING"
+    assert minutes(s, [0.6] * 10)[-1] == pytest.approx(0.6) and s.mode == "CALIBRATING"
+    out = minutes(s, [0.6] * 40, 600_000)
+    assert set(out) == {s.scale} and s.mode == "CALIBRATING"
+    minutes(s, [s.scale * 1.5] * 20, 3_000_000)
+    assert s.mode == "RUNNING"
+
+
+def test_sleep_needs_three_days_and_survives_changes_of_scale():
+    s = ScaleState(0, 1.0)
+    hour = 3_600_000
+    for h in range(1, 30):
+        s.sample(h * hour, 0.0)
+    # Down by the least factor once a day is over, yet the window for sleep goes on.
+    assert s.scale == pytest.approx(0.5) and s.mode == "RUNNING"
+    for h in range(30, 73):
+        s.sample(h * hour, 0.0)
+    assert s.mode == "RUNNING"
+    s.sample(73 * hour, 0.0)
+    s.sample(74 * hour, 0.0)
+    assert s.mode == "HIBERNATE" and s.scale == 0.0
+    never = ScaleState(0, 1.0, sleeps=False)
+    for h in range(1, 200):
+        never.sample(h * hour, 0.0)
+    assert never.mode == "RUNNING"
+
+
+def test_waking_is_bounded():
+    s = ScaleState(0, 0.0)
+    assert s.mode == "HIBERNATE"
+    minutes(s, [0.0] * 20)
+    assert s.mode == "HIBERNATE"
+    minutes(s, [7.0] * 10, 1_200_000)
+    if s.mode == "HIBERNATE":
+        minutes(s, [7.0], 1_800_000)
+    assert s.mode == "RUNNING" and 0 < s.scale <= 1.0
+
+
+def test_tiny_scales_do_not_go_down():
+    s = ScaleState(0, 1e-8)
+    assert len(s.movers) == 1
+
+
+def test_bootstrap_holds_without_a_limit():
+    f = folds.Inflight(0, 2, 1)
+    assert f.acquire() and f.acquire() and not f.acquire()
+    f.release()
+    f.release()
+    assert all(f.acquire() for _ in range(50))
+
+
+def test_inbound_limits():
+    x = folds.Inbound(1, 3, 10_000, 10, 25)
+    assert [x.receive(k, b) for k, b in ((1, 6), (2, 6), (3, 0), (4, 4), (5, 1))] == ["OWN", "POOL", "EMPTY", "OWN", "FULL"]
+    x.done(2)
+    assert x.receive(6, 20) == "POOL" and x.pool.used == 20
+    x.done(6)
+    assert x.receive(7, 30) == "FULL" and x.count.used == 2
+
+
+def test_ack_manager():
+    m = folds.AckManager(folds.Inbound(1, 2), 3)
+    assert m.receive(1, 5) == 1 and m.receive(2, 5) == 1 and m.receive(3, 5) == -1
+    assert m.ack(2) == -3 and m.receive(3, 5) == 1 and m.live == {1, 3}
+    assert m.receive(4, 5) == -2
+    assert m.ack(1) == 3 and m.receive(4, 5) == 1 and m.ack(9) == -1

@@ -65,16 +65,19 @@ class Tokens:
 
 
 class Inflight:
-    """Fixed limit on what is in flight; with a bootstrap, a lower one until so many have succeeded. Limit 0 lets all pass."""
+    """Fixed limit on what is in flight; with a bootstrap, a lower one until more than so many have succeeded.
+
+    A limit of 0 is none, but the bootstrap's holds all the same.
+    """
 
     def __init__(self, limit: int, bootstrap: int = 0, successes: int = 0):
         self.limit, self.bootstrap, self.need, self.used, self.done = limit, bootstrap, successes, 0, 0
 
     def acquire(self, n: int = 1) -> bool:
-        if self.limit == 0 or n < 0:
+        if n < 0:
             return True
-        most = min(self.limit, self.bootstrap) if self.bootstrap and self.done <= self.need else self.limit
-        if self.used > most - n:
+        limits = [x for x in (self.limit, self.bootstrap if self.done <= self.need else 0) if x]
+        if limits and self.used > min(limits) - n:
             return False
         self.used += n
         return True
@@ -84,18 +87,54 @@ class Inflight:
         self.done += succeeded
 
 
+class Inbound:
+    """Limits on messages received and not yet done: their number, and their bytes with what is over taken from a shared pool.
+
+    Limits grow with the partitions; messages without bytes ask for nothing.
+    """
+
+    def __init__(self, partitions: int, messages: int = 1_000, most: int = 10_000, size: int = 10 << 20, pool: int = 512 << 20):
+        self.count = Inflight(min(most, partitions * messages))
+        self.bytes, self.pool = Inflight(partitions * size), Inflight(pool)
+        self.held: dict[object, tuple[Inflight, int]] = {}
+
+    def receive(self, key: object, size: int) -> str:
+        """OWN or POOL by where the bytes come from, FULL if they have to wait, EMPTY without any."""
+        if size <= 0:
+            return "EMPTY"
+        if not self.count.acquire():
+            return "FULL"
+        for name, where in (("OWN", self.bytes), ("POOL", self.pool)):
+            if where.acquire(size):
+                self.held[key] = (where, size)
+                return name
+        self.count.release()
+        return "FULL"
+
+    def done(self, key: object) -> None:
+        where, size = self.held.pop(key, (None, 0))
+        if where is not None:
+            where.release(size)
+            self.count.release()
+
+
 class Queue:
-    """Acknowledgement queue of a partition, step by step: receive, ack, nack and cancel."""
+    """Acknowledgement queue of a partition, step by step: receive, ack, nack and cancel; full at its capacity (0: none)."""
 
     UNSET, NACKED, CANCELED, ACKED = range(4)
 
-    def __init__(self):
+    def __init__(self, capacity: int = 0):
+        self.capacity = capacity
         self.states: dict[int, int] = {}
         self.order: deque[int] = deque()
         self.top = self.committed = None
 
+    @property
+    def full(self) -> bool:
+        return 0 < self.capacity <= len(self.order)
+
     def receive(self, offset: int) -> bool:
-        if self.top is not None and offset <= self.top:
+        if self.full or self.top is not None and offset <= self.top:
             return False
         if self.top is None:
             self.committed = offset
@@ -131,3 +170,30 @@ class Queue:
             return False
         self.states[offset] = self.CANCELED
         return True
+
+
+class AckManager:
+    """What a partition has in hand: the inbound limits, then the live messages, then the queue; acknowledged in the order queue, limits, messages."""
+
+    def __init__(self, limits: Inbound, capacity: int = 0):
+        self.limits, self.live, self.queue = limits, set(), Queue(capacity)
+
+    def receive(self, offset: int, size: int) -> int:
+        """1 if taken; 0 if it was before; -1 if the limits, -2 if the queue is full: the caller waits, nothing is kept."""
+        if self.queue.full:
+            return -2
+        if self.limits.receive(offset, size) == "FULL":
+            return -1
+        taken = self.queue.receive(offset)
+        if taken:
+            self.live.add(offset)
+        return int(taken)
+
+    def ack(self, offset: int) -> int:
+        position = self.queue.ack(offset + 1)
+        self.limits.done(offset)
+        self.live.discard(offset)
+        return position
+
+    def nack(self, offset: int) -> bool:
+        return self.queue.nack(offset)

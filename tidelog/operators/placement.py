@@ -1,8 +1,9 @@
-"""Placement of jobs on workers: greedy by nature, so it runs per URI or virtual partition.
+"""Placement of jobs on workers: greedy by nature, so it runs per pod or virtual partition.
 
 Where the outcome depends on an order that is not defined, ascending ids are
-used. A group is one URI's or one partition's jobs, which are bounded by the
-fleet that serves it, not by the messages.
+used. A group is one pod's or one partition's jobs, which are bounded by the
+fleet that serves it, not by the messages.  What has a closed form is made of
+window functions over the fleet.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ import heapq
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 JOBS_PER_WORKER = 500
 
@@ -44,57 +46,135 @@ def overloaded(loads: list[float], cap: float) -> list[bool]:
     return out
 
 
-def place(jobs: list[tuple[int, float, int]], workers: list[int], cap: float = 1.0, per_uri: int = 2) -> dict[int, int]:
-    """Worker of each (job, load, worker now) of one URI, workers in order of preference.
+class Fleet:
+    """Where the jobs of several URIs run: one worker each, or none."""
 
-    Jobs on unknown workers are free; workers over per_uri merge while two fit
-    together; overloaded workers give up jobs; free jobs go to the least loaded
-    worker with room or none yet, then to a spare one, else to the least loaded.
-    """
-    known = set(workers)
-    held: dict[int, list[tuple[float, int]]] = {}
-    free: list[tuple[float, int]] = []
-    for job, load, at in sorted(jobs):
-        if at in known:
-            held.setdefault(at, []).append((load, job))
-        else:
-            free.append((load, job))
-    size = lambda w: sum(x for x, _ in held[w])
-    while len(held) > per_uri:
-        by = sorted(held, key=lambda w: (size(w), w))
-        into = next((w for w in reversed(by[1:]) if size(w) + size(by[0]) < cap), None)
-        if into is None:
-            break
-        held[into] += held.pop(by[0])
-    for w in held:
-        leave = overloaded([x for x, _ in held[w]], cap)
-        free += [j for j, out in zip(held[w], leave, strict=True) if out]
-        held[w] = [j for j, out in zip(held[w], leave, strict=True) if not out]
-    spare = [w for w in workers if w not in held]
-    while len(held) < per_uri and spare:
-        held[spare.pop(0)] = []
-    for load, job in sorted(free, key=lambda x: (-x[0], x[1])):
-        if not held and not spare:
-            continue
-        w = min(held, key=lambda w: (size(w), w)) if held else None
-        if w is None or (held[w] and size(w) + load >= cap and spare):
-            w = spare.pop(0)
-            held[w] = []
-        held[w].append((load, job))
-    return {job: w for w, own in held.items() for _, job in own}
-
-
-def place_by_uri(jobs: DataFrame, workers: DataFrame, cap: float = 1.0) -> DataFrame:
-    """(job_id, worker_id): each URI has its own share of the workers, dealt by worker id."""
-    ids = [r["worker_id"] for r in workers.select("worker_id").orderBy("worker_id").collect()]  # the fleet
-    uris = [r["uri"] for r in jobs.select("uri").distinct().orderBy("uri").collect()]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = uris.index(pdf.uri.iloc[0])
-        made = place(list(zip(pdf.job_id, pdf.scale, pdf.worker_id, strict=True)), ids[k :: len(uris)], cap)
+    def __init__(self, jobs: list[tuple[int, str, float, int | None]], workers: list[int], cap: float, per_uri: int):
+        self.cap, self.per_uri = cap, per_uri
+        self.workers = set(workers)
+        self.job = {j: (uri, load) for j, uri, load, _ in sorted(jobs, key=lambda x: x[0])}
+        # A job on a worker that is gone has none.
+        self.at = {j: w if w in self.workers else None for j, _, _, w in sorted(jobs, key=lambda x: x[0])}
+
+    def loads(self, uri: str) -> dict[int | None, float]:
+        out: dict[int | None, float] = {}
+        for j, (own, load) in self.job.items():
+            if own == uri:
+                out[self.at[j]] = out.get(self.at[j], 0.0) + load
+        return out
+
+    def uris(self) -> list[str]:
+        return sorted({uri for uri, _ in self.job.values()})
+
+    def minimise(self) -> None:
+        """Where a URI has more workers than it needs, the least loaded merge into the most loaded that has room.
+
+        Jobs without a worker count as one, so they may draw others to be placed anew with them.
+        """
+        for uri in self.uris():
+            load = self.loads(uri)
+            if len(load) <= self.per_uri:
+                continue
+            rising = sorted(load, key=lambda w: (load[w], -1 if w is None else w))
+            for this in rising:
+                for other in reversed(rising):
+                    if other == this:
+                        break
+                    if load[other] + load[this] < self.cap:
+                        for j, w in self.at.items():
+                            if w == this:
+                                self.at[j] = other
+                        load[other] += load[this]
+                        load[this] = 0.0
+                        break
+
+    def pools(self) -> dict[str, dict[int, float]]:
+        """Workers of each URI with its load on them, topped up to per_uri from the spare ones, newest first."""
+        out = {uri: {w: x for w, x in self.loads(uri).items() if w is not None} for uri in self.uris()}
+        spare = self.spare(out)
+        for pool in out.values():
+            while len(pool) < self.per_uri and spare:
+                pool[spare.pop(0)] = 0.0
+        return out
+
+    def spare(self, pools: dict[str, dict[int, float]]) -> list[int]:
+        return sorted(self.workers - {w for pool in pools.values() for w in pool}, reverse=True)
+
+    def assign(self, original: dict[int, int]) -> None:
+        """Jobs without a worker: the least loaded of the pool if there is room or it is idle, a spare one, the original one, the least loaded."""
+        pools = self.pools()
+        spare = self.spare(pools)
+        for j, (uri, load) in self.job.items():
+            if self.at[j] is not None:
+                continue
+            pool = pools[uri]
+            least = min(pool, key=lambda w: (pool[w], w), default=None)
+            if least is not None and (pool[least] + load < self.cap or pool[least] == 0.0):
+                to = least
+            elif spare:
+                to = spare.pop(0)
+            elif j in original:
+                to = original[j] if original[j] in pool else None
+            else:
+                to = least
+            if to is not None:
+                pool[to] = pool.get(to, 0.0) + load
+                self.at[j] = to
+
+    def feed(self) -> dict[int, int]:
+        """A URI with an idle worker gives up all jobs of its most loaded worker that has not just one; without such a one, nothing more is tried."""
+        freed: dict[int, int] = {}
+        for pool in self.pools().values():
+            if not pool or min(pool.values()) != 0.0:
+                continue
+            busy = [w for w in sorted(pool, key=lambda w: (pool[w], w), reverse=True) if pool[w] != 0.0]
+            give = next((w for w in busy if sum(at == w for at in self.at.values()) != 1), None)
+            if give is None:
+                return freed
+            for j, at in self.at.items():
+                if at == give:
+                    self.at[j] = None
+                    freed[j] = give
+        return freed
+
+    def unload(self) -> dict[int, int]:
+        """Jobs beyond their worker's capacity; its first job always stays."""
+        total: dict[int, float] = {}
+        freed: dict[int, int] = {}
+        for j, (_, load) in self.job.items():
+            w = self.at[j]
+            if w is None:
+                continue
+            if w not in total or total[w] + load < self.cap:
+                total[w] = total.get(w, 0.0) + load
+            else:
+                freed[j] = w
+        for j in freed:
+            self.at[j] = None
+        return freed
+
+
+def place(jobs: list[tuple[int, str, float, int | None]], workers: list[int], cap: float = 1.0, per_uri: int = 2) -> dict[int, int]:
+    """Worker of each (job, uri, load, worker now): merge, assign, feed idle workers, unload overloaded ones, assign again."""
+    fleet = Fleet(jobs, workers, cap, per_uri)
+    fleet.minimise()
+    fleet.assign({})
+    original = fleet.feed()
+    original |= fleet.unload()
+    fleet.assign(original)
+    return {j: w for j, w in fleet.at.items() if w is not None}
+
+
+def place_by_pod(jobs: DataFrame, workers: DataFrame, cap: float = 1.0) -> DataFrame:
+    """(job_id, placed_on): jobs (pod, job_id, uri, scale, worker_id) of each pod on its workers (pod, worker_id)."""
+
+    def one(own: pd.DataFrame, fleet: pd.DataFrame) -> pd.DataFrame:
+        made = place(list(zip(own.job_id.tolist(), own.uri.tolist(), own.scale.tolist(), own.worker_id.tolist(), strict=True)), fleet.worker_id.tolist(), cap)
         return pd.DataFrame({"job_id": list(made), "placed_on": list(made.values())}, dtype="int64")
 
-    return jobs.select("uri", "job_id", "scale", "worker_id").groupBy("uri").applyInPandas(one, "job_id long, placed_on long")
+    left = jobs.select(F.col("pod").cast("long").alias("pod"), "job_id", "uri", "scale", "worker_id")
+    right = workers.select(F.col("pod").cast("long").alias("pod"), "worker_id")
+    return left.groupBy("pod").cogroup(right.groupBy("pod")).applyInPandas(one, "job_id long, placed_on long")
 
 
 def replace_stale(jobs: list[tuple[int, float]], workers: list[int]) -> dict[int, int]:
@@ -127,9 +207,72 @@ def balance(held: dict[int, list[tuple[int, float]]], limit: float, most_jobs: i
     return {job: w for w, own in held.items() for job, _ in own}
 
 
-def free_workers(assigned: dict[int, int], surplus: int) -> int:
-    """How many workers a partition with a surplus gives up: none below 2, else a tenth but two at least."""
-    return 0 if surplus < 2 else min(len(assigned), max(2, int(0.1 * surplus)))
+def spread_workers(held: DataFrame, free: DataFrame, needed: DataFrame, share: float = 0.1, least: int = 2) -> DataFrame:
+    """(worker_id, part) after workers have moved between partitions; part is null for those left over.
+
+    held: (worker_id, part, load, jobs); free: (worker_id); needed: (part, needed),
+    one row a partition.  A partition with `least` or more too many gives up a share
+    of the surplus, `least` at least, from the least loaded on.  Free workers, in
+    order, and then those given up are dealt to the short partitions in turns.  One
+    partition alone gives up none and takes all.
+    """
+    alone = F.lit(needed.count() <= 1)
+    size = needed.join(held.groupBy("part").agg(F.count("*").alias("n")), "part", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    surplus = F.col("n") - F.col("needed")
+    give = F.when(~alone & (surplus >= least), F.least(F.col("n"), F.greatest(F.lit(least), F.floor(surplus * share)))).otherwise(F.lit(0))
+    size = size.withColumn("give", give).withColumn("short", F.when(alone, F.lit((1 << 31) - 1)).otherwise(F.greatest(F.lit(0), -surplus)).cast("long"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("load", "jobs", "worker_id"))
+    ranked = held.join(size.select("part", "give"), "part").withColumn("rank", rank)
+    # The fleet: workers in line, and one slot for each place in each turn.
+    line = free.select("worker_id", F.lit(-1).alias("from"), F.col("worker_id").alias("at")).unionByName(ranked.where("rank <= give").select("worker_id", F.col("part").cast("int").alias("from"), F.col("rank").cast("long").alias("at")))
+    line = line.withColumn("k", F.row_number().over(Window.orderBy("from", "at")))
+    most = line.count()
+    slots = size.where("short > 0").select("part", F.explode(F.sequence(F.lit(1), F.least(F.col("short"), F.lit(most)).cast("int"))).alias("turn")) if most else size.limit(0).select("part", F.lit(1).alias("turn"))
+    slots = slots.withColumn("k", F.row_number().over(Window.orderBy("turn", "part")))
+    moved = line.select("worker_id", "k").join(slots.select("k", "part"), "k", "left").select("worker_id", "part")
+    return ranked.where("rank > give").select("worker_id", "part").unionByName(moved)
+
+
+def balance_hibernating(groups: DataFrame, workers: DataFrame, per_worker: int = 15) -> DataFrame:
+    """(group_id, worker_id): hibernating groups of each pod spread evenly over as few workers as hold them; null without workers.
+
+    groups: (pod, group_id, worker_id or null); workers: (pod, worker_id).  The
+    workers with the most groups are used, and keep groups up to their share;
+    what is over, after that of workers no longer used and groups without one,
+    fills the workers that are short, in order.
+    """
+    pod = Window.partitionBy("pod")
+    held = groups.groupBy("pod", "worker_id").agg(F.count("*").alias("n"))
+    many = groups.groupBy("pod").agg(F.count("*").alias("groups"))
+    fleet = workers.join(held, ["pod", "worker_id"], "left").withColumn("n", F.coalesce("n", F.lit(0))).join(many, "pod")
+    fleet = fleet.withColumn("rank", F.row_number().over(pod.orderBy("n", "worker_id"))).withColumn("workers", F.count("*").over(pod))
+    used = F.least(F.col("workers"), F.ceil(F.col("groups") / F.lit(float(per_worker))))
+    fleet = fleet.withColumn("used", used).withColumn("i", F.col("rank") - (F.col("workers") - F.col("used")) - 1)
+    low = F.floor(F.col("groups") / F.col("used"))
+    share = F.when(F.col("i") >= 0, low + (F.col("i") >= F.col("used") - F.col("groups") % F.col("used")).cast("long")).otherwise(F.lit(0))
+    fleet = fleet.withColumn("share", share).withColumn("short", F.greatest(F.lit(0), F.col("share") - F.col("n")))
+    fleet = fleet.withColumn("upto", F.sum("short").over(pod.orderBy("rank")))
+    placed = groups.join(fleet.select("pod", "worker_id", "rank", "i", "share"), ["pod", "worker_id"], "left")
+    placed = placed.withColumn("r", F.row_number().over(Window.partitionBy("pod", "worker_id").orderBy("group_id")))
+    stays = F.coalesce(F.col("r") <= F.col("share"), F.lit(False))
+    place_ = F.when(F.col("i") < 0, 0).when(F.col("worker_id").isNull() | F.col("i").isNull(), 1).otherwise(2)
+    free = placed.where(~stays).withColumn("k", F.row_number().over(pod.orderBy(place_, F.coalesce("rank", F.lit(0)), "group_id")))
+    room = fleet.where("short > 0").select(F.col("pod").alias("p"), F.col("worker_id").alias("to"), (F.col("upto") - F.col("short")).alias("after"), "upto")
+    moved = free.join(room, (F.col("pod") == F.col("p")) & (F.col("k") > F.col("after")) & (F.col("k") <= F.col("upto")), "left").select("group_id", F.col("to").alias("worker_id"))
+    return placed.where(stays).select("group_id", "worker_id").unionByName(moved)
+
+
+def fallback_pods(groups: DataFrame, workers: DataFrame) -> DataFrame:
+    """(group_id, pod): groups of pods without workers go to the others in proportion to their workers, rounded, in order; null if none is left for them."""
+    share = workers.groupBy("pod").agg(F.count("*").alias("n"))
+    total, lost = workers.count(), groups.join(share.select("pod"), "pod", "left_anti")
+    many = lost.count()
+    takes = F.floor(F.col("n") / F.lit(float(max(total, 1))) * F.lit(many) + F.lit(0.5)).cast("long")
+    # One row a pod.
+    room = share.withColumn("takes", takes).withColumn("upto", F.sum("takes").over(Window.orderBy("pod"))).select(F.col("pod").alias("to"), (F.col("upto") - F.col("takes")).alias("after"), "upto")
+    line = lost.withColumn("k", F.row_number().over(Window.orderBy("group_id")))
+    moved = line.join(F.broadcast(room), (F.col("k") > F.col("after")) & (F.col("k") <= F.col("upto")), "left").select("group_id", F.col("to").alias("pod"))
+    return groups.join(share.select("pod"), "pod").select("group_id", "pod").unionByName(moved)
 
 
 def hibernating_plan(groups: int, workers: int, per_worker: int = 15) -> list[int]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +28,10 @@ def valid_worker(jobs: DataFrame, workers: DataFrame) -> DataFrame:
     """Worker ids outside the live set become 0."""
     live = workers.select("worker_id", F.lit(True).alias("_live"))
     return jobs.join(live, "worker_id", "left").withColumn("worker_id", F.when(F.col("_live"), F.col("worker_id")).otherwise(F.lit(0))).drop("_live")
+
+
+def derived(jobs: DataFrame, templates: DataFrame, keys: list[str], own: list[str]) -> DataFrame:
+    """The jobs with `derived`: whether all columns but a job's own are those of its template (a struct column `template`)."""
+    shared = [c for c in jobs.columns if c not in own]
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("template")[c]) for c in shared], F.lit(True))
+    return jobs.join(templates, keys).withColumn("derived", same).drop("template")

@@ -42,11 +42,34 @@ def same_cluster(origin: Column, own: str) -> Column:
     return (F.coalesce(origin, F.lit("")) == "") | (F.lower(origin) == own.lower())
 
 
+def reserved_name(name: Column) -> Column:
+    """True for header names that begin with the reserved word, in any case."""
+    return F.lower(name).startswith("kafka")
+
+
 def all_of(*tests: Column) -> Column:
     """Conjunction; without tests everything passes."""
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
+def filtered(messages: DataFrame, filters: list) -> DataFrame:
+    """A chain of filters before the call: column functions of no argument that return a status or null; the first status stops the message.
+
+    `blocked` is that status, null where the call is made.
+    """
+    return messages.withColumn("blocked", F.coalesce(*[f() for f in filters], F.lit(None).cast("string")))
+
+
+def mapped_errors(error: Column, filters: list) -> Column:
+    """An error's status by the chain's last filter that knows it, as on the way back; the error itself if none does."""
+    return F.coalesce(*[f(error) for f in reversed(filters)], error)
+
+
+def translated(messages: DataFrame, stage) -> DataFrame:
+    """A stage that maps messages (a function from DataFrame to DataFrame) and hands them on, as many as came."""
+    return messages.transform(stage)
+
+
 def book(messages: DataFrame) -> DataFrame:
     """Counters after an outcome: attempts rise unless acknowledged, retries where the message moves on."""
     done, moved = F.col("code").isin("SKIP", "COMMIT"), F.col("code").isin("RETRY", "RESQ", "DLQ")

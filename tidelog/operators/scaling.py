@@ -2,54 +2,125 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
+#: Scales below are as good as none; what a hibernating group may wake to at most.
+IDLE, BOOTSTRAP = 1e-7, 1.0
+BUCKETS, LEAST_SAMPLES = 100, 10
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What a proposal is read from: samples are clamped to scale * [low, high], and taken within scale * [least, most]."""
+
+    low: float
+    high: float
+    least: float
+    most: float
+    percentile: float
+
+
+#: Fixed values of the four kinds of proposal.
+UP = Bounds(1.0, 2.0, 1.2, 2.0, 0.5)
+DOWN = Bounds(0.5, 1.0, 0.5, 0.8, 0.99)
+SLEEP = Bounds(0.0, 1.0, 0.0, 0.0, 0.99)
+WAKE = Bounds(0.0, 1.0, IDLE, 1.0, 0.5)
+
+
+@dataclass(frozen=True)
+class Durations:
+    """Window lengths in ms, and how long calibration lasts."""
+
+    up: int = 5 * 60_000
+    down: int = 24 * 3_600_000
+    sleep: int = 72 * 3_600_000
+    calibrating: int = 5 * 60_000
+    calibration: int = 30 * 60_000
+
+
+class Proposer:
+    """A tumbling histogram of samples; once mature it proposes its percentile or, if that is out of bounds, starts anew."""
+
+    def __init__(self, bounds: Bounds, scale: float, length: int, now: int):
+        self.bounds, self.scale, self.length = bounds, scale, length
+        self.low = scale * bounds.low
+        self.width = (scale * bounds.high - self.low) / BUCKETS
+        self._restart(now)
+
+    def _restart(self, now: int) -> None:
+        self.began, self.counts, self.n = now, [0] * BUCKETS, 0
+
+    def sample(self, now: int, value: float) -> float | None:
+        self.counts[min(BUCKETS - 1, max(0, math.ceil((value - self.low) / self.width)))] += 1
+        self.n += 1
+        if self.n < LEAST_SAMPLES or now - self.began <= self.length:
+            return None
+        pivot, run, at = int(self.bounds.percentile * self.n), 0, 0
+        for at, count in enumerate(self.counts):  # noqa: B007
+            run += count
+            if run >= pivot:
+                break
+        proposal = self.low + at * self.width
+        if self.scale * self.bounds.least <= proposal <= self.scale * self.bounds.most:
+            return proposal
+        self._restart(now)
+        return None
+
 
 class ScaleState:
     """Scale of a job group from samples of (ms, scale).
 
-    Bounds: (share of buckets' percentile, least and most factor of the scale
-    now).  A proposal within the bounds of a mature window is taken, and the
-    window starts anew; outside all bounds nothing changes but the window of
-    that computer.  Calibrating turns into running after 30 minutes; 0 is
-    hibernation, from which any sample wakes with a scale of 1 at most.
+    It starts asleep with scale 0, calibrating if its scale stands for a quota,
+    else running.  Calibrating and running groups go up or down by windows of
+    their own lengths; tiny ones only go up.  Any change starts both windows
+    anew; the window for sleep belongs to the running state and survives its
+    changes.  A proposal after the calibration period ends it.  A sample that
+    changes the scale is not seen by the windows after the one that took it.
     """
 
-    BOUNDS = {"up": (0.5, 1.2, 2.0), "down": (0.99, 0.5, 0.8)}
+    def __init__(self, now: int, scale: float, from_quota: bool = False, sleeps: bool = True, durations: Durations = Durations()):  # noqa: B008
+        self.durations, self.sleeps = durations, sleeps
+        if scale == 0:
+            self._sleep(now)
+        elif from_quota:
+            self.since = now
+            self._windows(now, scale, True)
+        else:
+            self._run(now, scale)
 
-    def __init__(self, window_ms: int = 300_000, calibrate_ms: int = 1_800_000, least_samples: int = 10, idle: float = 1e-7):
-        self.window, self.calibrate, self.need, self.idle = window_ms, calibrate_ms, least_samples, idle
-        self.scale, self.since, self.mode, self.held, self.began = None, None, "NEW", [], None
+    def _windows(self, now: int, scale: float, calibrating: bool) -> None:
+        self.mode, self.scale = "CALIBRATING" if calibrating else "RUNNING", scale
+        d = self.durations
+        self.movers = [Proposer(UP, scale, d.calibrating if calibrating else d.up, now)]
+        if scale > IDLE:
+            self.movers.append(Proposer(DOWN, scale, d.calibrating if calibrating else d.down, now))
 
-    def _percentile(self, p: float) -> float:
-        low, high, n = 0.0, 4.0 * max(self.scale, 1e-6), 100
-        counts = [0] * n
-        for x in self.held:
-            counts[min(n - 1, max(0, -int(-((x - low) / ((high - low) / n)) // 1)))] += 1
-        pivot, run = int(p * len(self.held)), 0
-        for i, c in enumerate(counts):
-            run += c
-            if run >= pivot:
-                return low + i * (high - low) / n
-        return high
+    def _run(self, now: int, scale: float) -> None:
+        self._windows(now, scale, False)
+        self.sleeper = Proposer(SLEEP, scale, self.durations.sleep, now) if self.sleeps else None
+
+    def _sleep(self, now: int) -> None:
+        self.mode, self.scale = "HIBERNATE", 0.0
+        self.waker = Proposer(WAKE, BOOTSTRAP, self.durations.up, now)
 
     def sample(self, now: int, value: float) -> float:
-        if self.mode == "NEW":
-            self.scale, self.mode, self.since, self.began = value, "HIBERNATE" if value <= self.idle else "CALIBRATING", now, now
-            return self.scale
         if self.mode == "HIBERNATE":
-            if value > self.idle:
-                self.scale, self.mode, self.since, self.began, self.held = min(1.0, value), "CALIBRATING", now, now, []
+            proposal = self.waker.sample(now, value)
+            if proposal is not None:
+                self._run(now, proposal)
             return self.scale
-        if self.mode == "CALIBRATING" and now - self.began >= self.calibrate:
-            self.mode = "RUNNING"
-        self.held.append(value)
-        if len(self.held) >= self.need and now - self.since > self.window:
-            for p, low, high in self.BOUNDS.values():
-                proposal = self._percentile(p)
-                if self.scale * low <= proposal <= self.scale * high:
-                    self.scale = proposal
-                    break
+        for mover in self.movers:
+            proposal = mover.sample(now, value)
+            if proposal is None:
+                continue
+            if self.mode == "RUNNING":
+                self._windows(now, proposal, False)
+            elif now - self.since > self.durations.calibration:
+                self._run(now, proposal)
             else:
-                if max(self.held) <= self.idle:
-                    self.scale, self.mode = 0.0, "HIBERNATE"
-            self.held, self.since = [], now
+                self._windows(now, proposal, True)
+            return self.scale
+        if self.mode == "RUNNING" and self.sleeper is not None and self.sleeper.sample(now, value) is not None:
+            self._sleep(now)
         return self.scale

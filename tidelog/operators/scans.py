@@ -12,6 +12,28 @@ def bounded(log: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     return ranges.join(log, keys).where(inside)
 
 
+def bounded_sums(log: DataFrame, ranges: DataFrame, groups: list[str], keys: list[str], value: str) -> DataFrame:
+    """Number and sum of the records of each range in each group, without meeting a record twice.
+
+    Running totals by offset make a range's sum the difference of two of them: its
+    ends are put into the log as marks, one for each distinct end, and a frame over
+    the ordered offsets gives the totals before them.  Work is that of a sort of
+    log and ends, however long or many the ranges are.  An end of 0 or less is the log's.
+    """
+    top = F.lit((1 << 63) - 1)
+    end = F.when(F.col("end_off") <= 0, top).otherwise(F.greatest("end_off", "start_off"))
+    bounds = ranges.select(*keys, "range_id", F.col("start_off").alias("a"), end.alias("b"))
+    marks = bounds.select(*keys, F.explode(F.array("a", "b")).alias("off")).distinct()
+    # A mark stands before the record of its offset; each group has all marks of its keys.
+    of = log.select(*groups, *keys).distinct()
+    line = log.select(*groups, *keys, "off", F.lit(1).alias("n"), F.col(value).alias("x")).unionByName(marks.join(of, keys).select(*groups, *keys, "off", F.lit(0).alias("n"), F.lit(0).cast("long").alias("x")))
+    upto = Window.partitionBy(*groups, *keys).orderBy("off", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = line.withColumns({"count": F.sum("n").over(upto), "sum": F.sum("x").over(upto)}).where("n = 0").select(*groups, *keys, "off", "count", "sum")
+    first = bounds.join(totals.withColumnsRenamed({"off": "a", "count": "c0", "sum": "s0"}), [*keys, "a"])
+    both = first.join(totals.withColumnsRenamed({"off": "b", "count": "c1", "sum": "s1"}), [*groups, *keys, "b"])
+    return both.select("range_id", *groups, (F.col("c1") - F.col("c0")).alias("n"), (F.col("s1") - F.col("s0")).alias("total")).where("n > 0")
+
+
 def watermarks(log: DataFrame) -> DataFrame:
     return log.groupBy("topic", "part").agg(F.min("off").alias("low"), (F.max("off") + 1).alias("high"))
 

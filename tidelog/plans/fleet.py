@@ -97,10 +97,49 @@ def scale_proposal(v: Views) -> DataFrame:
     return p.select("job_id", "percentile", now.alias("scale"), what.alias("proposal"))
 
 
-@query()
+def _bucket_sql(value: str, low: str, width: str) -> str:
+    return f"CAST(least(99, greatest(0, ceil(({value} - {low}) / {width}))) AS INT)"
+
+
+def _edge_sql(held: str, p: float, low: str, width: str) -> str:
+    """The percentile of a list of buckets: the one at which the running count reaches int(p * n)."""
+    at = f"CAST(floor({p} * len({held})) AS BIGINT)"
+    return f"({low} + CASE WHEN {at} <= 0 THEN 0 ELSE list_sort({held})[{at}] END * {width})"
+
+
+# Windows are lists of buckets with their begin; m: mode (C, R, H), s: scale, c: begin of calibration, z: scale of the sleep window.
+_UP_W, _DN_W, _HB_W = "((s * 2.0 - s * 1.0) / 100)", "((s * 1.0 - s * 0.5) / 100)", "((z * 1.0 - z * 0.0) / 100)"
+REPLAY = f"""WITH RECURSIVE e AS (SELECT job_id, event_id, ts_ms AS t, msgs / 4000.0 AS x, row_number() OVER (PARTITION BY job_id ORDER BY ts_ms, event_id) AS k FROM status),
+ r AS (SELECT job_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS k, CASE job_id % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'R' ELSE 'H' END AS m, CASE WHEN job_id % 3 = 2 THEN CAST(0 AS DOUBLE) ELSE 0.05::DOUBLE END AS s, t AS c, 0.05::DOUBLE AS z,
+   t AS ut, CAST([] AS INT[]) AS uv, t AS dt, CAST([] AS INT[]) AS dv, t AS ht, CAST([] AS INT[]) AS hv, t AS wt, CAST([] AS INT[]) AS wv FROM e WHERE k = 1
+ UNION ALL
+ SELECT job_id, event_id, k, CASE WHEN moved THEN CASE WHEN m = 'C' AND t - c <= 1800000 THEN 'C' ELSE 'R' END WHEN slept THEN 'H' WHEN woke THEN 'R' ELSE m END,
+   CASE WHEN uo THEN up WHEN do_ THEN dp WHEN slept THEN 0 WHEN woke THEN wp ELSE s END, c, CASE WHEN m = 'C' AND moved AND t - c > 1800000 THEN CASE WHEN uo THEN up ELSE dp END WHEN woke THEN wp ELSE z END,
+   CASE WHEN moved OR woke OR um THEN t ELSE ut END, CASE WHEN moved OR woke OR um THEN [] ELSE uv END,
+   CASE WHEN moved OR woke OR dm THEN t ELSE dt END, CASE WHEN moved OR woke OR dm THEN [] ELSE dv END,
+   CASE WHEN (m = 'C' AND moved) OR woke OR hm THEN t ELSE ht END, CASE WHEN (m = 'C' AND moved) OR woke OR hm THEN [] ELSE hv END,
+   CASE WHEN slept OR wm THEN t ELSE wt END, CASE WHEN slept OR wm THEN [] ELSE wv END
+ FROM (SELECT *, uo OR do_ AS moved, hm AND hp = 0 AS slept, coalesce(wm AND wp >= 1e-7 AND wp <= 1.0, FALSE) AS woke FROM (SELECT *, coalesce(hv_seen AND len(hv) >= 10 AND t - ht > 259200000, FALSE) AS hm, {_edge_sql("hv", 0.99, "z * 0.0", _HB_W)} AS hp
+ FROM (SELECT * REPLACE (CASE WHEN m = 'R' AND NOT uo AND NOT do_ THEN list_append(hv, {_bucket_sql("x", "z * 0.0", _HB_W)}) ELSE hv END AS hv), m = 'R' AND NOT uo AND NOT do_ AS hv_seen
+ FROM (SELECT *, coalesce(dm AND dp >= s * 0.5 AND dp <= s * 0.8, FALSE) AS do_ FROM (SELECT *, coalesce(d_seen AND len(dv) >= 10 AND t - dt > CASE m WHEN 'C' THEN 300000 ELSE 86400000 END, FALSE) AS dm, {_edge_sql("dv", 0.99, "s * 0.5", _DN_W)} AS dp
+ FROM (SELECT * REPLACE (CASE WHEN m <> 'H' AND NOT uo AND s > 1e-7 THEN list_append(dv, {_bucket_sql("x", "s * 0.5", _DN_W)}) ELSE dv END AS dv), m <> 'H' AND NOT uo AND s > 1e-7 AS d_seen
+ FROM (SELECT *, coalesce(um AND up >= s * 1.2 AND up <= s * 2.0, FALSE) AS uo FROM (SELECT *, coalesce(m <> 'H' AND len(uv) >= 10 AND t - ut > 300000, FALSE) AS um, {_edge_sql("uv", 0.5, "s * 1.0", _UP_W)} AS up, coalesce(m = 'H' AND len(wv) >= 10 AND t - wt > 300000, FALSE) AS wm, {_edge_sql("wv", 0.5, "0.0", "0.01")} AS wp
+ FROM (SELECT r.job_id, e.event_id, e.k, e.t, e.x, m, s, c, z, ut, CASE WHEN m <> 'H' THEN list_append(uv, {_bucket_sql("x", "s * 1.0", _UP_W)}) ELSE uv END AS uv, dt, dv, ht, hv, wt, CASE WHEN m = 'H' THEN list_append(wv, {_bucket_sql("x", "0.0", "0.01")}) ELSE wv END AS wv
+  FROM r JOIN e ON e.job_id = r.job_id AND e.k = r.k + 1))))))))))
+ SELECT job_id, event_id, round(s, 6) AS scale FROM r WHERE k > 0"""
+
+
+@query(REPLAY)
 def scale_replay(v: Views) -> DataFrame:
-    """The state machine over all samples of each job, by time."""
-    return folds.ordered_fold(v.status, ["job_id"], ["ts_ms", "event_id"], ["job_id", "event_id", "ts_ms", "msgs"], ScaleState, lambda s, r: float(s.sample(r["ts_ms"], r["msgs"] / 4000.0)), "scale", "double").select("job_id", "event_id", "scale")
+    """The state machine over all samples of each job, by time: a third starts from a quota, a third from a known scale, a third asleep."""
+
+    def step(held: dict, r: dict) -> float:
+        if not held:
+            held["state"] = ScaleState(r["ts_ms"], 0.0 if r["job_id"] % 3 == 2 else 0.05, r["job_id"] % 3 == 0)
+        return float(held["state"].sample(r["ts_ms"], r["msgs"] / 4000.0))
+
+    out = folds.ordered_fold(v.status, ["job_id"], ["ts_ms", "event_id"], ["job_id", "event_id", "ts_ms", "msgs"], dict, step, "scale", "double")
+    return out.select("job_id", "event_id", F.round("scale", 6).alias("scale"))
 
 
 @query("SELECT event_id, job_id FROM (SELECT *, lag(q) OVER (PARTITION BY job_id ORDER BY event_id) AS p FROM (SELECT event_id, job_id, event_id // 500 % 2 AS q FROM status)) WHERE p IS NOT NULL AND p <> q")
@@ -139,6 +178,31 @@ def reactive_window(v: Views) -> DataFrame:
     return cum.agg(F.coalesce(F.min(F.when(F.col("cum") < total / 1.1 - total, F.col("seconds"))), F.max("seconds"), F.lit(0)).alias("shortened"))
 
 
+@query("SELECT event_id, round(greatest(msgs / 4000, bytes / 16777216), 9) AS scale FROM status")
+def requested_scale(v: Views) -> DataFrame:
+    """The scale that a request's totals stand for, whatever scale it names."""
+    return v.status.select("event_id", F.round(d.throughput_scale(F.col("msgs"), F.col("bytes")), 9).alias("scale"))
+
+
+@query(f"SELECT group_id, job_id, seconds FROM ({PREDICTION}) WHERE seconds > 0 AND next - now < 0")
+def down_scales(v: Views) -> DataFrame:
+    """Predictions of less scale that lie ahead."""
+    return _down_scales(v).select("group_id", "job_id", "seconds")
+
+
+def _down_scales(v: Views) -> DataFrame:
+    return _prediction(v).withColumn("diff", F.col("next") - F.col("now")).where("seconds > 0 and diff < 0")
+
+
+@query(f"""WITH p AS (SELECT group_id, seconds, sum(CAST(round((next - now) * 10000) AS BIGINT)) AS diff FROM ({PREDICTION}) WHERE seconds > 0 AND next - now < 0 GROUP BY group_id, seconds),
+ c AS (SELECT *, sum(diff) OVER (PARTITION BY group_id ORDER BY seconds) AS cum FROM p) SELECT group_id, min(seconds) FILTER (cum < -20000) AS seconds FROM c GROUP BY group_id""")
+def first_below(v: Views) -> DataFrame:
+    """For each group the countdown at which two workers' scale or more is gone: the first prefix sum below the target, null without one."""
+    p = _down_scales(v).groupBy("group_id", "seconds").agg(F.sum(F.round(F.col("diff") * 10_000).cast("long")).alias("diff"))
+    cum = p.withColumn("cum", F.sum("diff").over(Window.partitionBy("group_id").orderBy("seconds")))
+    return cum.groupBy("group_id").agg(F.min(F.when(F.col("cum") < -20_000, F.col("seconds"))).alias("seconds"))
+
+
 @query("SELECT job_id, greatest(100.0, least(600.0, greatest(scale * 150.0, least(scale * 450.0, 300.0)))) AS win FROM jobs")
 def window_clamp(v: Views) -> DataFrame:
     """Within half of the old value either way, then within the bounds."""
@@ -241,12 +305,14 @@ def stale_jobs(v: Views) -> DataFrame:
     return v.jobs.join(v.workers, "worker_id", "left_anti").select("job_id")
 
 
-@query()
+@query("""WITH live AS (SELECT worker_id, row_number() OVER (ORDER BY worker_id) - 1 AS k, count(*) OVER () AS n FROM workers WHERE state = 'WORKING')
+ SELECT j.job_id, l.worker_id FROM (SELECT job_id, (job_id * 2654435761 % 4294967296) // 65536 AS h FROM jobs WHERE worker_id NOT IN (SELECT worker_id FROM workers)) j JOIN live l ON l.k = j.h % l.n""")
 def default_placement(v: Views) -> DataFrame:
-    """A live worker for each job without one, by a seeded hash in place of chance."""
-    live = [r["worker_id"] for r in v.workers.where("state = 'WORKING'").orderBy("worker_id").collect()]  # the fleet
-    pick = F.element_at(F.lit(live), (F.pmod(F.xxhash64("job_id", F.lit(7)), F.lit(len(live))) + 1).cast("int"))
-    return v.jobs.join(v.workers.select("worker_id"), "worker_id", "left_anti").select("job_id", pick.alias("worker_id"))
+    """A live worker for each job without one, by a multiplicative hash in place of chance."""
+    live = v.workers.where("state = 'WORKING'").select("worker_id", (F.row_number().over(Window.orderBy("worker_id")) - 1).alias("k"))  # the fleet
+    n = live.count()
+    lost = v.jobs.join(v.workers.select("worker_id"), "worker_id", "left_anti").select("job_id", F.expr(f"((job_id * 2654435761) % 4294967296 div 65536) % {max(n, 1)}").alias("k"))
+    return lost.join(live, "k").select("job_id", "worker_id")
 
 
 @query("SELECT job_id, scale < 0.05 AS hibernating FROM jobs")
@@ -272,33 +338,78 @@ def workers_needed_by_count(v: Views) -> DataFrame:
     return v.jobs.groupBy((F.col("group_id") % 4).alias("part")).agg(F.count(F.when(F.col("scale") >= 1, 1)).alias("dedicated"), F.ceil(F.count(F.when(F.col("scale") < 1, 1)) / 500.0).cast("long").alias("shared"))
 
 
-@query()
+def _part(v: Views) -> DataFrame:
+    name = F.concat(F.lit("group-"), F.col("group_id").cast("string"))
+    return v.jobs.withColumn("part", d.virtual_partition(name, F.lit(4)))
+
+
+#: The string hash of "group-" and a number, by steps; it ends in the virtual partition.
+PART_SQL = """g AS (SELECT DISTINCT group_id, 'group-' || group_id AS name FROM jobs), hs AS (SELECT group_id, name, 0 AS i, CAST(0 AS BIGINT) AS h FROM g UNION ALL SELECT group_id, name, i + 1, (h * 31 + ascii(substr(name, i + 1, 1))) % 4294967296 FROM hs WHERE i < length(name)),
+ parts AS (SELECT group_id, abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END % 10000) % 4 AS part FROM hs WHERE i = length(name))"""
+
+
+@query(f"""WITH RECURSIVE {PART_SQL}, e AS (SELECT part, scale, row_number() OVER (PARTITION BY part ORDER BY scale DESC) AS k FROM jobs JOIN parts USING (group_id) WHERE scale < 1.0),
+ f AS (SELECT DISTINCT part, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS bins FROM parts UNION ALL SELECT f.part, e.k, list_sort(CASE WHEN len(bins) > 0 AND bins[1] + e.scale <= 1.0 THEN list_append(bins[2:], bins[1] + e.scale) ELSE list_append(bins, e.scale) END) FROM f JOIN e ON e.part = f.part AND e.k = f.k + 1)
+ SELECT f.part, CAST(ceil(round(greatest(len(max_by(bins, k)), ceil(max(k) / 500.0)) * 1.13, 9)) AS BIGINT) + (SELECT count(*) FROM jobs JOIN parts USING (group_id) WHERE part = f.part AND scale >= 1.0) AS needed FROM f GROUP BY f.part""")
 def packing_count(v: Views) -> DataFrame:
     """Workers each virtual partition needs, by packing."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": [int(pdf.part.iloc[0])], "needed": [placement.workers_needed(pdf.scale.tolist())]})
 
-    name = F.concat(F.lit("group-"), F.col("group_id").cast("string"))
-    return v.jobs.select(d.virtual_partition(name, F.lit(4)).alias("part"), "scale").groupBy("part").applyInPandas(one, "part long, needed long")
+    return _part(v).select("part", "scale").groupBy("part").applyInPandas(one, "part long, needed long")
+
+
+def _pod_jobs(v: Views) -> DataFrame:
+    return v.jobs.where("state = 'RUNNING'").withColumn("pod", F.col("group_id") % 4)
 
 
 @query()
 def uri_placement(v: Views) -> DataFrame:
-    return placement.place_by_uri(v.jobs.where("state = 'RUNNING'"), v.workers)
+    """Running jobs of each pod on its workers, URI by URI, with the spare workers shared."""
+    return placement.place_by_pod(_pod_jobs(v), v.workers, 3.0)
 
 
 @query()
+def shadow_rebalance(v: Views) -> DataFrame:
+    """The same placement on a copy: what is stored stays, the shadow's result stands beside it."""
+    shadow = placement.place_by_pod(_pod_jobs(v), v.workers, 3.0).withColumnRenamed("placed_on", "shadow_id")
+    return v.jobs.select("job_id", "worker_id").join(shadow, "job_id", "left")
+
+
+@query("""WITH RECURSIVE stale AS (SELECT job_id, scale, group_id % 4 AS part, row_number() OVER (PARTITION BY group_id % 4 ORDER BY scale DESC, job_id DESC) AS k FROM jobs WHERE worker_id NOT IN (SELECT worker_id FROM workers)),
+ w AS (SELECT (r - 1) % 4 AS part, list({'l': CAST(0 AS DOUBLE), 'n': 0, 'w': worker_id} ORDER BY worker_id) AS heap FROM (SELECT worker_id, row_number() OVER (ORDER BY worker_id) AS r FROM workers) GROUP BY (r - 1) % 4),
+ f AS (SELECT part, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS job_id, CAST(NULL AS BIGINT) AS worker_id, heap FROM w
+ UNION ALL SELECT f.part, s.k, s.job_id, heap[1].w, list_sort(list_append(heap[2:], {'l': heap[1].l + s.scale, 'n': heap[1].n + 1, 'w': heap[1].w})) FROM f JOIN stale s ON s.part = f.part AND s.k = f.k + 1)
+ SELECT job_id, worker_id FROM f WHERE k > 0""")
 def stale_replacement(v: Views) -> DataFrame:
     """Jobs of lost workers on the workers of their partition."""
-    ids = [r["worker_id"] for r in v.workers.orderBy("worker_id").collect()]  # the fleet
+    fleet = v.workers.select("worker_id", F.pmod(F.row_number().over(Window.orderBy("worker_id")) - 1, F.lit(4)).cast("long").alias("part"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = placement.replace_stale(list(zip(pdf.job_id, pdf.scale, strict=True)), ids[int(pdf.part.iloc[0]) :: 4])
+    def one(jobs: pd.DataFrame, workers: pd.DataFrame) -> pd.DataFrame:
+        made = placement.replace_stale(list(zip(jobs.job_id, jobs.scale, strict=True)), sorted(workers.worker_id.tolist()))
         return pd.DataFrame({"job_id": list(made), "worker_id": list(made.values())}, dtype="int64")
 
-    stale = v.jobs.join(v.workers.select("worker_id"), "worker_id", "left_anti")
-    return stale.select("job_id", "scale", (F.col("group_id") % 4).alias("part")).groupBy("part").applyInPandas(one, "job_id long, worker_id long")
+    stale = v.jobs.join(v.workers.select("worker_id"), "worker_id", "left_anti").select("job_id", "scale", (F.col("group_id") % 4).alias("part"))
+    return stale.groupBy("part").cogroup(fleet.groupBy("part")).applyInPandas(one, "job_id long, worker_id long")
+
+
+NEEDED = "SELECT p AS part, CAST(ceil((SELECT count(*) FROM workers) * (p + 1) / 10.0) AS BIGINT) AS needed FROM (SELECT unnest(range(4)) AS p)"
+HELD = "SELECT j.worker_id, min_by(group_id % 4, group_id * 1000000 + job_id) AS part, round(sum(scale), 4) AS load, count(*) AS jobs FROM jobs j JOIN workers w ON w.worker_id = j.worker_id GROUP BY j.worker_id"
+
+
+@query(f"""WITH held AS ({HELD}), need AS (SELECT n.part, n.needed, count(h.worker_id) AS n FROM ({NEEDED}) n LEFT JOIN held h ON h.part = n.part GROUP BY n.part, n.needed),
+ give AS (SELECT *, CASE WHEN n - needed >= 2 THEN least(n, greatest(2, CAST(floor((n - needed) * 0.1) AS BIGINT))) ELSE 0 END AS give, greatest(0, needed - n) AS short FROM need),
+ ranked AS (SELECT h.worker_id, h.part, g.give, row_number() OVER (PARTITION BY h.part ORDER BY load, jobs, worker_id) AS r FROM held h JOIN give g ON g.part = h.part),
+ line AS (SELECT worker_id, row_number() OVER (ORDER BY f, a) AS k FROM (SELECT worker_id, -1 AS f, worker_id AS a FROM workers WHERE worker_id NOT IN (SELECT worker_id FROM held) UNION ALL SELECT worker_id, part, r FROM ranked WHERE r <= give)),
+ slots AS (SELECT part, row_number() OVER (ORDER BY turn, part) AS k FROM (SELECT part, unnest(range(1, short + 1)) AS turn FROM give))
+ SELECT worker_id, part FROM ranked WHERE r > give UNION ALL SELECT line.worker_id, slots.part FROM line LEFT JOIN slots ON slots.k = line.k""")
+def round_robin_workers(v: Views) -> DataFrame:
+    """Workers go from partitions with too many, and from none, to those that are short."""
+    total = v.workers.count()
+    needed = v.spark.range(4).select(F.col("id").alias("part"), F.ceil(F.lit(total) * (F.col("id") + 1) / F.lit(10.0)).cast("long").alias("needed"))
+    held = v.jobs.join(v.workers.select("worker_id"), "worker_id").groupBy("worker_id").agg(F.min_by(F.col("group_id") % 4, F.struct("group_id", "job_id")).alias("part"), F.round(F.sum("scale"), 4).alias("load"), F.count("*").alias("jobs"))
+    return placement.spread_workers(held, v.workers.select("worker_id").join(held.select("worker_id"), "worker_id", "left_anti"), needed)
 
 
 @query()
@@ -335,11 +446,26 @@ def hibernating_plan(v: Views) -> DataFrame:
     return v.spark.range(n).select(F.col("id").alias("i"), (F.lit(32 // n) + (F.col("id") >= n - 32 % n).cast("long")).alias("share"))
 
 
-@query("""WITH h AS (SELECT job_id, worker_id, row_number() OVER (PARTITION BY worker_id ORDER BY job_id) AS r FROM jobs WHERE scale < 0.1) SELECT job_id, r <= 2 AS stays FROM h""")
+@query("""WITH g AS (SELECT j.job_id AS group_id, w.worker_id, coalesce(w.pod, j.job_id % 4) AS pod FROM jobs j LEFT JOIN workers w ON w.worker_id = j.worker_id WHERE scale < 0.1),
+ size AS (SELECT pod, count(*) AS g FROM g GROUP BY pod), fl AS (SELECT w.pod, w.worker_id, count(x.group_id) AS n, any_value(s.g) AS g FROM workers w JOIN size s ON s.pod = w.pod LEFT JOIN g x ON x.worker_id = w.worker_id GROUP BY w.pod, w.worker_id),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY pod ORDER BY n, worker_id) AS r, count(*) OVER (PARTITION BY pod) AS w FROM fl), pl AS (SELECT *, least(w, CAST(ceil(g / 2.0) AS BIGINT)) AS p, r - (w - least(w, CAST(ceil(g / 2.0) AS BIGINT))) - 1 AS i FROM rk),
+ sh AS (SELECT *, CASE WHEN i < 0 THEN 0 ELSE g // p + CASE WHEN i >= p - g % p THEN 1 ELSE 0 END END AS share FROM pl), de AS (SELECT *, greatest(0, share - n) AS short, sum(greatest(0, share - n)) OVER (PARTITION BY pod ORDER BY r) AS upto FROM sh),
+ own AS (SELECT x.*, d.r AS rank, d.i, d.share, row_number() OVER (PARTITION BY x.pod, x.worker_id ORDER BY x.group_id) AS q FROM g x LEFT JOIN de d ON d.pod = x.pod AND d.worker_id = x.worker_id),
+ free AS (SELECT *, row_number() OVER (PARTITION BY pod ORDER BY CASE WHEN i < 0 THEN 0 WHEN worker_id IS NULL THEN 1 ELSE 2 END, coalesce(rank, 0), group_id) AS k FROM own WHERE NOT coalesce(q <= share, FALSE))
+ SELECT group_id, worker_id FROM own WHERE q <= share UNION ALL SELECT f.group_id, d.worker_id FROM free f LEFT JOIN de d ON d.pod = f.pod AND d.short > 0 AND f.k > d.upto - d.short AND f.k <= d.upto""")
 def hibernating_balance(v: Views) -> DataFrame:
-    """Groups stay where they are up to the plan; the rest moves."""
-    r = F.row_number().over(Window.partitionBy("worker_id").orderBy("job_id"))
-    return v.jobs.where("scale < 0.1").withColumn("r", r).select("job_id", (F.col("r") <= 2).alias("stays"))
+    """Hibernating jobs, each a group, two at most on a worker: what is over its share moves to where some is missing."""
+    groups = v.jobs.where("scale < 0.1").join(v.workers.select("worker_id", F.col("pod").cast("long").alias("pod"), F.lit(True).alias("known")), "worker_id", "left")
+    groups = groups.select(F.col("job_id").alias("group_id"), F.when(F.col("known"), F.col("worker_id")).alias("worker_id"), F.coalesce("pod", F.col("job_id") % 4).alias("pod"))
+    return placement.balance_hibernating(groups, v.workers.select(F.col("pod").cast("long").alias("pod"), "worker_id"), 2)
+
+
+@query("""WITH g AS (SELECT job_id AS group_id, job_id % 6 AS pod FROM jobs), s AS (SELECT pod, count(*) AS n FROM workers GROUP BY pod), l AS (SELECT group_id, row_number() OVER (ORDER BY group_id) AS k FROM g WHERE pod NOT IN (SELECT pod FROM s)),
+ t AS (SELECT pod, CAST(floor(n / (SELECT CAST(count(*) AS DOUBLE) FROM workers) * (SELECT count(*) FROM l) + 0.5) AS BIGINT) AS takes FROM s), r AS (SELECT pod, takes, sum(takes) OVER (ORDER BY pod) AS upto FROM t)
+ SELECT group_id, pod FROM g WHERE pod IN (SELECT pod FROM s) UNION ALL SELECT l.group_id, r.pod FROM l LEFT JOIN r ON l.k > r.upto - r.takes AND l.k <= r.upto""")
+def pod_fallback(v: Views) -> DataFrame:
+    """Groups of two pods that have no workers go to the other four."""
+    return placement.fallback_pods(v.jobs.select(F.col("job_id").alias("group_id"), (F.col("job_id") % 6).alias("pod")), v.workers.select(F.col("pod").cast("long").alias("pod"), "worker_id"))
 
 
 @query("SELECT g.pod, count(*) AS groups, bool_or(w.pod IS NOT NULL) AS has_workers FROM (SELECT group_id, group_id % 6 AS pod FROM groups) g LEFT JOIN (SELECT DISTINCT pod FROM workers) w ON w.pod = g.pod GROUP BY g.pod")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import decisions as d
-from tidelog.operators import routing, scans
+from tidelog.operators import reconcile, routing, scans
 from tidelog.plans.registry import query
 from tidelog.sources.views import Views
 
@@ -58,11 +58,11 @@ def seek_applied(v: Views) -> DataFrame:
     return _bounds(v).select("range_id", F.coalesce(d.seek_dead_letter(*map(F.col, ("wanted", "earliest", "latest"))), committed, F.col("wanted")).alias("position"))
 
 
-@query("""SELECT r.range_id, count(*) AS n, sum(l.vbytes)::BIGINT AS bytes FROM ranges r JOIN log l ON l.part = r.part AND l.topic = 'click' AND l.off >= r.start_off AND (r.end_off <= 0 OR l.off < r.end_off) WHERE r.range_id % 50 = 0 GROUP BY r.range_id""")
+@query("""SELECT range_id, topic, n, bytes FROM ranges JOIN (SELECT r.part, r.start_off, r.end_off, l.topic, count(*) AS n, sum(l.vbytes)::BIGINT AS bytes FROM (SELECT DISTINCT part, start_off, end_off FROM ranges) r
+ JOIN log l ON l.part = r.part AND l.off >= r.start_off AND (r.end_off <= 0 OR l.off < r.end_off) GROUP BY r.part, r.start_off, r.end_off, l.topic) USING (part, start_off, end_off)""")
 def bounded_scan(v: Views) -> DataFrame:
-    """Records of [start, end) for each range; the selection of ranges is part of the query."""
-    found = scans.bounded(v.log.where("topic = 'click'"), v.ranges.where("range_id % 50 = 0"), ["part"])
-    return found.groupBy("range_id").agg(F.count("*").alias("n"), F.sum("vbytes").alias("bytes"))
+    """Records and bytes of [start, end) for each range and topic."""
+    return scans.bounded_sums(v.log, v.ranges, ["topic"], ["part"], "vbytes").select("range_id", "topic", "n", F.col("total").alias("bytes"))
 
 
 @query("SELECT range_id, part, end_off AS commit_off FROM ranges WHERE start_off = end_off AND end_off > 0")
@@ -265,11 +265,13 @@ def job_diff(v: Views) -> DataFrame:
     return v.ranges.select("range_id", (own.dropFields("start_off") != other.dropFields("start_off")).alias("differs"))
 
 
-@query("SELECT job_id, uri = (SELECT min(uri) FROM jobs) AS derived FROM jobs")
+@query("""WITH j AS (SELECT job_id, group_id, uri, state, worker_id % 10 AS part FROM jobs), t AS (SELECT group_id, min_by(uri, job_id) AS uri, min_by(state, job_id) AS state FROM j GROUP BY group_id)
+ SELECT job_id, j.uri = t.uri AND j.state = t.state AS derived FROM j JOIN t ON t.group_id = j.group_id""")
 def derived_jobs(v: Views) -> DataFrame:
-    """Whether a job, its per-partition fields cleared, is its group's template."""
-    template = v.jobs.agg(F.min("uri").alias("t"))
-    return v.jobs.join(F.broadcast(template)).select("job_id", (F.col("uri") == F.col("t")).alias("derived"))  # the template is one row
+    """Whether a job, its per-partition fields cleared, is its group's template (that of its first job)."""
+    jobs = v.jobs.select("job_id", "group_id", "uri", "state", (F.col("worker_id") % 10).alias("part"))
+    template = jobs.groupBy("group_id").agg(F.min_by(F.struct("uri", "state"), "job_id").alias("template"))
+    return reconcile.derived(jobs, template, ["group_id"], ["job_id", "group_id", "part"]).select("job_id", "derived")
 
 
 @query("SELECT g.group_id, bool_and(j.state = 'CANCELED') AS jobs_canceled, bool_and(j.state = 'CANCELED') AND g.state = 'CANCELED' AS all_canceled FROM groups g JOIN jobs j ON g.group_id = j.group_id GROUP BY g.group_id, g.state")
@@ -299,7 +301,21 @@ def pod_of(v: Views) -> DataFrame:
 def header_guard(v: Views) -> DataFrame:
     """Custom header names may not begin with the reserved word, in any case."""
     name = F.expr("case event_id % 3 when 0 then 'KafkaX' when 1 then 'my-kafka' else 'trace' end")
-    return v.log.select("event_id", F.lower(name).startswith("kafka").alias("rejected"))
+    return v.log.select("event_id", routing.reserved_name(name).alias("rejected"))
+
+
+@query("""SELECT event_id, CASE WHEN vbytes <= 0 THEN 'INVALID_ARGUMENT' WHEN retry_count > 5 THEN 'RESOURCE_EXHAUSTED' END AS blocked, CASE status WHEN 'DATA_LOSS' THEN 'ABORTED' WHEN 'INTERNAL' THEN 'UNAVAILABLE' WHEN 'UNKNOWN' THEN 'UNAVAILABLE' ELSE status END AS answer FROM resp""")
+def filter_chain(v: Views) -> DataFrame:
+    """Two filters before the call, and three that map errors, asked from the last to the first."""
+    before = [lambda: F.when(F.col("vbytes") <= 0, "INVALID_ARGUMENT"), lambda: F.when(F.col("retry_count") > 5, "RESOURCE_EXHAUSTED")]
+    errors = [lambda e: F.when(e.isin("INTERNAL", "DATA_LOSS"), "UNKNOWN"), lambda e: F.when(e == "DATA_LOSS", "ABORTED"), lambda e: F.when(e.isin("INTERNAL", "UNKNOWN"), "UNAVAILABLE")]
+    return routing.filtered(v.resp, before).select("event_id", "blocked", routing.mapped_errors(F.col("status"), errors).alias("answer"))
+
+
+@query("SELECT event_id, upper(topic) AS topic, vbytes * 2 AS size FROM log")
+def translate_stage(v: Views) -> DataFrame:
+    """Messages mapped by a stage of their own and handed on."""
+    return routing.translated(v.log, lambda m: m.select("event_id", F.upper("topic").alias("topic"), (F.col("vbytes") * 2).alias("size")))
 
 
 @query(f"SELECT event_id, {ACTION_SQL} AS code FROM resp")
@@ -368,7 +384,12 @@ def consumer_response(v: Views) -> DataFrame:
     return v.resp.select("event_id", d.response_status(_code()).alias("answer"))
 
 
-@query(f"SELECT event_id, CASE WHEN role = 'DLQ' THEN NULL WHEN role <> 'RESQ' AND resq_topic <> '' THEN 'RESQ' WHEN role NOT IN ('RETRY','RESQ') AND retry_topic <> '' THEN 'RETRY' END AS code, CASE WHEN role = 'DLQ' THEN NULL WHEN role <> 'RESQ' AND resq_topic <> '' THEN 2 WHEN role NOT IN ('RETRY','RESQ') AND retry_topic <> '' THEN 50 END AS cost FROM (SELECT *, {ROLE_SQL} AS role FROM resp)")
+_FIRST, _SECOND = "role NOT IN ('DLQ','RESQ') AND resq_topic <> ''", "role NOT IN ('DLQ','RETRY','RESQ') AND retry_topic <> ''"
+#: rule, cost and reasons of the rule that cancels a blocked head, null without one.
+CANCEL_SQL = ", ".join(f"CASE WHEN {_FIRST} THEN {a} WHEN {_SECOND} THEN {b} END AS {name}" for name, a, b in (("rule", "'RESQ'", "'RETRY'"), ("cost", 2, 50), ("reasons", "'BLOCKING,SATURATION'", "'BLOCKING'")))
+
+
+@query(f"SELECT event_id, rule AS code, cost FROM (SELECT *, {CANCEL_SQL} FROM (SELECT *, {ROLE_SQL} AS role FROM resp))")
 def cancel_rule(v: Views) -> DataFrame:
     rule = d.cancel_rule(_role(), F.col("retry_topic"), F.col("resq_topic"))
     return v.resp.select("event_id", rule["code"].alias("code"), rule["cost"].alias("cost"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import decisions as d
 from tidelog.operators import commits, folds, windows
-from tidelog.plans.messages import CODE_SQL, _code, _role
+from tidelog.plans.messages import CANCEL_SQL, CODE_SQL, ROLE_SQL, _code, _role
 from tidelog.plans.registry import query
 from tidelog.sources.views import Views
 
@@ -29,7 +29,9 @@ def commit_progress(v: Views) -> DataFrame:
     return commits.progress(v.acks.withColumn("t", F.row_number().over(w).cast("long")), "t").select("topic", "part", "off", "returned")
 
 
-@query()
+@query("""WITH a AS (SELECT *, row_number() OVER (PARTITION BY topic, part ORDER BY event_id * 7919 % 10007, off) AS t FROM acks), m AS (SELECT *, max(CASE WHEN status = 'ACKED' THEN t ELSE 4611686018427387904 END) OVER (PARTITION BY topic, part ORDER BY off) AS done FROM a)
+ SELECT topic, part, off, 'RECEIVE' AS action, CAST(1 AS BIGINT) AS returned FROM acks UNION ALL
+ SELECT topic, part, off, status, CASE WHEN status <> 'ACKED' THEN 1 WHEN done = t THEN (SELECT max(off) FROM m x WHERE x.topic = m.topic AND x.part = m.part AND x.done <= m.t) + 1 ELSE -3 END FROM m""")
 def ack_replay(v: Views) -> DataFrame:
     """The queue step by step over receives and scrambled acknowledgements, as an ordered fold."""
     received = v.acks.selectExpr("topic", "part", "off", "0 as turn", "off as at", "'RECEIVE' as action")
@@ -80,10 +82,11 @@ def live_messages(v: Views) -> DataFrame:
     return v.log.join(done, "event_id", "left_anti").groupBy("topic", "part").agg(F.count("*").alias("live"))
 
 
-@query("SELECT topic, ts_ms // 3600000 AS hour, count(*) AS n FROM log GROUP BY topic, ts_ms // 3600000 HAVING count(*) > 4")
+@query("""SELECT topic, second, n, bytes, n > 1 AS messages_over, bytes > 9 AS bytes_over FROM (SELECT topic, ts_ms // 1000 AS second, count(*) AS n, sum(vbytes)::BIGINT AS bytes FROM log GROUP BY topic, ts_ms // 1000) WHERE n > 1 OR bytes > 9""")
 def rate_limited_seconds(v: Views) -> DataFrame:
-    """Buckets over quota (hours, for data as thin as this)."""
-    return v.log.groupBy("topic", F.expr("ts_ms div 3600000").alias("hour")).agg(F.count("*").alias("n")).where("n > 4")
+    """Seconds over the quota of one message or nine bytes."""
+    by = v.log.groupBy("topic", F.expr("ts_ms div 1000").alias("second")).agg(F.count("*").alias("n"), F.sum("vbytes").alias("bytes"))
+    return by.where("n > 1 or bytes > 9").select("*", (F.col("n") > 1).alias("messages_over"), (F.col("bytes") > 9).alias("bytes_over"))
 
 
 @query("SELECT group_id, CASE WHEN sum(m) <= 0 THEN 1 ELSE round(sum(m), 4) END AS msgs, count(*) AS n FROM (SELECT group_id, scale * 100 AS m FROM jobs WHERE state = 'RUNNING') GROUP BY group_id")
@@ -123,7 +126,15 @@ def token_bucket(v: Views) -> DataFrame:
     return folds.ordered_fold(v.log, ["topic", "part"], ["off"], ["topic", "part", "off", "event_id"], lambda: folds.Tokens(None), step, "granted", "boolean").drop("event_id")
 
 
-@query()
+#: Credits and debits that have not expired, as a list: what is left of it is the balance.
+HELD_SQL = "list_filter(held, lambda x: x.t > {now} - {window})"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT topic, part, off, ts_ms, event_id % 4 = 0 AS credit, row_number() OVER (PARTITION BY topic, part ORDER BY ts_ms, off) AS k FROM log),
+ r AS (SELECT DISTINCT topic, part, CAST(NULL AS BIGINT) AS off, CAST(0 AS BIGINT) AS k, FALSE AS granted, CAST([] AS STRUCT(t BIGINT, d INT)[]) AS held FROM e
+ UNION ALL SELECT topic, part, off, k, NOT credit AND left_ >= 1, CASE WHEN credit THEN list_append(held, {{'t': ts_ms, 'd': 2}}) WHEN left_ >= 1 THEN list_append(held, {{'t': ts_ms, 'd': -1}}) ELSE held END
+ FROM (SELECT *, coalesce(list_sum(list_transform(held, lambda x: x.d)), 0) + 1 AS left_ FROM (SELECT e.topic, e.part, e.off, e.k, e.credit, e.ts_ms, {HELD_SQL.format(now="e.ts_ms", window=21_600_000)} AS held FROM r JOIN e ON e.topic = r.topic AND e.part = r.part AND e.k = r.k + 1)))
+ SELECT topic, part, off, granted FROM r WHERE k > 0""")
 def token_bucket_window(v: Views) -> DataFrame:
     """As token_bucket with one free token, and credits and debits that expire after six hours."""
 
@@ -136,7 +147,12 @@ def token_bucket_window(v: Views) -> DataFrame:
     return folds.ordered_fold(v.log, ["topic", "part"], ["ts_ms", "off"], ["topic", "part", "off", "event_id", "ts_ms"], lambda: folds.Tokens(21_600_000, 1), step, "granted", "boolean").drop("event_id", "ts_ms")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT topic, part, event_id, ts_ms, code, role, timeout_count, row_number() OVER (PARTITION BY topic, part ORDER BY ts_ms, off) AS k FROM (SELECT *, {CODE_SQL} AS code, {ROLE_SQL} AS role FROM resp)),
+ r AS (SELECT DISTINCT topic, part, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS k, '' AS result, CAST([] AS STRUCT(t BIGINT, d INT)[]) AS held FROM e
+ UNION ALL SELECT topic, part, event_id, k, CASE WHEN code <> 'BACKOFF' THEN code WHEN role = 'DLQ' THEN 'DLQ' WHEN role = 'RESQ' THEN 'INVALID' WHEN timeout_count >= 2 AND left_ >= 1 THEN 'DLQ' ELSE 'RETRY' END,
+ CASE WHEN code IN ('SKIP', 'COMMIT') THEN list_append(held, {{'t': ts_ms, 'd': 1}}) WHEN code = 'BACKOFF' AND role NOT IN ('DLQ', 'RESQ') AND timeout_count >= 2 AND left_ >= 1 THEN list_append(held, {{'t': ts_ms, 'd': -1}}) ELSE held END
+ FROM (SELECT *, coalesce(list_sum(list_transform(held, lambda x: x.d)), 0) + 1 AS left_ FROM (SELECT e.*, {HELD_SQL.format(now="e.ts_ms", window=300_000)} AS held FROM r JOIN e ON e.topic = r.topic AND e.part = r.part AND e.k = r.k + 1)))
+ SELECT event_id, result FROM r WHERE k > 0""")
 def timeout_escalate_tokens(v: Views) -> DataFrame:
     """Timeouts beyond the limit go to the dead letters only while tokens last; commits and skips credit one."""
     x = v.resp.withColumn("code", _code()).withColumn("role", _role())
@@ -161,12 +177,58 @@ def inflight_limit(v: Views) -> DataFrame:
     return _inflight(v, lambda: folds.Inflight(5))
 
 
-@query()
+BOOTSTRAP = """WITH RECURSIVE e AS (SELECT topic, part, off, event_id % 3 = 0 AS rel FROM log), r AS (SELECT DISTINCT topic, part, CAST(-1 AS BIGINT) AS off, 0 AS used, 0 AS done, FALSE AS granted FROM log
+ UNION ALL SELECT topic, part, off, CASE WHEN rel THEN greatest(used - 1, 0) WHEN used < most THEN used + 1 ELSE used END, CASE WHEN rel THEN done + 1 ELSE done END, NOT rel AND used < most
+ FROM (SELECT e.topic, e.part, e.off, e.rel, used, done, CASE WHEN done <= 20 THEN 3 ELSE {most} END AS most FROM r JOIN e ON e.topic = r.topic AND e.part = r.part AND e.off = r.off + 1)) SELECT topic, part, off, granted FROM r WHERE off >= 0"""
+
+
+@query(BOOTSTRAP.format(most=10))
 def bootstrap_limit(v: Views) -> DataFrame:
     """At most ten in flight, three until more than twenty have succeeded."""
     return _inflight(v, lambda: folds.Inflight(10, 3, 20))
 
 
+@query(BOOTSTRAP.format(most=2_000_000_000))
+def bootstrap_unlimited(v: Views) -> DataFrame:
+    """Without a limit of its own, yet three at first."""
+    return _inflight(v, lambda: folds.Inflight(0, 3, 20))
+
+
+@query("""WITH RECURSIVE e AS (SELECT topic, part, off, vbytes, event_id % 3 = 0 AS rel FROM log), r AS (SELECT DISTINCT topic, part, CAST(-1 AS BIGINT) AS off, CAST([] AS STRUCT(off BIGINT, b BIGINT, own BOOLEAN)[]) AS held, '' AS result FROM log
+ UNION ALL SELECT topic, part, off, CASE WHEN rel THEN held[2:] WHEN result IN ('OWN', 'POOL') THEN list_append(held, {'off': off, 'b': vbytes, 'own': result = 'OWN'}) ELSE held END, CASE WHEN rel THEN 'DONE' ELSE result END
+ FROM (SELECT *, CASE WHEN vbytes <= 0 THEN 'EMPTY' WHEN len(held) >= 6 THEN 'FULL' WHEN coalesce(list_sum(list_transform(list_filter(held, lambda x: x.own), lambda x: x.b)), 0) + vbytes <= 20 THEN 'OWN' WHEN coalesce(list_sum(list_transform(list_filter(held, lambda x: NOT x.own), lambda x: x.b)), 0) + vbytes <= 30 THEN 'POOL' ELSE 'FULL' END AS result
+ FROM (SELECT e.topic, e.part, e.off, e.vbytes, e.rel, held FROM r JOIN e ON e.topic = r.topic AND e.part = r.part AND e.off = r.off + 1))) SELECT topic, part, off, result FROM r WHERE off >= 0""")
+def inbound_acquire(v: Views) -> DataFrame:
+    """Two partitions' worth of three messages and ten bytes, thirty bytes in the pool; every third event ends the oldest message in hand."""
+
+    def step(x: folds.Inbound, r: dict) -> str:
+        if r["event_id"] % 3 == 0:
+            if x.held:
+                x.done(next(iter(x.held)))
+            return "DONE"
+        return x.receive(r["off"], r["vbytes"])
+
+    return folds.ordered_fold(v.log, ["topic", "part"], ["off"], ["topic", "part", "off", "event_id", "vbytes"], lambda: folds.Inbound(2, 3, 10_000, 10, 30), step, "result", "string").drop("event_id", "vbytes")
+
+
+@query("""WITH RECURSIVE ev AS (SELECT topic, part, off, 2 * off AS tick, 'RECEIVE' AS action FROM log UNION ALL SELECT topic, part, off, 2 * (off + event_id % 7) + 1, 'ACK' FROM log), e AS (SELECT *, row_number() OVER (PARTITION BY topic, part ORDER BY tick, off) AS k FROM ev),
+ r AS (SELECT DISTINCT topic, part, CAST(NULL AS BIGINT) AS off, '' AS action, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(o BIGINT, a BOOLEAN)[]) AS q, CAST([] AS BIGINT[]) AS live, CAST(0 AS BIGINT) AS returned FROM log
+ UNION ALL SELECT topic, part, off, action, k, CASE WHEN action = 'RECEIVE' THEN CASE WHEN res = 1 THEN list_append(q, {'o': off, 'a': FALSE}) ELSE q END WHEN res > 0 THEN marked[first:] ELSE marked END,
+  CASE WHEN action = 'RECEIVE' THEN CASE WHEN res = 1 THEN list_append(live, off) ELSE live END ELSE list_filter(live, lambda x: x <> off) END, res
+ FROM (SELECT *, CASE WHEN action = 'RECEIVE' THEN CASE WHEN len(q) >= 5 THEN -2 WHEN len(live) >= 4 THEN -1 ELSE 1 END WHEN NOT list_contains(list_transform(q, lambda x: x.o), off) THEN -1 WHEN q[1].o <> off THEN -3 ELSE marked[first - 1].o + 1 END AS res
+ FROM (SELECT *, coalesce(list_position(list_transform(marked, lambda x: x.a), FALSE), len(marked) + 1) AS first FROM (SELECT e.topic, e.part, e.off, e.action, e.k, q, live, list_transform(q, lambda x: {'o': x.o, 'a': x.a OR (e.action = 'ACK' AND x.o = e.off)}) AS marked FROM r JOIN e ON e.topic = r.topic AND e.part = r.part AND e.k = r.k + 1))))
+ SELECT topic, part, off, action, returned FROM r WHERE k > 0""")
+def ack_manager(v: Views) -> DataFrame:
+    """Limits of four messages in hand and five in the queue: what is received while either is full is not taken, and its acknowledgement finds nothing."""
+    received = v.log.selectExpr("topic", "part", "off", "2 * off as at", "'RECEIVE' as action")
+    done = v.log.selectExpr("topic", "part", "off", "2 * (off + event_id % 7) + 1 as at", "'ACK' as action")
+
+    def step(m: folds.AckManager, r: dict) -> int:
+        return m.receive(r["off"], 1) if r["action"] == "RECEIVE" else m.ack(r["off"])
+
+    return folds.ordered_fold(received.unionByName(done), ["topic", "part"], ["at", "off"], ["topic", "part", "off", "action"], lambda: folds.AckManager(folds.Inbound(1, 4), 5), step, "returned", "long")
+
+
 def _inflight(v: Views, start) -> DataFrame:
     def step(f: folds.Inflight, r: dict) -> bool:
         if r["event_id"] % 3 == 0:
@@ -177,7 +239,11 @@ def _inflight(v: Views, start) -> DataFrame:
     return folds.ordered_fold(v.log, ["topic", "part"], ["off"], ["topic", "part", "off", "event_id"], start, step, "granted", "boolean").drop("event_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT topic, part, event_id, outcome, cost, event_id % 5 = 0 AS closed, CASE WHEN rule IS NULL THEN 'JOB_NOT_SUPPORTED' WHEN NOT list_contains(string_split(reasons, ','), reason) THEN 'REASON_NOT_MATCH' END AS no, rule, row_number() OVER (PARTITION BY topic, part ORDER BY off) AS k
+  FROM (SELECT *, {CODE_SQL} AS outcome, if(event_id % 2 = 0, 'BLOCKING', 'SATURATION') AS reason, {CANCEL_SQL} FROM (SELECT *, {ROLE_SQL} AS role FROM resp))),
+ r AS (SELECT DISTINCT topic, part, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS bal, '' AS result FROM e
+ UNION ALL SELECT topic, part, event_id, k, CASE WHEN no IS NOT NULL OR bal < cost OR closed THEN bal ELSE bal - cost END, CASE WHEN no IS NOT NULL THEN no WHEN bal < cost THEN 'RATE_LIMITED' WHEN closed THEN 'CLOSED' ELSE rule END
+ FROM (SELECT e.*, r.bal + CASE WHEN e.outcome = 'COMMIT' THEN 1 ELSE 0 END AS bal FROM r JOIN e ON e.topic = r.topic AND e.part = r.part AND e.k = r.k + 1)) SELECT event_id, result FROM r WHERE k > 0""")
 def cancel_result(v: Views) -> DataFrame:
     """Attempts to cancel a blocked head: rule, reason, tokens (one is earned by each commit)."""
     rule = d.cancel_rule(_role(), F.col("retry_topic"), F.col("resq_topic"))
@@ -237,10 +303,10 @@ def ring_avg(v: Views) -> DataFrame:
     return windows.ring(v.log, ["topic"], "ts_ms", 3_600_000, 10, "value", "avg").withColumn("avg", F.floor(F.col("avg") * 1000 + 0.0005) / 1000)
 
 
-@query("SELECT topic, hour, max(vbytes) AS max_inflight, 0 AS min_inflight, CAST(sum(vbytes) // count(*) AS BIGINT) AS avg_inflight FROM (SELECT topic, ts_ms // 3600000 AS hour, vbytes FROM log) GROUP BY topic, hour")
+@query("SELECT topic, minute, max(vbytes) AS max_inflight, 0 AS min_inflight, CAST(sum(vbytes) // count(*) AS BIGINT) AS avg_inflight FROM (SELECT topic, ts_ms // 60000 AS minute, vbytes FROM log) GROUP BY topic, minute")
 def inflight_minute(v: Views) -> DataFrame:
     """Minimum folds from 0, so it is 0; the average truncates."""
-    return v.log.groupBy("topic", F.expr("ts_ms div 3600000").alias("hour")).agg(F.max("vbytes").alias("max_inflight"), F.lit(0).alias("min_inflight"), F.expr("sum(vbytes) div count(*)").alias("avg_inflight"))
+    return v.log.groupBy("topic", F.expr("ts_ms div 60000").alias("minute")).agg(F.max("vbytes").alias("max_inflight"), F.lit(0).alias("min_inflight"), F.expr("sum(vbytes) div count(*)").alias("avg_inflight"))
 
 
 @query("""WITH t AS (SELECT topic, ts_ms // 5000 AS tick, count(*) AS n FROM log GROUP BY topic, ts_ms // 5000), e AS (SELECT topic, min(tick) AS t0, max(tick) AS t1 FROM t GROUP BY topic)
@@ -249,24 +315,28 @@ def ewma_rate(v: Views) -> DataFrame:
     return windows.ewma(v.log, ["topic"], "ts_ms").select("topic", F.round("rate", 6).alias("rate"))
 
 
-LATENCY = "SELECT topic, median(value) AS med, max(value) AS mx, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY event_id DESC) AS r FROM log WHERE value > 0) WHERE r <= 1000 GROUP BY topic"
+LATENCY = "SELECT topic, median(value) AS med, max(value) AS mx, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY event_id DESC) AS r FROM log WHERE value > 0) WHERE r <= 10000 GROUP BY topic"
+
+
+#: Fixed value: spans that a reservoir holds, and needs to be mature.
+RESERVOIR = 10_000
 
 
 def _latency(v: Views) -> DataFrame:
     last = Window.partitionBy("topic").orderBy(F.desc("event_id"))
-    return v.log.where("value > 0").withColumn("r", F.row_number().over(last)).where("r <= 1000").groupBy("topic").agg(F.percentile("value", 0.5).alias("med"), F.max("value").alias("mx"), F.count("*").alias("n"))
+    return v.log.where("value > 0").withColumn("r", F.row_number().over(last)).where(F.col("r") <= RESERVOIR).groupBy("topic").agg(F.percentile("value", 0.5).alias("med"), F.max("value").alias("mx"), F.count("*").alias("n"))
 
 
-@query(f"SELECT topic, round(med, 6) AS median, round(mx, 6) AS max, n = 1000 AS mature FROM ({LATENCY})")
+@query(f"SELECT topic, round(med, 6) AS median, round(mx, 6) AS max, n = 10000 AS mature FROM ({LATENCY})")
 def latency_stats(v: Views) -> DataFrame:
     """Over the last spans only, as the reservoir holds them; the limit is the feature."""
-    return _latency(v).select("topic", F.round("med", 6).alias("median"), F.round("mx", 6).alias("max"), (F.col("n") == 1000).alias("mature"))
+    return _latency(v).select("topic", F.round("med", 6).alias("median"), F.round("mx", 6).alias("max"), (F.col("n") == RESERVOIR).alias("mature"))
 
 
-@query(f"SELECT topic, CASE WHEN n < 1000 THEN NULL WHEN med > 50.0 THEN 'median-latency' WHEN mx > 100.0 THEN 'max-latency' END AS issue FROM ({LATENCY})")
+@query(f"SELECT topic, CASE WHEN n < 10000 THEN NULL WHEN med > 50.0 THEN 'median-latency' WHEN mx > 100.0 THEN 'max-latency' END AS issue FROM ({LATENCY})")
 def latency_issue(v: Views) -> DataFrame:
     """Ceilings are inbound limit and commit skew over the rate; the median is tried first, on mature samples."""
-    return _latency(v).select("topic", F.when(F.col("n") < 1000, None).when(F.col("med") > 1000 / 20.0, "median-latency").when(F.col("mx") > 2000 / 20.0, "max-latency").alias("issue"))
+    return _latency(v).select("topic", F.when(F.col("n") < RESERVOIR, None).when(F.col("med") > 1000 / 20.0, "median-latency").when(F.col("mx") > 2000 / 20.0, "max-latency").alias("issue"))
 
 
 @query("""WITH b AS (SELECT topic, CAST(least(99, greatest(0, ceil((value - 0) / 2.0))) AS INT) AS b, count(*) AS c FROM log GROUP BY ALL), r AS (SELECT *, sum(c) OVER (PARTITION BY topic ORDER BY b) AS cum, floor(0.9 * sum(c) OVER (PARTITION BY topic)) AS piv FROM b)
@@ -307,7 +377,9 @@ def health_window(v: Views) -> DataFrame:
     return daily.select("topic", "day", F.size(F.array_distinct(F.flatten(F.collect_list("s").over(w)))).cast("long").alias("issues"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT topic, ts_ms, event_id, vbytes, row_number() OVER (PARTITION BY topic ORDER BY ts_ms, event_id) AS k FROM log),
+ s AS (SELECT topic, k, ts_ms, vbytes FROM e WHERE k = 1 UNION ALL SELECT n.topic, n.k, n.ts_ms, n.vbytes FROM (SELECT s.topic, min(e.k) AS k FROM s JOIN e ON e.topic = s.topic AND e.ts_ms >= s.ts_ms + 3600000 GROUP BY s.topic) m JOIN e n ON n.topic = m.topic AND n.k = m.k),
+ d AS (SELECT *, lead(k, 1, 4611686018427387904) OVER (PARTITION BY topic ORDER BY k) AS upto FROM s) SELECT e.event_id, d.vbytes AS sample FROM e JOIN d ON d.topic = e.topic AND e.k >= d.k AND e.k < d.upto""")
 def linger_sampler(v: Views) -> DataFrame:
     """A sample is taken anew when an hour has passed since the last, else the cached one is returned."""
 
