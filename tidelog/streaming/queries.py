@@ -6,7 +6,8 @@ broker's connector needs no change here.  Event time must be a TIMESTAMP.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +69,83 @@ def commit_positions(stream: DataFrame) -> DataFrame:
     return stream.groupBy("topic", "part").applyInPandasWithState(step, "topic string, part long, commit_off long", "opened array<long>, top long", "update", GroupStateTimeout.NoTimeout)
 
 
+def folded(stream: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], object], step: Callable[[object, dict], object], result: str, kind: str) -> DataFrame:
+    """The streaming form of an ordered fold: a key's state lives on from batch to batch.
+
+    Scale machines, token buckets, limits and queues are all folds of this kind.
+    Rows of a key are taken in order within a batch; batches come in order of arrival.
+    """
+    names = list(dict.fromkeys([*keys, *order, *columns]))
+    types = dict(stream.dtypes)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(state.get[0]) if state.exists else start()
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        rows[result] = [step(held, r) for r in rows[names].to_dict("records")]
+        state.update((pickle.dumps(held),))
+        yield rows[[*columns, result]]
+
+    schema = ", ".join(f"{c} {types[c]}" for c in columns) + f", {result} {kind}"
+    return stream.select(*names).groupBy(*keys).applyInPandasWithState(run, schema, "held binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def released(stream: DataFrame, delay_ms: int, late: str = "0 seconds") -> DataFrame:
+    """(topic, part, off) of records whose hold is over, in order of offsets: the first that is not due holds its partition.
+
+    Time is the watermark; a timer at the head's due time wakes a partition that gets no more records.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        offs, due = (list(x) for x in state.get) if state.exists else ([], [])
+        if not state.hasTimedOut:
+            for rows in batches:
+                offs += rows.off.tolist()
+                due += [int(t.timestamp() * 1000) + delay_ms for t in rows.ts]
+        line = sorted(zip(offs, due, strict=True))
+        now = state.getCurrentWatermarkMs()
+        n = next((i for i, (_, t) in enumerate(line) if t > now), len(line))
+        rest = line[n:]
+        if rest:
+            state.update(([o for o, _ in rest], [t for _, t in rest]))
+            state.setTimeoutTimestamp(max(rest[0][1], now + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"topic": [key[0]] * n, "part": [key[1]] * n, "off": [o for o, _ in line[:n]]})
+
+    marked = stream.withWatermark("ts", late).select("topic", "part", "off", "ts")
+    return marked.groupBy("topic", "part").applyInPandasWithState(run, "topic string, part long, off long", "offs array<long>, due array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def workload(stream: DataFrame, key: str, value: str, ttl_ms: int, late: str = "0 seconds") -> DataFrame:
+    """(key, value, live): the last value of each key after each batch, and a row with live = false once it has not been renewed for its time to live."""
+    kind = dict(stream.dtypes)[key]
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last = state.get[1]
+            state.remove()
+            yield pd.DataFrame({key: [k[0]], value: [last], "live": [False]})
+            return
+        at, last = state.get if state.exists else (-1, 0.0)
+        for rows in batches:
+            for t, x in zip(rows.ts, rows[value], strict=True):
+                ms = int(t.timestamp() * 1000)
+                if ms >= at:
+                    at, last = ms, float(x)
+        state.update((at, last))
+        state.setTimeoutTimestamp(max(at + ttl_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [k[0]], value: [last], "live": [True]})
+
+    marked = stream.withWatermark("ts", late).select(key, "ts", value)
+    return marked.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {value} double, live boolean", "at long, last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def write_broker(stream: DataFrame, servers: str, checkpoint: str, topic: str = "destination"):
+    """Write the envelopes of each record to the topic it names; needs the connector on the class path."""
+    packed = stream.where(F.col(topic).isNotNull()).select(F.col(topic).alias("topic"), F.to_json(F.struct(*[c for c in stream.columns if c != topic])).cast("binary").alias("value"))
+    return packed.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("checkpointLocation", checkpoint)
+
+
 def route_to(stream: DataFrame, folder: str, checkpoint: str, column: str = "destination"):
     """Write each batch to a folder per destination; rows without one are done. Batches are written under their number, so a retried one replaces itself."""
 
