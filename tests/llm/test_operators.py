@@ -559,6 +559,44 @@ def test_repeats_with_hot_anchors(spark, monkeypatch):
     test_repeats(spark)
 
 
+def test_contexts_are_compared_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(suffixes.Anchors, "hash_of", lambda self, start, stop: np.full(len(start), 7, np.uint64))
+    rng = random.Random(21)
+    shared = "".join(rng.choice("abcdef ") for _ in range(30))
+    texts = [shared + "".join(rng.choice("ghijkl") for _ in range(60)) if k % 2 else "".join(rng.choice("ghijkl") for _ in range(60)) + shared + "tail" * 8 for k in range(12)]
+    texts += texts[:3]
+    docs = pa_table([(k, t, 0) for k, t in enumerate(texts)])
+    seen, want = set(), []
+    for t in texts:
+        b = t.encode()
+        own = {b[s : s + 50] for s in range(len(b) - 49)}
+        gone = bytearray(len(b))
+        for s in range(len(b) - 49):
+            if b[s : s + 50] in seen:
+                gone[s : s + 50] = b"\1" * 50
+        seen |= own
+        want.append(sum(gone))
+    width = 6
+    sent = suffixes._anchor_hashes(1, width)(docs)
+    known = list(suffixes._repeated(width)(iter([sent.select(["part", "slice", "hashes", "docs"]).to_batches()[0]])))
+    cuts = suffixes._contexts(1, width)(docs, pa_from(known))
+    found = list(suffixes._settle(iter(cuts.sort_by("part").to_batches())))
+    out = suffixes._remove(True)(docs, pa_from(found))
+    assert dict(zip(out.column("doc_id").to_pylist(), out.column("n_removed").to_pylist(), strict=True)) == dict(enumerate(want)) and sum(want) > 0
+
+
+def pa_table(rows):
+    import pyarrow as pa
+
+    return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows], "slice": pa.array([r[2] for r in rows], pa.int32())})
+
+
+def pa_from(batches):
+    import pyarrow as pa
+
+    return pa.Table.from_batches(batches)
+
+
 def test_suffix_array():
     rng = random.Random(3)
     for _ in range(500):

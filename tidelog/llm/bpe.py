@@ -41,7 +41,7 @@ from .common import pieces, table
 #: Fixed values of the byte-level pre-tokenizer: the published split pattern; L, N, S stand for the Unicode
 #: properties Letter, Number and White_Space, written out as ranges (the re module is faster with these).
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 SHORT = 48
 #: Characters of a text that are split at a time; a piece's end is certain with MARGIN characters after it in the window.
 WINDOW, MARGIN = 1 << 15, 3

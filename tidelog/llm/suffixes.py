@@ -20,8 +20,10 @@ string stands.
    of each anchor (the bytes of all strings that it anchors), and send each
    context once for a slice.
 3. Contexts of one anchor are joined to one text; its suffix array tells which of
-   their strings occur in a smaller document.  An anchor of more than HOT_DOCS
-   documents is sent string by string instead, each string a key of its own.
+   their strings occur in a smaller document.  Equal contexts are one context to
+   the sorter, with the smallest document as its owner: a slice finds its own by
+   hash and compares their bytes, a part by their bytes.  An anchor of more than
+   HOT_DOCS documents is sent string by string instead, each string a key of its own.
 4. The slices remove what has been found.
 """
 
@@ -40,7 +42,7 @@ from .hashing import _BYTE, _P, _P_INV, mix, powers
 LENGTH, GRAM = 50, 20
 STRIDE = LENGTH - GRAM + 1
 SLICE_BYTES = 2 << 20
-PART_BYTES = 128 << 20
+PART_BYTES = 64 << 20
 HOT_DOCS = 2_000
 HOT = np.uint64(1 << 63)
 
@@ -370,9 +372,11 @@ def _contexts(parts: int, width: int):
         o = np.lexsort((d, p - f, whole, k))
         d, p, f, end, stop, k, whole = (x[o] for x in (d, p, f, end, stop, k, whole))
         a = _starts(k, whole, p - f)
-        lead = np.repeat(d[a], np.diff(np.append(a, len(d))))
+        lead = np.repeat(a, np.diff(np.append(a, len(d))))
         base = bounds[:-1][d]
-        later = ids[d] > ids[lead]
+        later = ids[d] > ids[d[lead]]
+        # Equal hashes only propose: the bytes decide. What differs goes on as a context of its own.
+        later[later] = [found.raw[u:v] == found.raw[x:y] for u, v, x, y in zip(f[later].tolist(), stop[later].tolist(), f[lead[later]].tolist(), stop[lead[later]].tolist(), strict=True)]
         gone = _removals(d[later], (f - base)[later], (stop - base)[later])
         rows = [(int(number) % parts, number, gone.tobytes(), None)] if len(gone) else []
         d, p, f, end, stop, k, base = (x[~later] for x in (d, p, f, end, stop, k, base))
@@ -527,7 +531,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document with a smaller id.  Null texts are empty; texts under LENGTH bytes
     lose nothing.  Documents with a null id neither lose bytes nor count as
     smaller.  Rows with one id are one another's equals: none is smaller.  Other
-    columns are not read; an empty table stays empty.
+    columns are not read; an empty table stays empty.  A very long text makes its
+    slice longer: a worker holds about 60 bytes for each of its bytes.
 
     Texts are dealt into slices once: all three steps read the same exchange.
     The parts in which hashes and contexts meet stand for PART_BYTES of text each or less.
