@@ -45,3 +45,41 @@ def ewma(df: DataFrame, keys: list[str], ts: str, tick_ms: int = 5_000, minute_m
     rate = F.col("n") / (tick_ms / 1000.0)
     weight = F.when(F.col("tick") == F.col("t0"), F.lit(1.0)).otherwise(F.lit(alpha)) * F.pow(F.lit(1 - alpha), F.col("t1") - F.col("tick"))
     return ticks.join(ends, keys).groupBy(*keys).agg(F.sum(rate * weight).alias("rate"))
+
+
+def reflected(df: DataFrame, keys: list[str], order: list[str], change: str, result: str) -> DataFrame:
+    """A balance before each row that starts at 0, moves by `change` and never falls below 0.
+
+    It is the running sum less its lowest value so far (0 at most): two frames over
+    one order, so nothing is folded row by row.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = df.withColumn("_sum", F.sum(change).over(w))
+    least = plain.withColumn("_low", F.least(F.lit(0), F.min("_sum").over(w))).withColumn("_after", F.col("_sum") - F.col("_low"))
+    return least.withColumn(result, F.coalesce(F.lag("_after").over(Window.partitionBy(*keys).orderBy(*order)), F.lit(0))).drop("_sum", "_low", "_after")
+
+
+def recent(df: DataFrame, keys: list[str], ts: str, span: int, marked: Column, result: str) -> DataFrame:
+    """Whether a marked row of the key lies at or up to `span` before each row.
+
+    Rows are dealt by key and span-long bucket, and marks are copied to the bucket
+    after their own, so a busy key is as many tasks as it has buckets.
+    """
+    rows = df.withColumn("_bucket", F.expr(f"{ts} div {span}")).withColumn("_mark", F.when(marked, F.col(ts))).withColumn("_own", F.lit(True))
+    later = rows.where(F.col("_mark").isNotNull()).withColumn("_bucket", F.col("_bucket") + 1).withColumn("_own", F.lit(False))
+    w = Window.partitionBy(*keys, "_bucket").orderBy(ts).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.unionByName(later).withColumn("_last", F.max("_mark").over(w)).where("_own")
+    return seen.withColumn(result, F.coalesce(F.col("_last") >= F.col(ts) - span, F.lit(False))).drop("_bucket", "_mark", "_own", "_last")
+
+
+def turns(df: DataFrame, keys: list[str], line: str, order: list[str], result: str) -> DataFrame:
+    """The place of each row when the lines of a key take turns, lines in order of their number.
+
+    Rows are numbered within their line alone; how many rows of the other lines come
+    before is a sum over the lines' lengths, one array a key.
+    """
+    own = Window.partitionBy(*keys, line).orderBy(*order)
+    lengths = df.groupBy(*keys, line).agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.collect_list(F.struct(F.col(line).alias("line"), F.col("_n").alias("n"))).alias("_lines"))
+    before = lambda x: F.least(x["n"], F.col("_r") - 1) + ((x["n"] >= F.col("_r")) & (x["line"] <= F.col(line))).cast("long")
+    placed = df.withColumn("_r", F.row_number().over(own).cast("long")).join(lengths, keys)
+    return placed.withColumn(result, F.aggregate(F.transform("_lines", before), F.lit(0).cast("long"), lambda a, b: a + b)).drop("_r", "_lines")

@@ -115,15 +115,10 @@ def quota_split_pod(v: Views) -> DataFrame:
 @query("""WITH RECURSIVE e AS (SELECT topic, part, off, event_id % 4 = 0 AS credit FROM log), r AS (SELECT topic, part, off, CASE WHEN credit THEN 2 ELSE 0 END AS bal, FALSE AS granted FROM e WHERE off = 0
  UNION ALL SELECT e.topic, e.part, e.off, CASE WHEN e.credit THEN bal + 2 WHEN bal >= 1 THEN bal - 1 ELSE bal END, NOT e.credit AND bal >= 1 FROM r JOIN e ON e.topic = r.topic AND e.part = r.part AND e.off = r.off + 1) SELECT topic, part, off, granted FROM r""")
 def token_bucket(v: Views) -> DataFrame:
-    """Every fourth event credits two tokens, the others ask for one."""
-
-    def step(t: folds.Tokens, r: dict) -> bool:
-        if r["event_id"] % 4 == 0:
-            t.credit(0, 2)
-            return False
-        return t.acquire(0)
-
-    return folds.ordered_fold(v.log, ["topic", "part"], ["off"], ["topic", "part", "off", "event_id"], lambda: folds.Tokens(None), step, "granted", "boolean").drop("event_id")
+    """Every fourth event credits two tokens, the others ask for one; a balance that stops at 0 is a running minimum away from a sum."""
+    events = v.log.select("topic", "part", "off", (F.col("event_id") % 4 == 0).alias("credit")).withColumn("change", F.when(F.col("credit"), 2).otherwise(-1))
+    held = windows.reflected(events, ["topic", "part"], ["off"], "change", "held")
+    return held.select("topic", "part", "off", (~F.col("credit") & (F.col("held") >= 1)).alias("granted"))
 
 
 #: Credits and debits that have not expired, as a list: what is left of it is the balance.
@@ -269,8 +264,7 @@ def cancel_result(v: Views) -> DataFrame:
 @query("SELECT event_id, max(CASE WHEN event_id % 50 = 0 THEN ts_ms END) OVER (PARTITION BY topic ORDER BY ts_ms RANGE BETWEEN 1800000 PRECEDING AND CURRENT ROW) IS NOT NULL AS adaptive FROM log")
 def limiter_mode(v: Views) -> DataFrame:
     """Adaptive while a drop lies within the last 30 minutes."""
-    w = Window.partitionBy("topic").orderBy("ts_ms").rangeBetween(-1_800_000, 0)
-    return v.log.select("event_id", F.max(F.when(F.col("event_id") % 50 == 0, F.col("ts_ms"))).over(w).isNotNull().alias("adaptive"))
+    return windows.recent(v.log.select("topic", "ts_ms", "event_id"), ["topic"], "ts_ms", 1_800_000, F.col("event_id") % 50 == 0, "adaptive").select("event_id", "adaptive")
 
 
 @query("SELECT group_id, least(10000, n * 1000) AS messages, n * 10485760 AS bytes, greatest(0, n * 10485760 - 536870912) AS beyond_pool FROM (SELECT group_id, count(*) AS n FROM jobs GROUP BY group_id)")
@@ -281,8 +275,7 @@ def inbound_limits(v: Views) -> DataFrame:
 @query("SELECT topic, part, off, row_number() OVER (PARTITION BY topic ORDER BY rn, part) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY topic, part ORDER BY off) AS rn FROM acks WHERE status = 'NACKED')")
 def fair_order(v: Views) -> DataFrame:
     """Waiting partitions take turns, each by offset."""
-    x = v.acks.where("status = 'NACKED'").withColumn("rn", F.row_number().over(Window.partitionBy("topic", "part").orderBy("off")))
-    return x.select("topic", "part", "off", F.row_number().over(Window.partitionBy("topic").orderBy("rn", "part")).cast("long").alias("turn"))
+    return windows.turns(v.acks.where("status = 'NACKED'").select("topic", "part", "off"), ["topic"], "part", ["off"], "turn")
 
 
 RING = "SELECT topic, bucket, {f} AS {n} FROM (SELECT topic, ts_ms // 3600000 AS bucket, max(value) AS mx, min(value) AS mn, sum(value) AS sm, count(*) AS ct FROM log GROUP BY topic, ts_ms // 3600000) WINDOW w AS (PARTITION BY topic ORDER BY bucket RANGE BETWEEN 9 PRECEDING AND CURRENT ROW)"
