@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"\x20\x09-\x0D"
@@ -48,15 +48,22 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, mark: Column | None = None) -> DataFrame | tuple[DataFrame, tuple]:
     """The same rows read back from a Parquet table in the shared folder: later reads don't repeat the work,
-    and a lost executor costs no more than its own tasks.  The table goes when the application ends."""
+    and a lost executor costs no more than its own tasks.  The table goes when the application ends.
+
+    Rows are counted while they are written (work done anew after a loss may count twice, so a count is
+    never too low).  With a mark, an aggregate, (count, mark) comes along.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), (F.lit(0) if mark is None else mark).alias("mark")).write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._rows = seen.get["rows"]
+    return made if mark is None else (made, (seen.get["rows"], seen.get["mark"]))
 
 
 def count_runs(text: Column, between: str) -> Column:
@@ -78,8 +85,9 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 def small(df: DataFrame, rows: int) -> bool:
-    """Whether a table that has been cut has at most so many rows (Parquet footers answer the count)."""
-    return df.count() <= rows
+    """Whether a table has at most so many rows; one that has been cut was counted then."""
+    known = df.__dict__.get("_rows")
+    return (df.count() if known is None else known) <= rows
 
 
 def hint_small(df: DataFrame, rows: int) -> DataFrame:

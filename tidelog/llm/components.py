@@ -1,9 +1,10 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Every round is an aggregate with map-side combining and a join, both on plain
-(node, node) rows: no neighbour list is ever built, so a hub with a third of
-all nodes is no larger a task than any other after the skew split.  Each round
-is cut in the shared folder.
+Every round is two steps, each an aggregate with map-side combining and a join
+on plain (node, node) rows: no neighbour list is ever built, so a hub with a
+third of all nodes is no larger a task than any other after the skew split.
+Each step is cut in the shared folder, and what tells whether a round changed
+anything is observed while it is written.
 """
 
 from __future__ import annotations
@@ -15,20 +16,23 @@ from .common import cut
 
 
 def _large(edges: DataFrame) -> DataFrame:
+    """Each node hands its larger neighbours to its smallest one, itself included."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
-    kept = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return kept.unionByName(least.select("u", F.col("m").alias("v")))
+    """Each node hands its smaller neighbours and itself to the smallest of them; edges go from the larger end."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    own, other = F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
+    return edges.join(least, "u").select(F.explode(F.array(own, other)).alias("e")).select("e.*")
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The distinct edges that join two nodes, cut, and what tells them from others."""
+    u, v = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
+    return cut(edges.where("u <> v").select(u, v).distinct(), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
 
 
 def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
@@ -37,13 +41,11 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     Nulls and self-links are ignored; repeated edges don't matter; nodes without
     edges are not in the result.  An empty edge table gives an empty result.
     """
-    x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    now = cut(edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
-    state = _state(now)
+    given = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
+    now, state = _kept(given)
     while state[0]:
-        grown = cut(_large(now).where("u <> v").distinct())
-        now = cut(_small(grown.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).where("u <> v").distinct())
-        after = _state(now)
+        grown, _ = _kept(_large(now))
+        now, after = _kept(_small(grown))
         if after == state:
             break
         state = after
