@@ -674,6 +674,70 @@ def test_language(spark):
     assert prose(rng, 1)
 
 
+def test_language_is_the_formula(spark):
+    """Posteriors of every page against the same formula in plain Python, trigram by trigram."""
+    import math
+
+    rng = random.Random(17)
+    letters = {"en": "the and of ing tion ", "de": "der und sch ung ein "}
+    docs = [(i, " ".join(rng.choice(letters[lang].split()) for _ in range(30)), lang, "s") for i, lang in enumerate(["en", "de"] * 20)]
+    labelled = frame(spark, docs)
+    names, logs = language.train(labelled)
+    assert names == ["de", "en"]
+    pages = [(i, f"http://h{i % 3}.example.{'de' if i % 2 else 'com'}/x", f'<html lang="{["en", "de", "xx", ""][i % 4]}"><p>{" ".join(rng.choice(letters[rng.choice(["en", "de"])].split()) for _ in range(rng.randint(1, 12)))}</p></html>') for i in range(40)]
+    pages += [(50, None, "<p>the und</p>"), (51, "http://h1.example.de", None), (51, "http://h1.example.de", "<p>12</p>"), (52, "mailto:x", '<html lang="de">der der</html>')]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("lang", F.lit("clash")).withColumn("key", F.lit(1))
+    got = Counter((r.page_id, r.lang, round(r.confidence, 5), r.text_lang, r.accepted) for r in language.identify_pages(df, labelled).collect())
+
+    def codes(text):
+        fold = [32 if not (97 <= c <= 122 or c >= 128) else c for c in text.translate(LOWER).encode()]
+        return [tuple(fold[k : k + 3]) for k in range(len(fold) - 2) if fold[k : k + 2] != [32, 32] and fold[k + 1 : k + 3] != [32, 32]]
+
+    code = lambda t: int(language.trigrams(bytes(t), np.array([0, 3]))[0][0])
+    rows = []
+    for page, url, body in pages:
+        text = re.sub("<[^<>]*>", " ", body or "")
+        found = codes(text)
+        sums = [sum(logs[k][code(t)] for t in found) for k in range(2)]
+        noise = len(found) >= language.ENOUGH_TRIGRAMS and all(s < -len(found) * math.log(language.BUCKETS) for s in sums) or not re.search("[a-z]", text)
+        scale = min(len(found), language.MOST_EVIDENCE) / max(len(found), 1)
+        ll = [s * scale - max(sums) * scale for s in sums]
+        p = [0.0, 0.0] if noise else [math.exp(x) / sum(map(math.exp, ll)) for x in ll]
+        m = re.match(r"[a-z]+://([^/]+)", url or "")
+        told = re.search('lang="([a-z]{2})"', body or "")
+        rows.append((page, m[1] if m else None, told[1] if told else None, ll, p, noise))
+    total = [sum(r[4][k] for r in rows) for k in range(2)]
+    prior = [(t + 1) / (sum(total) + 2) for t in total]
+    known = lambda d: "?" if d is None else d if d in names else "*"
+    want = Counter()
+    for page, host, told, ll, p, noise in rows:
+        less = lambda same: [sum(r[4][k] for r in rows if same(r)) - p[k] for k in range(2)]
+        sn = less(lambda r: r[1] and r[1].split(".")[-1] == host.split(".")[-1]) if host else [0, 0]
+        hn = less(lambda r: r[1] == host) if host else [0, 0]
+        sp = [(sn[k] + language.SUFFIX_WEIGHT * prior[k]) / (sum(sn) + language.SUFFIX_WEIGHT) for k in range(2)]
+        hp = [(hn[k] + language.HOST_WEIGHT * sp[k]) / (sum(hn) + language.HOST_WEIGHT) for k in range(2)]
+        d = known(told)
+        match = [1.0, 1.0] if d == "?" else [(sum(r[4][k] for r in rows if known(r[2]) == d) + language.DECLARED_WEIGHT * (0.8 if d == names[k] else 0.2 / 3)) / (total[k] + language.DECLARED_WEIGHT) for k in range(2)]
+        joint = [(0 if noise else ll[k]) + math.log(match[k]) + math.log(hp[k]) for k in range(2)]
+        post = [math.exp(x - max(joint)) for x in joint]
+        best = max(post) / sum(post)
+        want[page, names[post.index(max(post))], round(best, 5), None if noise else names[p.index(max(p))], not noise and best >= language.REJECT_BELOW] += 1
+    assert got == want
+
+
+def test_hidden_markup_takes_linear_time():
+    import time
+
+    page = lambda n: "<script " * n + "<!-- " * n + "<nav>a</nav>" * n
+    assert language.visible_text("a<!-- b -->c<script>d</SCRIPT >e<style>f").split() == ["a", "c", "e", "f"]
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        language.without_hidden(page(n))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
 @pytest.mark.parametrize("texts", [[], [None], ["", "x"], ["a b c d e f"] * 3])
 def test_sets(texts):
     import pyarrow as pa

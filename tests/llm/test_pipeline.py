@@ -5,11 +5,11 @@ from collections import Counter
 import corpus_pipeline
 from tidelog.llm import entries, minhash, mixing
 
-from .data import documents, frame
+from .data import documents, empty, frame
 
 
 def test_stages(spark, tmp_path):
-    docs = frame(spark, clash=False)
+    docs = frame(spark)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     columns = docs.columns
     seen = {}
@@ -34,5 +34,26 @@ def test_stages(spark, tmp_path):
     assert whole == sorted(map(tuple, seen["bpe"].collect()))
 
 
+def test_stages_on_an_empty_table(spark, tmp_path):
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, empty(spark), str(tmp_path))
+        assert out.count() == 0
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == empty(spark).columns
+
+
+def test_stages_on_nulls_in_every_column(spark, tmp_path):
+    rows = [(None, None, None, None, None)] * 3 + [(1, None, None, None, None), (None, "word " * 40, None, None, 7), (2, "word " * 40, None, None, None), (3, "the same and other words of a text " * 5, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path)).collect()
+        if name in ("secret_scan", "bpe"):
+            assert len(out) == len(rows)
+        if name == "minhash_near_dedup":
+            assert len(out) == len(rows)  # rows without an id or words stay, and 2 is alone with its text
+        if name == "source_mixing":
+            assert all(r.text for r in out) and out
+
+
 def test_entries():
     assert [n.split("_")[0] for n in entries.QUERIES] == [*(f"op{n}" for n in range(1, 11)), "pipeline"]

@@ -30,11 +30,11 @@ FAMILIES = [
     ("bsd-2-clause", "bsd", rf"(?:simplified|freebsd|(?:2|two)[\s-]clause)\s+bsd(?:\s+{_L})?|bsd[\s-]2[\s-]clause(?:\s+{_L})?", "bsd-2-clause(?:-patent|-views)?", r"opensource\.org/licenses?/bsd-2-clause"),
     ("bsd-1-clause", "bsd", r"bsd[\s-]1[\s-]clause", "bsd-1-clause", ""),
     ("0bsd", "bsd", rf"(?:zero[\s-]clause|0-clause)\s+bsd(?:\s+{_L})?", "0bsd", r"landley\.net/toybox/license"),
-    ("bsd", "bsd", rf"bsd(?:[\s-](?:style|type|like))?\s+{_L}", "bsd", ""),
+    ("bsd", "bsd", rf"bsd(?:[\s-](?:style|type|like))?\s+{_L}", "", ""),
     ("gpl-3.0", "general", rf"gnu\s+general\s+public\s+{_L}{_V}3(?:\.0)?", r"gpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/gpl-3\.0"),
     ("gpl-2.0", "general", rf"gnu\s+general\s+public\s+{_L}{_V}2(?:\.0)?", r"gpl-2\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
     ("gpl-1.0", "general", rf"gnu\s+general\s+public\s+{_L}{_V}1(?:\.0)?", r"gpl-1\.0(?:-only|-or-later|\+)?", ""),
-    ("gpl", "general", rf"(?:gnu\s+)?general\s+public\s+{_L}", "gpl", r"gnu\.org/(?:copyleft|licenses)/gpl"),
+    ("gpl", "general", rf"(?:gnu\s+)?general\s+public\s+{_L}", "", r"gnu\.org/(?:copyleft|licenses)/gpl"),
     ("gpl", "gpl", r"(?:gnu\s+)?gpl(?:[\s-]?v?[123](?:\.0)?\+?)?", "", ""),
     ("lgpl-3.0", "lesser", rf"gnu\s+lesser\s+general\s+public\s+{_L}{_V}3(?:\.0)?", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/lgpl-3\.0"),
     ("lgpl-2.1", "lesser", rf"gnu\s+lesser\s+general\s+public\s+{_L}{_V}2\.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
