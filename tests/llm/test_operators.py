@@ -192,6 +192,20 @@ def test_fingerprints(spark):
     assert one.edited_sha256 == digest("abab") and one.near_next == 1.0
 
 
+def test_fingerprint_neighbours_of_hot_ids(spark):
+    rng = random.Random(31)
+    rows = [(i, f"text {i} " + "w" * rng.randrange(30)) for i in range(60)] + [(None, f"null {i}") for i in range(80)] + [(7, f"seven {i}") for i in range(70)] + [(7, "seven 0")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprint.fingerprint_neighbours(df).collect()
+    tie = {r.text: r.t for r in df.select("text", F.xxhash64("text").alias("t")).distinct().collect()}
+    line = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], tie[r[1]]), reverse=True)
+    want = Counter()
+    for (i, t), (_, nxt) in zip(line, line[1:] + line[:1], strict=True):
+        half = len(t) // 2
+        want[i, len(t), digest(t[: len(t) - half] + nxt[:half])] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+
+
 def test_bpe_matches_library(spark):
     from tokenizers import Tokenizer
 

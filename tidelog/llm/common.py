@@ -107,6 +107,8 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    # What earlier batches have left free goes back to the system: workers live on between stages.
+    pa.default_memory_pool().release_unused()
 
 
 def by_pieces(work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, most: int = 1 << 20):

@@ -162,24 +162,36 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     cells = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(total // RANGE_BYTES, MOST_RANGES))
     shares = [i / cells for i in range(1, cells)]
-    cuts = np.unique(np.array(keyed.agg(F.percentile_approx("k", shares, F.lit(20 * cells)).alias("c")).first()["c"] or [], np.int64))
-    if not len(cuts):
+    found = np.array(keyed.agg(F.percentile_approx("k", shares, F.lit(20 * cells)).alias("c")).first()["c"] or [], np.int64)
+    if not len(found):
         return spark.createDataFrame([], SCHEMA)
+    cuts, many = np.unique(found, return_counts=True)
+    before = np.concatenate([[0], np.cumsum(many)])
 
     @F.pandas_udf("int")
-    def cell_of(k: pd.Series) -> pd.Series:
-        return pd.Series(len(cuts) - np.searchsorted(cuts, k.to_numpy(), side="left"))
+    def cell_of(k: pd.Series, tie: pd.Series) -> pd.Series:
+        """Ranges of descending order; an id (or the null ids) that several cuts fall on is split by the hash of its texts."""
+        at = np.searchsorted(cuts, k.to_numpy(), side="left")
+        own = np.minimum(at, len(cuts) - 1)
+        hot = np.where((at < len(cuts)) & (cuts[own] == k.to_numpy()), many[own], 1)
+        part = np.minimum(np.floor((tie.to_numpy().astype(np.float64) / 2.0**64 + 0.5) * hot), hot - 1)
+        return pd.Series((before[-1] - before[at] - part).astype(np.int32))
 
-    # The largest id of each range, a row a range, tells whose copy closes the range before; the first range closes the last.
-    tops = {r["cell"]: r["k"] for r in keyed.withColumn("cell", cell_of("k")).groupBy("cell").agg(F.max("k").alias("k")).collect()}
-    order = sorted(tops)
-    first = spark.createDataFrame([(tops[c], order[i - 1]) for i, c in enumerate(order)], "k long, prior int")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    placed = docs.select(F.col(id_col).cast("long").alias("doc_id"), rank.alias("k"), text.alias("text")).withColumn("cell", cell_of("k"))
+    # Without an id of that many rows the texts need not be read to find the ranges.
+    hashed = F.xxhash64(text) if (many > 1).any() else F.lit(0).cast("long")
+    mark = F.struct("k", "mark")
+    marked = docs.select(rank.alias("k"), hashed.alias("mark")).withColumn("cell", cell_of("k", "mark"))
+    # The last row of each range in ascending order, a row a range, tells whose copy closes the range before; the first range closes the last.
+    tops = {r["cell"]: r["top"] for r in marked.groupBy("cell").agg(F.max(mark).alias("top")).collect()}
+    order = sorted(tops)
+    first = spark.createDataFrame([(tops[c]["k"], tops[c]["mark"], order[i - 1]) for i, c in enumerate(order)], "k long, mark long, prior int")
+    placed = docs.select(F.col(id_col).cast("long").alias("doc_id"), rank.alias("k"), text.alias("text"), hashed.alias("mark")).withColumn("cell", cell_of("k", "mark"))
     own = F.struct(F.col("cell").alias("cell"), F.lit(0).alias("copy"))
     closing = F.struct(F.col("prior").alias("cell"), F.lit(1).alias("copy"))
     to = F.when(F.col("prior").isNull(), F.array(own)).otherwise(F.array(own, closing))
-    sent = placed.join(F.broadcast(first), "k", "left").select("doc_id", "k", "text", F.explode(to).alias("to")).select("to.*", "doc_id", "k", "text")
+    # One row for each range.
+    sent = placed.join(F.broadcast(first), ["k", "mark"], "left").select("doc_id", "k", "text", F.explode(to).alias("to")).select("to.*", "doc_id", "k", "text")
     dealt = sent.withColumn("tie", F.xxhash64("text")).repartition("cell").sortWithinPartitions("cell", "copy", F.desc("k"), F.desc("tie"))
     return dealt.select("cell", "copy", "doc_id", "text").mapInArrow(_chain, SCHEMA)
 
