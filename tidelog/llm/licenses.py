@@ -10,7 +10,7 @@ longer or, at equal length, of an earlier rule.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,28 +58,39 @@ def base_places(low: Column, plain: Column) -> Column:
     return F.when(_any(gates), found).otherwise(F.array().cast("array<struct<start:int,label:string>>"))
 
 
-def matching_rules(text: Column, low: Column) -> Column:
-    """Numbers of the rules that a text matches; low is the text in lower case."""
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def some(tests: dict[str, Column]) -> Column:
-        none = F.array().cast("array<int>")
-        return F.flatten(F.array(*[F.when(low.contains(word), numbers).otherwise(none) for word, numbers in tests.items()]))
 
-    by: dict[str, dict[str, list]] = {}
+@lru_cache
+def matching_rules(text: str, low: str) -> str:
+    """An SQL expression for the numbers of the rules that a text matches; low is the text in lower case.
+
+    Text, since six hundred patterns are one call this way.
+    """
+    by: dict[str, dict[str, list[str]]] = {}
     for number, _, stem, keyword, pattern, *_ in RULES:
-        by.setdefault(stem, {}).setdefault(keyword, []).append(F.when(text.rlike("(?i)" + pattern), F.lit(number)))
-    tried = lambda tests: F.array_compact(F.array(*tests))
-    return some({stem: some({word: tried(t) for word, t in words.items()}) if list(words) != [stem] else tried(words[stem]) for stem, words in by.items()})
+        by.setdefault(stem, {}).setdefault(keyword, []).append(f"CASE WHEN {text} RLIKE {_literal('(?i)' + pattern)} THEN {number} END")
+
+    def some(tests: dict[str, str]) -> str:
+        each = (f"CASE WHEN contains({low}, {_literal(word)}) THEN {numbers} ELSE CAST(array() AS array<int>) END" for word, numbers in tests.items())
+        return f"flatten(array({', '.join(each)}))"
+
+    def tried(tests: list[str]) -> str:
+        return f"array_compact(array({', '.join(tests)}))"
+
+    return some({stem: tried(words[stem]) if list(words) == [stem] else some({word: tried(t) for word, t in words.items()}) for stem, words in by.items()})
 
 
 def detections(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """(doc_id, check, found): kept detections of each document that has any, by start."""
     # A lambda names the text and its lower case, so that they are made once and the branches stay out of one large method.
-    read = F.array(F.struct(F.col("text").alias("text"), F.col("low").alias("low")))
-    met = docs.select("doc_id", "check", "text", F.explode(F.flatten(F.transform(read, lambda t: matching_rules(t["text"], t["low"])))).alias("rule"))
+    numbers = F.expr(f"flatten(transform(array(struct(text, low)), t -> {matching_rules('t.text', 't.low')}))")
+    # The outer form, since the other one is given a filter that makes the array once more.
+    met = docs.select("doc_id", "check", "text", F.explode_outer(numbers).alias("rule")).where("rule is not null")
     # The rule table has a fixed number of rows.
     tried = met.join(F.broadcast(rule_table(spark)), "rule")
-    each = tried.select("doc_id", "check", "rule", "label", "priority", "weight", "grp", F.explode(match_spans(F.col("text"), F.col("pattern"), F.col("grp"))).alias("s"))
+    each = tried.select("doc_id", "check", "rule", "label", "priority", "weight", "grp", F.explode_outer(match_spans(F.col("text"), F.col("pattern"), F.col("grp"))).alias("s")).where("s is not null")
     named = F.when((F.col("grp") == 1) & (F.col("s.value") != ""), F.concat("label", F.lit("-"), F.col("s.value"))).otherwise(F.col("label")).alias("label")
     spans = each.select("doc_id", "check", "rule", named, "priority", "weight", "s.start", "s.stop").repartition("doc_id", "check").dropDuplicates(["doc_id", "check", "rule", "start"])
     # Whatever suppresses a detection stands before it in this order, has no higher priority number and reaches its end.
