@@ -197,3 +197,19 @@ class AckManager:
 
     def nack(self, offset: int) -> bool:
         return self.queue.nack(offset)
+
+
+class Versions:
+    """One key of a store whose puts compare and set its version; -1 without a value."""
+
+    def __init__(self):
+        self.version = -1
+
+    def write(self, op: str, wanted: int) -> int:
+        """Twice the version after the write, and one more if it was refused."""
+        refused = op == "PUT" and (self.version < 0 or self.version != wanted)
+        if op == "REMOVE":
+            self.version = -1
+        elif not refused:
+            self.version += 1
+        return 2 * self.version + refused

@@ -104,6 +104,11 @@ class ScaleState:
         self.mode, self.scale = "HIBERNATE", 0.0
         self.waker = Proposer(WAKE, BOOTSTRAP, self.durations.up, now)
 
+    def snapshot(self) -> tuple[str, float, list[int]]:
+        """Mode, scale and the samples that each window holds."""
+        held = [self.waker] if self.mode == "HIBERNATE" else [*self.movers, *([self.sleeper] if self.mode == "RUNNING" and self.sleeper is not None else [])]
+        return self.mode, self.scale, [p.n for p in held]
+
     def sample(self, now: int, value: float) -> float:
         if self.mode == "HIBERNATE":
             proposal = self.waker.sample(now, value)

@@ -51,3 +51,25 @@ def released(log: DataFrame, delay_ms: int, now_ms: int) -> DataFrame:
     """Records whose hold is over and before which none is held."""
     latest = F.max("ts_ms").over(Window.partitionBy("topic", "part").orderBy("off"))
     return log.withColumn("latest", latest).where(F.col("latest") + delay_ms <= now_ms).drop("latest")
+
+
+def post_commits(jobs: DataFrame, now_ms: int, within_ms: int = 3_600_000) -> DataFrame:
+    """Canceled jobs whose range is empty but not at 0, of groups that ended no longer ago than that: their end is committed."""
+    return jobs.where((F.col("start_off") == F.col("end_off")) & (F.col("end_off") > 0) & (F.col("state") == "CANCELED") & (F.lit(now_ms) - F.col("end_ms") <= within_ms))
+
+
+def numbered(df: DataFrame, order: str, result: str) -> DataFrame:
+    """Rows numbered from 0 in one order: sorted in ranges, each numbered by itself after the sizes of those before it.
+
+    The sorted rows are kept, so that both passes see the same ranges.
+    """
+    held = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_place", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("_place", 33)
+    # One row for each range.
+    sizes = sorted((r["part"], r["n"]) for r in held.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for p, n in sizes:
+        starts += [F.lit(p).cast("long"), F.lit(total).cast("long")]
+        total += n
+    first = F.create_map(*starts)[part] if starts else F.lit(0).cast("long")
+    return held.withColumn(result, first + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_place")

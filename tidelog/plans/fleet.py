@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import decisions as d
-from tidelog.operators import folds, placement, reconcile, windows
+from tidelog.operators import folds, placement, reconcile, scans, windows
 from tidelog.operators.scaling import ScaleState
 from tidelog.plans.registry import query
 from tidelog.sources.views import Views
@@ -129,6 +129,23 @@ REPLAY = f"""WITH RECURSIVE e AS (SELECT job_id, event_id, ts_ms AS t, msgs / 40
  SELECT job_id, event_id, round(s, 6) AS scale FROM r WHERE k > 0"""
 
 
+@query(REPLAY.replace("SELECT job_id, event_id, round(s, 6) AS scale FROM r WHERE k > 0", """SELECT job_id, round(s, 6) AS scale, CASE m WHEN 'C' THEN 'CALIBRATING' WHEN 'R' THEN 'RUNNING' ELSE 'HIBERNATE' END AS mode,
+ CASE m WHEN 'H' THEN CAST(len(wv) AS VARCHAR) WHEN 'C' THEN concat(len(uv), ',', len(dv)) ELSE concat(len(uv), ',', len(dv), ',', len(hv)) END AS samples FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY k DESC) AS last FROM r) WHERE last = 1"""))
+def scale_snapshot(v: Views) -> DataFrame:
+    """State of each job's machine after its last sample: mode, scale, and how many samples each of its windows holds."""
+
+    def step(held: dict, r: dict) -> str:
+        if not held:
+            held["state"] = ScaleState(r["ts_ms"], 0.0 if r["job_id"] % 3 == 2 else 0.05, r["job_id"] % 3 == 0)
+        held["state"].sample(r["ts_ms"], r["msgs"] / 4000.0)
+        mode, scale, samples = held["state"].snapshot()
+        return f"{mode};{scale!r};{','.join(map(str, samples))}"
+
+    out = folds.ordered_fold(v.status, ["job_id"], ["ts_ms", "event_id"], ["job_id", "event_id", "ts_ms", "msgs"], dict, step, "state", "string")
+    last = F.split(F.max_by("state", F.struct("ts_ms", "event_id")), ";")
+    return out.groupBy("job_id").agg(last.alias("x")).select("job_id", F.round(F.col("x")[1].cast("double"), 6).alias("scale"), F.col("x")[0].alias("mode"), F.col("x")[2].alias("samples"))
+
+
 @query(REPLAY)
 def scale_replay(v: Views) -> DataFrame:
     """The state machine over all samples of each job, by time: a third starts from a quota, a third from a known scale, a third asleep."""
@@ -282,10 +299,12 @@ def state_sync_batch(v: Views) -> DataFrame:
     return s.join(done, "group_id").select("group_id", "job_id", "state", "group_done")
 
 
-@query("SELECT range_id, part, end_off FROM ranges WHERE start_off = end_off AND end_off > 0 AND range_id % 24 <= 1")
+@query("""WITH r AS (SELECT range_id, part, start_off, end_off, range_id * 1000 AS end_ms, CASE range_id % 3 WHEN 0 THEN 'CANCELED' ELSE 'RUNNING' END AS state FROM ranges)
+ SELECT range_id, part, end_off FROM r WHERE start_off = end_off AND end_off > 0 AND state = 'CANCELED' AND (SELECT max(end_ms) FROM r) - end_ms <= 3600000""")
 def post_commit(v: Views) -> DataFrame:
-    """Purge jobs of groups that ended within the hour commit their end."""
-    return v.ranges.where("start_off = end_off and end_off > 0 and range_id % 24 <= 1").select("range_id", "part", "end_off")
+    """Canceled jobs that read nothing, of groups that ended within the hour, commit their end; each range is a group that ends a second after the one before."""
+    ended = v.ranges.selectExpr("range_id", "part", "start_off", "end_off", "range_id * 1000 as end_ms", "case range_id % 3 when 0 then 'CANCELED' else 'RUNNING' end as state")
+    return scans.post_commits(ended, ended.agg(F.max("end_ms")).first()[0] or 0).select("range_id", "part", "end_off")
 
 
 @query("SELECT group_id, bool_and(state = 'CANCELED') OR count(*) FILTER (state = 'RUNNING') < 40 AS collect FROM jobs GROUP BY group_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import decisions as d
-from tidelog.operators import reconcile, routing, scans
+from tidelog.operators import folds, reconcile, routing, scans
 from tidelog.plans.registry import query
 from tidelog.sources.views import Views
 
@@ -139,9 +139,10 @@ def unassigned_records(v: Views) -> DataFrame:
 
 @query("SELECT job_id AS old_id, (SELECT max(job_id) FROM jobs) + row_number() OVER (ORDER BY job_id) AS new_id FROM jobs WHERE worker_id = 0")
 def assign_ids(v: Views) -> DataFrame:
-    """Next ids in order; numbered over the few rows that lack one."""
+    """Next ids in order for the jobs that lack one."""
     top = v.jobs.agg(F.max("job_id")).first()[0] or 0
-    return v.jobs.where("worker_id = 0").select(F.col("job_id").alias("old_id"), (F.row_number().over(Window.orderBy("job_id")) + F.lit(top)).cast("long").alias("new_id"))
+    lack = scans.numbered(v.jobs.where("worker_id = 0").select(F.col("job_id").alias("old_id")), "old_id", "k")
+    return lack.select("old_id", (F.col("k") + F.lit(top + 1)).alias("new_id"))
 
 
 @query("SELECT event_id, CAST(least(1000.0, least(1000, greatest(1, vbytes * 10)) * pow(2.0, timeout_count)) AS BIGINT) AS timeout_ms FROM log")
@@ -174,6 +175,23 @@ def latest_per_key(v: Views) -> DataFrame:
     return v.status.groupBy("job_id").agg(F.max_by("msgs", "event_id").alias("msgs"), F.max("event_id").alias("version"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT key, event_id, CASE WHEN event_id % 7 = 0 THEN 'REMOVE' WHEN event_id % 5 = 0 THEN 'CREATE' ELSE 'PUT' END AS op, event_id % 3 AS wanted, row_number() OVER (PARTITION BY key ORDER BY event_id) AS k FROM log),
+ r AS (SELECT DISTINCT key, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS version, TRUE AS done FROM e
+ UNION ALL SELECT e.key, e.event_id, e.k, CASE op WHEN 'REMOVE' THEN -1 WHEN 'CREATE' THEN version + 1 ELSE CASE WHEN version >= 0 AND version = wanted THEN version + 1 ELSE version END END, op <> 'PUT' OR (version >= 0 AND version = wanted) FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1)
+ SELECT event_id, version, done FROM r WHERE k > 0""")
+def store_writes(v: Views) -> DataFrame:
+    """Writes of each key in order: a put needs the version it names, a create does not, a removal may find nothing."""
+    op = F.expr("case when event_id % 7 = 0 then 'REMOVE' when event_id % 5 = 0 then 'CREATE' else 'PUT' end")
+
+    def step(s: folds.Versions, r: dict) -> int:
+        return s.write(r["op"], r["wanted"])
+
+    writes = v.log.select("key", "event_id", op.alias("op"), (F.col("event_id") % 3).alias("wanted"))
+    out = folds.ordered_fold(writes, ["key"], ["event_id"], ["event_id", "op", "wanted"], folds.Versions, step, "state", "long")
+    # Twice the version, and one more where the write was refused.
+    return out.select("event_id", F.floor(F.col("state") / 2).cast("long").alias("version"), (F.pmod("state", F.lit(2)) == 0).alias("done"))
+
+
 @query("SELECT job_id, t AS last_ms FROM (SELECT job_id, max(ts_ms) AS t FROM status GROUP BY job_id) WHERE t >= (SELECT max(ts_ms) FROM status) - 43200000")
 def ttl_live(v: Views) -> DataFrame:
     now = v.status.agg(F.max("ts_ms")).first()[0] or 0

@@ -261,6 +261,18 @@ def cancel_result(v: Views) -> DataFrame:
     return folds.ordered_fold(x, ["topic", "part"], ["off"], ["event_id", "outcome", "code", "cost", "reasons", "reason"], lambda: folds.Tokens(None), step, "result", "string").select("event_id", "result")
 
 
+@query("""WITH a AS (SELECT *, row_number() OVER (PARTITION BY topic, part ORDER BY event_id * 7919 % 10007, off) AS t FROM acks WHERE status = 'ACKED'), m AS (SELECT x.topic, x.part, x.off, t, max(coalesce(a.t, 4611686018427387904)) OVER (PARTITION BY x.topic, x.part ORDER BY x.off) AS done FROM acks x LEFT JOIN a ON a.event_id = x.event_id)
+ SELECT topic, part, off, part < 6 AS assigned, CASE WHEN part >= 6 THEN -1 WHEN done = t THEN (SELECT max(off) FROM m y WHERE y.topic = m.topic AND y.part = m.part AND y.done <= m.t) + 1 ELSE -3 END AS returned FROM m WHERE t IS NOT NULL""")
+def ack_status(v: Views) -> DataFrame:
+    """One queue for each partition that a job has; what comes from others was refused when received, so its acknowledgement returns -1."""
+    jobs = v.jobs.selectExpr("job_id % 6 as part").distinct().withColumn("known", F.lit(True))
+    met = v.acks.where("status = 'ACKED'").join(F.broadcast(jobs.limit(6)), "part", "left")  # six partitions at most
+    lost = met.where("known is null").select("topic", "part", "off", F.lit(False).alias("assigned"), F.lit(-1).cast("long").alias("returned"))
+    w = Window.partitionBy("topic", "part").orderBy(F.col("event_id") * 7919 % 10007, "off")
+    held = v.acks.join(F.broadcast(jobs.limit(6)), "part").withColumn("t", F.row_number().over(w).cast("long"))
+    return commits.progress(held, "t").select("topic", "part", "off", F.lit(True).alias("assigned"), "returned").unionByName(lost)
+
+
 @query("SELECT event_id, max(CASE WHEN event_id % 50 = 0 THEN ts_ms END) OVER (PARTITION BY topic ORDER BY ts_ms RANGE BETWEEN 1800000 PRECEDING AND CURRENT ROW) IS NOT NULL AS adaptive FROM log")
 def limiter_mode(v: Views) -> DataFrame:
     """Adaptive while a drop lies within the last 30 minutes."""
