@@ -13,7 +13,7 @@ _V = r"(?:,?\s+(?:version|v\.?)\s*|[\s-]+v?)"
 _L = r"licen[cs]e"
 
 #: Words of which a text of most signatures holds one.
-STEMS = ["licen", ".org/", "software", "copyright", "permission", "commons", "rights", "public", "gpl", "source", "distribut", "exception", "warrant", "font", "perl", "names"]
+STEMS = ["licen", ".org/", "software", "copyright", "permission", "commons", "rights", "public", "gpl", "source", "distribut", "exception", "warrant", "serv", "attribution", "perl", "names", "trade", "confiden", "proprietary", ".eu/", ".com/", ".net", ".dev", "acade"]
 
 #: (label, keyword, name, SPDX identifiers or "", address or "")
 FAMILIES = [
@@ -22,7 +22,8 @@ FAMILIES = [
     ("apache-1.0", "apache", rf"apache(?:\s+software)?\s+{_L}{_V}1\.0", r"apache-1\.0", r"apache\.org/licenses/license-1\.0"),
     ("mit", "mit", rf"mit(?:/x11)?\s+{_L}", "mit", r"opensource\.org/licenses?/mit"),
     ("mit", "expat", rf"expat\s+{_L}", "", ""),
-    ("mit-0", "mit", r"mit(?:[\s-]+no[\s-]+attribution|-0)", "mit-0", ""),
+    ("mit-0", "attribution", r"mit[\s-]+no[\s-]+attribution", "mit-0", ""),
+    ("mit-0", "mit-0", r"mit-0", "", ""),
     ("mit-cmu", "cmu", rf"(?:mit[\s-]cmu|cmu[\s-]style)(?:\s+{_L})?", "mit-cmu", ""),
     ("x11", "x11", rf"x11\s+{_L}", "x11", r"xfree86\.org/current/license"),
     ("bsd-4-clause", "bsd", rf"(?:original|old|(?:4|four)[\s-]clause)\s+bsd(?:\s+{_L})?|bsd[\s-]4[\s-]clause", "bsd-4-clause", ""),
@@ -98,7 +99,8 @@ FAMILIES = [
     ("qpl-1.0", "q public", rf"q public\s+{_L}(?:{_V}1\.0)?", r"qpl-1\.0", ""),
     ("sleepycat", "sleepycat", rf"sleepycat\s+{_L}", "sleepycat", ""),
     ("json", "json", rf"json\s+{_L}", "json", r"json\.org/license"),
-    ("beerware", "beer", rf"beer-?ware(?:\s+{_L})?", "beerware", ""),
+    ("beerware", "beerware", rf"beerware(?:\s+{_L})?", "beerware", ""),
+    ("beerware", "beer-ware", rf"beer-ware(?:\s+{_L})?", "", ""),
     ("hippocratic", "hippocratic", rf"hippocratic\s+{_L}(?:{_V}[23]\.[01])?", r"hippocratic-2\.1", r"firstdonoharm\.dev"),
     ("blueoak-1.0.0", "blue", rf"blue\s+oak\s+model\s+{_L}(?:{_V}1\.0\.0)?", r"blueoak-1\.0\.0", r"blueoakcouncil\.org/license"),
     ("ofl-1.1", "font", rf"sil\s+open\s+font\s+{_L}(?:{_V}1\.[01])?", r"ofl-1\.[01](?:-rfn|-no-rfn)?", r"scripts\.sil\.org/ofl"),
@@ -183,7 +185,7 @@ CLAUSES = [
     ("unlicense", "unencumbered", r"this\s+is\s+free\s+and\s+unencumbered\s+software\s+released\s+into\s+the\s+public\s+domain"),
     ("cc0-1.0", "dedicated", r"dedicated\s+all\s+copyright\s+and\s+related\s+and\s+neighboring\s+rights\s+to\s+this\s+(?:software|work)\s+to\s+the\s+public\s+domain"),
     ("wtfpl", "want to", r"you\s+just\s+do\s+what\s+the\s+f\S{2,6}\s+you\s+want to"),
-    ("beerware", "beer", r"you\s+can\s+buy\s+me\s+a\s+beer\s+in\s+return"),
+    ("beerware", "return", r"you\s+can\s+buy\s+me\s+a\s+beer\s+in\s+return"),
     ("json", "evil", r"the\s+software\s+shall\s+be\s+used\s+for\s+good,\s+not\s+evil"),
     ("openssl", "openssl", r"this\s+product\s+includes\s+software\s+developed\s+by\s+the\s+openssl\s+project"),
     ("ssleay", "cryptographic", r"this\s+product\s+includes\s+cryptographic\s+software\s+written\s+by\s+eric\s+young"),
@@ -193,7 +195,7 @@ CLAUSES = [
     ("postgresql", "california", r"in\s+no\s+event\s+shall\s+the\s+university\s+of\s+california\s+be\s+liable\s+to\s+any\s+party"),
     ("ncsa", "names", r"neither\s+the\s+names\s+of\s+.{1,80}?\s+nor\s+the\s+names\s+of\s+its\s+contributors\s+may\s+be\s+used"),
     ("ofl-1.1", "reserved font", r"with\s+reserved font\s+names?"),
-    ("ofl-1.1", "font", r"the\s+fonts,\s+including\s+any\s+derivative\s+works,\s+can\s+be\s+bundled"),
+    ("ofl-1.1", "bundled", r"the\s+fonts,\s+including\s+any\s+derivative\s+works,\s+can\s+be\s+bundled"),
     ("lppl-1.3c", "latex", r"this\s+work\s+may\s+be\s+distributed\s+and/or\s+modified\s+under\s+the\s+conditions\s+of\s+the\s+latex"),
     ("sspl-1.0", "service source", r"making\s+available\s+the\s+service source\s+code|offering\s+the\s+program\s+as\s+a\s+service source"),
     ("busl-1.1", "change date", r"change date\s*:\s*\d{4}-\d\d-\d\d"),
