@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,7 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 #: Bytes of a batch that goes to a Python worker: a batch of long texts so holds fewer rows, whatever the session's row limit.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,22 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Paths of the tables that cut() has made, in order.
+made: list[str] = []
+
+
+def release(spark: SparkSession, paths: list[str], docs: DataFrame | None = None) -> None:
+    """Delete tables that nothing reads any more; those that docs still reads stay."""
+    if not paths:
+        return
+    read = {str(f).rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()} if docs is not None else set()
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        if path.rsplit("/", 1)[-1] not in read:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def cut(df: DataFrame, mark: Column | None = None) -> DataFrame | tuple[DataFrame, tuple]:
     """The same rows read back from a Parquet table in the shared folder: later reads don't repeat the work,
     and a lost executor costs no more than its own tasks.  The table goes when the application ends.
@@ -61,9 +78,10 @@ def cut(df: DataFrame, mark: Column | None = None) -> DataFrame | tuple[DataFram
     df.observe(seen, F.count(F.lit(1)).alias("rows"), (F.lit(0) if mark is None else mark).alias("mark")).write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
-    made = spark.read.schema(df.schema).parquet(path)
-    made._rows = seen.get["rows"]
-    return made if mark is None else (made, (seen.get["rows"], seen.get["mark"]))
+    made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rows = seen.get["rows"]
+    return out if mark is None else (out, (seen.get["rows"], seen.get["mark"]))
 
 
 def count_runs(text: Column, between: str) -> Column:
@@ -95,6 +113,24 @@ def hint_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def give_back() -> None:
+    """Return to the system what earlier batches have left free: workers live on between stages, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def _trimmer() -> Callable[[int], int] | None:
+    """The C library's function for that, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+_trim = _trimmer()
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most so many bytes in one column (a longer row comes alone), in order."""
     if batch.num_rows == 0:
@@ -107,8 +143,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
-    # What earlier batches have left free goes back to the system: workers live on between stages.
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def by_pieces(work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, most: int = 1 << 20):
