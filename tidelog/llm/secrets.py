@@ -142,9 +142,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     their marks; the others pass.
     """
     id_, check, spans, marks, row = unused(docs, "_id", "_check", "_spans", "_marks", "_row")
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(id_col), F.col(text_col), F.col(owner_col))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    read = cut(given.select(row, F.col(id_col).cast("long").alias(id_), F.xxhash64(text).alias(check), F.col(owner_col).cast("string").alias("owner"), F.col(id_col).cast("string").alias("repo"), find_spans(text, F.lower(text)).alias(spans)))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(id_col).cast("long").alias(id_), text.alias("text"), F.col(owner_col).cast("string").alias("owner"), F.col(id_col).cast("string").alias("repo"))
+    # The lower case has a column of its own, so that it is made once for all kinds.
+    found = find_spans(F.col("text"), F.col("low")).alias(spans)
+    read = cut(given.withColumn("low", F.lower("text")).select(row, id_, F.xxhash64("text").alias(check), "owner", "repo", found))
     scanned = read.select(F.col(id_).alias("doc_id"), F.col(check).alias("check"), "owner", "repo", F.col(spans).alias("spans"))
     live = judged(scanned).select(F.col("doc_id").alias(f"{id_}2"), F.col("check").alias(f"{check}2"), F.filter("marks", lambda s: s["live"]).alias(marks))
     live = cut(live.where(F.size(marks) > 0))
