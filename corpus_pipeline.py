@@ -1,22 +1,46 @@
 """From raw documents to token ids: language, near-duplicates, secrets, mix, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; a stage's rows
-are written as Parquet and read again before the next one.
+are written as Parquet and read again before the next one.  So when a stage
+begins, the tables that the one before it made on its way are no longer read,
+and go.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm import common
 from tidelog.llm.bpe import tokenize_digests
-from tidelog.llm.common import SPACE_FREE, cut, hint_small, table, unused
+from tidelog.llm.common import SPACE_FREE, cut, hint_small, release, table, unused
 from tidelog.llm.language import accepted_documents
 from tidelog.llm.minhash import near_duplicates
 from tidelog.llm.mixing import repeat_documents
 from tidelog.llm.secrets import redact
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_before: list[str] = []
+
+
+def staged(stage: Stage) -> Stage:
+    """The stage, after the tables of the one before it have been deleted; what docs still reads stays."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _before, docs)
+        start = len(common.made)
+        out = stage(spark, docs, sf_dir)
+        _before[:] = common.made[start:]
+        return out
+
+    return run_stage
+
 
+@staged
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in no language go, null and wordless ones too; lang is the fused verdict.
 
@@ -25,6 +49,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return accepted_documents(docs)
 
 
+@staged
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row stays, that of the smallest id; of rows that share it, that of the least text.
 
@@ -47,6 +72,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rest.unionByName(met.where(~F.col(mark)).select(*docs.columns)).unionByName(one.select("row.*"))
 
 
+@staged
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking secrets are masked in the texts; all documents stay, null and empty texts and repeated rows as they are.
 
@@ -55,6 +81,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return redact(docs)
 
 
+@staged
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document once for every time the mix takes it; wordless texts are not taken.
 
@@ -63,6 +90,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repeat_documents(docs)
 
 
+@staged
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every row of the mix; null texts are empty and have no tokens.
 
@@ -85,9 +113,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    docs, own = table(spark, sf_dir, "documents"), []
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = cut(docs)
+            # The rows of the stage before are written anew by now.
+            release(spark, own)
+            own = common.made[-1:]
     return docs
