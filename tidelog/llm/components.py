@@ -1,10 +1,10 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Every round is two steps, each an aggregate with map-side combining and a join
-on plain (node, node) rows: no neighbour list is ever built, so a hub with a
-third of all nodes is no larger a task than any other after the skew split.
-Each step is cut in the shared folder, and what tells whether a round changed
-anything is observed while it is written.
+on plain (node, node) rows: no neighbour list is ever built.  What is joined has
+been cut, so the join is a broadcast up to a counted size and beyond it a join
+of plain reads, in which a hub with a third of all nodes can be split.  What
+tells whether a round changed anything is observed while it is written.
 """
 
 from __future__ import annotations
@@ -12,21 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hint_small
+
+#: Rows of (node, node) that a join may broadcast.
+BROADCAST_NODES = 200_000
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to its smallest one, itself included."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    return both.where("v > u").join(hint_small(least, BROADCAST_NODES), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node hands its smaller neighbours and itself to the smallest of them; edges go from the larger end."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
     own, other = F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
-    return edges.join(least, "u").select(F.explode(F.array(own, other)).alias("e")).select("e.*")
+    return edges.join(hint_small(least, BROADCAST_NODES), "u").select(F.explode(F.array(own, other)).alias("e")).select("e.*")
 
 
 def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
