@@ -573,6 +573,11 @@ def test_repeats_with_hot_anchors(spark, monkeypatch):
     test_repeats(spark)
 
 
+def test_repeats_in_several_turns(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "PASS_BYTES", 3_000)
+    test_repeats(spark)
+
+
 def test_contexts_are_compared_by_their_bytes(spark, monkeypatch):
     monkeypatch.setattr(suffixes.Anchors, "hash_of", lambda self, start, stop: np.full(len(start), 7, np.uint64))
     rng = random.Random(21)
@@ -594,7 +599,7 @@ def test_contexts_are_compared_by_their_bytes(spark, monkeypatch):
     sent = suffixes._anchor_hashes(1, width)(docs)
     known = list(suffixes._repeated(width)(iter([sent.select(["part", "slice", "hashes", "docs"]).to_batches()[0]])))
     cuts = suffixes._contexts(1, width)(docs, pa_from(known))
-    found = list(suffixes._settle(iter(cuts.sort_by("part").to_batches())))
+    found = list(suffixes._settle(1)(iter(cuts.sort_by("part").to_batches())))
     out = suffixes._remove(True)(docs, pa_from(found))
     assert dict(zip(out.column("doc_id").to_pylist(), out.column("n_removed").to_pylist(), strict=True)) == dict(enumerate(want)) and sum(want) > 0
 

@@ -43,6 +43,8 @@ LENGTH, GRAM = 50, 20
 STRIDE = LENGTH - GRAM + 1
 SLICE_BYTES = 2 << 20
 PART_BYTES = 64 << 20
+#: Bytes of contexts that a task holds unpacked.
+PASS_BYTES = 16 << 20
 HOT_DOCS = 2_000
 HOT = np.uint64(1 << 63)
 
@@ -457,50 +459,78 @@ def shared_part(contexts: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
 _FOUND = pa.schema([("slice", pa.int32()), ("blob", pa.binary())])
 
 
-def _settle(batches):
+def _turns(blobs: list[bytes], texts: list[bytes], parts: int):
+    """The entries of a part and their contexts, some keys at a time: PASS_BYTES of contexts a turn, on average.
+
+    Blobs stay packed and compressed between turns; all entries of a key come in one turn.
+    """
+    turns = max(1, -(-sum(int.from_bytes(t[:8], "little") for t in texts) // PASS_BYTES))
+    for turn in range(turns):
+        each, raw = [], []
+        for b, t in zip(blobs, texts, strict=True):
+            e, held = _entries(b), _expand(t)
+            if turns > 1:
+                keep = (mix(e["key"].view(np.uint64)) // np.uint64(parts)) % np.uint64(turns) == turn
+                held = np.frombuffer(held, np.uint8)[np.repeat(keep, e["many"] + LENGTH - 1)].tobytes()
+                e = {c: v[keep] for c, v in e.items()}
+            each.append(e)
+            raw.append(held)
+        yield {c: np.concatenate([e[c] for e in each]) for c in _ENTRY}, b"".join(raw)
+
+
+def _settle(parts: int):
     """What the entries of each part remove, by slice; removals that slices have found themselves pass through."""
-    for numbers, blobs, texts in _parts(batches, ["slice", "blob", "contexts"]):
-        passed = [(n, b) for n, b in zip(numbers, blobs, strict=True) if n is not None]
-        if passed:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*passed, strict=True), _FOUND, strict=True)], schema=_FOUND)
-        each = [_entries(b) for n, b in zip(numbers, blobs, strict=True) if n is None]
-        if not each:
-            continue
-        entry = {c: np.concatenate([e[c] for e in each]) for c in _ENTRY}
-        contexts = b"".join(_expand(t) for t in texts if t is not None)
-        sizes = entry["many"] + LENGTH - 1
-        ends = np.cumsum(sizes)
-        o = np.lexsort((entry["doc"], entry["key"]))
-        a = _starts(entry["key"][o])
-        n = np.diff(np.append(a, len(o)))
-        doc, before, many, tail, head = (x.tolist() for x in (entry["doc"], entry["before"], entry["many"], ends, ends - sizes))
-        out: list[tuple[int, int, int]] = []
-        for x, m in zip(a[n > 1].tolist(), n[n > 1].tolist(), strict=True):
-            by: dict[tuple[int, bytes], list[int]] = {}
-            for r in o[x : x + m].tolist():
-                by.setdefault((before[r], contexts[head[r] : tail[r]]), []).append(r)
-            for same in by.values():
-                out += [(r, 0, many[r] - 1) for r in same[1:] if doc[r] > doc[same[0]]]
-            if len(by) < 2:
-                continue
-            kinds = list(by)
-            held = [(c, u, v) for c, (u, v) in enumerate(shared_part(kinds)) if v - u >= LENGTH]
-            if len(held) > 1:
-                owners = [doc[by[kinds[c]][0]] for c, _, _ in held]
-                least = least_owner([kinds[c][1][u:v] for c, u, v in held], owners)
-                for (c, u, _), own, lowest in zip(held, owners, least, strict=True):
-                    hit = [u + i for i, v in enumerate(lowest) if v < own]
-                    out += [(r, i, i) for r in by[kinds[c]] if doc[r] == own for i in hit]
-        if not out:
+
+    def run(batches):
+        for numbers, blobs, texts in _parts(batches, ["slice", "blob", "contexts"]):
+            passed = [(n, b) for n, b in zip(numbers, blobs, strict=True) if n is not None]
+            if passed:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*passed, strict=True), _FOUND, strict=True)], schema=_FOUND)
+            packed = [(b, t) for n, b, t in zip(numbers, blobs, texts, strict=True) if n is None]
+            if packed:
+                for entry, contexts in _turns(*map(list, zip(*packed, strict=True)), parts):
+                    yield from _removed(entry, contexts)
+
+    return run
+
+
+def _removed(entry: dict[str, np.ndarray], contexts: bytes):
+    """What some entries remove, by slice."""
+    if not len(entry["key"]):
+        return
+    sizes = entry["many"] + LENGTH - 1
+    ends = np.cumsum(sizes)
+    o = np.lexsort((entry["doc"], entry["key"]))
+    a = _starts(entry["key"][o])
+    n = np.diff(np.append(a, len(o)))
+    doc, before, many, tail, head = (x.tolist() for x in (entry["doc"], entry["before"], entry["many"], ends, ends - sizes))
+    out: list[tuple[int, int, int]] = []
+    for x, m in zip(a[n > 1].tolist(), n[n > 1].tolist(), strict=True):
+        by: dict[tuple[int, bytes], list[int]] = {}
+        for r in o[x : x + m].tolist():
+            by.setdefault((before[r], contexts[head[r] : tail[r]]), []).append(r)
+        for same in by.values():
+            out += [(r, 0, many[r] - 1) for r in same[1:] if doc[r] > doc[same[0]]]
+        if len(by) < 2:
             continue
-        r, i, j = np.array(out).T
-        number = entry["slice"][r]
-        o = np.argsort(number, kind="stable")
-        r, i, j, number = r[o], i[o], j[o], number[o]
-        start = entry["first"][r]
-        cuts = [*_starts(number).tolist(), len(number)]
-        rows = [(int(number[x]), _removals(entry["row"][r[x:y]], (start + i)[x:y], (start + j + LENGTH)[x:y]).tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
+        kinds = list(by)
+        held = [(c, u, v) for c, (u, v) in enumerate(shared_part(kinds)) if v - u >= LENGTH]
+        if len(held) > 1:
+            owners = [doc[by[kinds[c]][0]] for c, _, _ in held]
+            least = least_owner([kinds[c][1][u:v] for c, u, v in held], owners)
+            for (c, u, _), own, lowest in zip(held, owners, least, strict=True):
+                hit = [u + i for i, v in enumerate(lowest) if v < own]
+                out += [(r, i, i) for r in by[kinds[c]] if doc[r] == own for i in hit]
+    if not out:
+        return
+    r, i, j = np.array(out).T
+    number = entry["slice"][r]
+    o = np.argsort(number, kind="stable")
+    r, i, j, number = r[o], i[o], j[o], number[o]
+    start = entry["first"][r]
+    cuts = [*_starts(number).tolist(), len(number)]
+    rows = [(int(number[x]), _removals(entry["row"][r[x:y]], (start + i)[x:y], (start + j + LENGTH)[x:y]).tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
 
 def _remove(digests: bool):
@@ -547,7 +577,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = placed.groupBy("slice").applyInArrow(_anchor_hashes(parts, width), "part int, slice int, hashes binary, docs binary")
     known = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_repeated(width), "slice int, blob binary")
     cuts = placed.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(_contexts(parts, width), "part int, slice int, blob binary, contexts binary")
-    found = cuts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_settle, "slice int, blob binary")
+    found = cuts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_settle(parts), "slice int, blob binary")
     last = "kept_sha256 string" if digests else "kept binary"
     out = placed.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(_remove(digests), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
     left = F.sha2("text", 256).alias("kept_sha256") if digests else F.col("text").cast("binary").alias("kept")
