@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import bound_batches, pieces, table
 
 #: Fixed values of the byte-level pre-tokenizer: the published split pattern; L, N, S stand for the Unicode
 #: properties Letter, Number and White_Space, written out as ranges (the re module is faster with these).
@@ -289,6 +289,7 @@ def _texts(batches):
 
 
 def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

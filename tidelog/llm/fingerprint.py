@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import bound_batches, pieces, table
 from .hashing import document_shingles, mix
 
 BINS, BITS = 256, 4
@@ -157,6 +157,7 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     hashes of 8 bytes a word.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rank = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
     keyed = docs.select(rank.alias("k"))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import bound_batches, pieces, table
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["other", *BASE_KINDS]
@@ -430,6 +430,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and memory are linear in a text's tokens.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    bound_batches(docs.sparkSession)
     field = train(given, train_rows)
     parts = (field.weights, field.chain, field.same, field.like)
 
