@@ -55,7 +55,7 @@ def targets(sources: DataFrame, shares: tuple = SHARES, most: float = MOST) -> D
     one aggregate over the sources, so their number doesn't matter.
     """
     weight = F.lit(list(shares))[F.pmod("number", F.lit(len(shares))).cast("int")]
-    rows = cut(ranked(sources).withColumn("weight", weight).withColumn("cap", F.lit(most) * F.col("source_size")))
+    rows = ranked(sources).withColumn("weight", weight).withColumn("cap", F.lit(most) * F.col("source_size"))
     over, level = F.lit(False), 0.0
     while True:
         # A source's cap is reached where level * weight is no less.
