@@ -604,6 +604,70 @@ def test_contexts_are_compared_by_their_bytes(spark, monkeypatch):
     assert dict(zip(out.column("doc_id").to_pylist(), out.column("n_removed").to_pylist(), strict=True)) == dict(enumerate(want)) and sum(want) > 0
 
 
+def settled(rows, monkeypatch, anchors):
+    """Removed bytes of each (key, document, context) by suffixes._removed, and the bytes that the sorter saw."""
+    seen, sort = [0], suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda text: seen.append(len(text)) or sort(text))
+    many = [len(raw) - 49 for _, _, raw in rows]
+    columns = {"key": [r[0] for r in rows], "doc": [r[1] for r in rows], "row": range(len(rows)), "slice": [0] * len(rows), "first": [0] * len(rows), "before": [raw.find(anchors.get(key, b"")) for key, _, raw in rows], "many": many}
+    out = list(suffixes._removed({c: np.array(v, np.int64) for c, v in columns.items()}, b"".join(r[2] for r in rows)))
+    monkeypatch.setattr(suffixes, "suffix_array", sort)
+    gone = [bytearray(len(r[2])) for r in rows]
+    for batch in out:
+        for blob in batch.column(1).to_pylist():
+            for row, start, stop in np.frombuffer(blob, suffixes._REMOVAL).tolist():
+                gone[row][start:stop] = b"\1" * (stop - start)
+    return gone, sum(seen)
+
+
+def owned(rows):
+    """The same from every string and the smallest document that has it."""
+    least = {}
+    for key, doc, raw in rows:
+        for s in range(len(raw) - 49):
+            w = key, raw[s : s + 50]
+            least[w] = min(doc, least.get(w, doc))
+    gone = [bytearray(len(r[2])) for r in rows]
+    for out, (key, doc, raw) in zip(gone, rows, strict=True):
+        for s in range(len(raw) - 49):
+            if least[key, raw[s : s + 50]] < doc:
+                out[s : s + 50] = b"\1" * 50
+    return gone
+
+
+def test_the_sorter_sees_what_is_shared_and_that_once(monkeypatch):
+    rng = random.Random(31)
+    noise = lambda n: bytes(rng.choices(b"abcdefgh", k=n))
+    anchor, sides = noise(20), [noise(20) for _ in range(20)]
+    # Each agrees on 40 bytes with others to the left and with others to the right, and on 50 with none.
+    rows = [(1, d, noise(9) + sides[d % 10] + anchor + sides[10 + d // 10] + noise(9)) for d in range(100)]
+    gone, sorted_bytes = settled(rows, monkeypatch, {1: anchor})
+    assert gone == owned(rows) and not any(map(any, gone)) and sorted_bytes == 0
+    # One line between neighbours that all differ, and a longer cut of it.
+    line = noise(60)
+    rows += [(2, d, noise(9) + bytes([d]) + line + bytes([d]) + noise(9)) for d in range(120, 250)] + [(2, d, noise(30) + line[:55] + noise(9)) for d in (101, 600)]
+    gone, sorted_bytes = settled(rows, monkeypatch, {1: anchor, 2: line[20:40]})
+    assert gone == owned(rows) and sum(map(any, gone)) == 131 and 0 < sorted_bytes < 200
+
+
+def test_settling_against_all_strings(monkeypatch):
+    rng = random.Random(32)
+    for turn in range(40):
+        base = [bytes(rng.choices(b"xy", k=90)) for _ in range(3)]
+        rows = []
+        for _ in range(rng.randint(0, 40)):
+            a, b = rng.choice(base), rng.choice(base)
+            cut = rng.randint(0, 90)
+            raw = (a[:cut] + b[cut:])[rng.choice([0, 0, 15, 30]) : rng.choice([90, 90, 85])]
+            rows += [(rng.randint(1, 3), rng.randint(1, 12), raw)] * rng.choice([1, 1, 2])
+            if rng.random() < 0.3:
+                rows.append((rows[-1][0], rng.randint(1, 12), raw))
+        if turn == 20:
+            monkeypatch.setattr(suffixes, "_hash_between", lambda sums, start, stop, seed: np.zeros(len(start), np.uint64))
+        monkeypatch.setattr(suffixes, "SUM_BYTES", rng.choice([1, 300, 1 << 20]))
+        assert settled(rows, monkeypatch, {})[0] == owned(rows)
+
+
 def pa_table(rows):
     import pyarrow as pa
 

@@ -22,7 +22,8 @@ string stands.
 3. Contexts of one anchor are joined to one text; its suffix array tells which of
    their strings occur in a smaller document.  Equal contexts are one context to
    the sorter, with the smallest document as its owner: a slice finds its own by
-   hash and compares their bytes, a part by their bytes.  An anchor of more than
+   hash and compares their bytes, and so does a part.  Strings that one document
+   alone has are dropped by their hashes before the sorter.  An anchor of more than
    HOT_DOCS documents is sent string by string instead, each string a key of its own.
 4. The slices remove what has been found.
 """
@@ -45,6 +46,8 @@ SLICE_BYTES = 2 << 20
 PART_BYTES = 64 << 20
 #: Bytes of contexts that a task holds unpacked.
 PASS_BYTES = 16 << 20
+#: Bytes of contexts whose strings are hashed at once.
+SUM_BYTES = 1 << 20
 HOT_DOCS = 2_000
 HOT = np.uint64(1 << 63)
 
@@ -424,36 +427,53 @@ def _merged(gone: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shared_bytes(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    low, high = 0, n
-    while high - low > 1:
-        mid = (low + high) // 2
-        if a[:mid] == b[:mid]:
-            low = mid
-        else:
-            high = mid
-    return low
-
-
-def _agreements(sides: list[bytes]) -> list[int]:
-    """For each byte string the longest prefix that it shares with another."""
-    order = sorted(range(len(sides)), key=sides.__getitem__)
-    out = [0] * len(sides)
-    for x, y in zip(order[:-1], order[1:], strict=True):
-        n = _shared_bytes(sides[x], sides[y])
-        out[x] = max(out[x], n)
-        out[y] = max(out[y], n)
-    return out
+def _sums(data: np.ndarray, head: np.ndarray, tail: np.ndarray):
+    """Contexts x to y at a time (SUM_BYTES of bytes, a longer one alone), where they begin, and running sums of their hashed bytes."""
+    x = 0
+    while x < len(head):
+        y = max(x + 1, int(np.searchsorted(tail, head[x] + SUM_BYTES, side="right")))
+        piece = data[head[x] : tail[y - 1]]
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_BYTE[piece] * powers(_P, len(piece)), out=sums[1:])
+        yield x, y, int(head[x]), sums
+        x = y
+
+
+def _hash_between(sums: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    return mix((sums[stop] - sums[start]) * powers(_P_INV, len(sums))[start] + seed)
+
 
+def _steps(many: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of many."""
+    return np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
 
-def shared_part(contexts: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
-    """Start and end of what each context of one anchor can share with another: as far as any agrees with it on either side."""
-    left = _agreements([raw[:p][::-1] for p, raw in contexts])
-    right = _agreements([raw[p:] for p, raw in contexts])
-    return [(p - a, p + b) for (p, _), a, b in zip(contexts, left, right, strict=True)]
+
+def shared_parts(data: np.ndarray, head: np.ndarray, many: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts that have a string in common with another document's of their key, and their first and last such string.
+
+    Equal strings have equal hashes, so none is lost; a string too many, by chance, is one more for the sorter.
+    """
+    h = np.empty(int(many.sum()), np.uint64)
+    ends = np.cumsum(many)
+    seed = mix(key.view(np.uint64))
+    for x, y, at, sums in _sums(data, head, head + many + LENGTH - 1):
+        start = np.repeat(head[x:y] - at, many[x:y]) + _steps(many[x:y])
+        h[ends[x] - many[x] : ends[y - 1]] = _hash_between(sums, start, start + LENGTH, np.repeat(seed[x:y], many[x:y]))
+    o = np.argsort(h)
+    h = h[o]
+    twice = np.zeros(len(h) + 1, bool)
+    twice[1:-1] = h[1:] == h[:-1]
+    twice = twice[1:] | twice[:-1]
+    o, h = o[twice], h[twice]
+    of = np.searchsorted(ends, o, side="right")
+    a, d = _starts(h), doc[of]
+    if len(a):
+        o = np.sort(o[np.repeat(np.minimum.reduceat(d, a) < np.maximum.reduceat(d, a), np.diff(np.append(a, len(h))))])
+    of = np.searchsorted(ends, o, side="right")
+    a = _starts(of)
+    c, z = of[a], np.searchsorted(of, of[a], side="right") - 1
+    base = ends[c] - many[c]
+    return c, o[a] - base, o[z] - base
 
 
 _FOUND = pa.schema([("slice", pa.int32()), ("blob", pa.binary())])
@@ -494,36 +514,75 @@ def _settle(parts: int):
     return run
 
 
+def _below(lowest: list[int], own: int) -> list[tuple[int, int]]:
+    """First and last of each run of numbers below own."""
+    out, at = [], None
+    for i, v in enumerate(lowest):
+        if v < own:
+            at = i if at is None else at
+        elif at is not None:
+            out.append((at, i - 1))
+            at = None
+    return out if at is None else [*out, (at, len(lowest) - 1)]
+
+
 def _removed(entry: dict[str, np.ndarray], contexts: bytes):
     """What some entries remove, by slice."""
-    if not len(entry["key"]):
+    tail = np.cumsum(entry["many"] + LENGTH - 1)
+    o = np.argsort(entry["key"], kind="stable")
+    n = np.diff(np.append(_starts(entry["key"][o]), len(o)))
+    live = np.sort(o[np.repeat(n > 1, n)])
+    if not len(live):
         return
-    sizes = entry["many"] + LENGTH - 1
-    ends = np.cumsum(sizes)
-    o = np.lexsort((entry["doc"], entry["key"]))
-    a = _starts(entry["key"][o])
-    n = np.diff(np.append(a, len(o)))
-    doc, before, many, tail, head = (x.tolist() for x in (entry["doc"], entry["before"], entry["many"], ends, ends - sizes))
-    out: list[tuple[int, int, int]] = []
-    for x, m in zip(a[n > 1].tolist(), n[n > 1].tolist(), strict=True):
-        by: dict[tuple[int, bytes], list[int]] = {}
-        for r in o[x : x + m].tolist():
-            by.setdefault((before[r], contexts[head[r] : tail[r]]), []).append(r)
-        for same in by.values():
-            out += [(r, 0, many[r] - 1) for r in same[1:] if doc[r] > doc[same[0]]]
-        if len(by) < 2:
-            continue
-        kinds = list(by)
-        held = [(c, u, v) for c, (u, v) in enumerate(shared_part(kinds)) if v - u >= LENGTH]
-        if len(held) > 1:
-            owners = [doc[by[kinds[c]][0]] for c, _, _ in held]
-            least = least_owner([kinds[c][1][u:v] for c, u, v in held], owners)
-            for (c, u, _), own, lowest in zip(held, owners, least, strict=True):
-                hit = [u + i for i, v in enumerate(lowest) if v < own]
-                out += [(r, i, i) for r in by[kinds[c]] if doc[r] == own for i in hit]
-    if not out:
+    key, doc, before, many, tail = (x[live] for x in (entry["key"], entry["doc"], entry["before"], entry["many"], tail))
+    head = tail - many - (LENGTH - 1)
+    data = np.frombuffer(contexts, np.uint8)
+    whole = np.empty(len(live), np.uint64)
+    for x, y, at, sums in _sums(data, head, tail):
+        whole[x:y] = _hash_between(sums, head[x:y] - at, tail[x:y] - at, many[x:y].view(np.uint64))
+    o = np.lexsort((doc, before, whole, key))
+    a = _starts(key[o], whole[o], before[o])
+    lead = np.arange(len(live))
+    lead[o] = np.repeat(o[a], np.diff(np.append(a, len(o))))
+    # Equal hashes only propose: the bytes decide. What differs goes on as a context of its own.
+    c = np.flatnonzero(lead != np.arange(len(live)))
+    differ = [contexts[u:v] != contexts[x:y] for u, v, x, y in zip(head[c].tolist(), tail[c].tolist(), head[lead[c]].tolist(), tail[lead[c]].tolist(), strict=True)]
+    lead[c[differ]] = c[differ]
+    c = np.flatnonzero(doc > doc[lead])
+    out = [np.array([c, np.zeros(len(c), np.int64), many[c] - 1])]
+    c = np.flatnonzero(lead == np.arange(len(live)))
+    at, first, last = shared_parts(data, head[c], many[c], key[c], doc[c])
+    c = c[at]
+    o = np.argsort(key[c], kind="stable")
+    c, first, last = c[o], first[o], last[o]
+    cuts = [*_starts(key[c]).tolist(), len(c)]
+    docs, texts = doc[c].tolist(), [contexts[u:v] for u, v in zip((head[c] + first).tolist(), (head[c] + last + LENGTH).tolist(), strict=True)]
+    found: list[tuple[int, int, int]] = []
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        by: dict[bytes, list[int]] = {}
+        for k in range(x, y):
+            by.setdefault(texts[k], []).append(k)
+        owners = [min(docs[k] for k in same) for same in by.values()]
+        least = least_owner(list(by), owners) if len(by) > 1 else [[owners[0]] * (len(texts[x]) - LENGTH + 1)]
+        for same, lowest in zip(by.values(), least, strict=True):
+            top = max(lowest)
+            for k in same:
+                found += [(k, 0, len(lowest) - 1)] if top < docs[k] else [(k, i, j) for i, j in _below(lowest, docs[k])]
+    if found:
+        k, i, j = np.array(found).T
+        more = np.array([c[k], first[k] + i, first[k] + j])
+        out.append(more)
+        # A document that has a context twice loses the same of both.
+        twin = np.flatnonzero((lead != np.arange(len(live))) & (doc == doc[lead]))
+        if len(twin):
+            more = more[:, np.argsort(more[0], kind="stable")]
+            u, v = np.searchsorted(more[0], lead[twin]), np.searchsorted(more[0], lead[twin], side="right")
+            more = more[:, np.repeat(u, v - u) + _steps(v - u)]
+            out.append(np.array([np.repeat(twin, v - u), more[1], more[2]]))
+    r, i, j = np.concatenate(out, axis=1)
+    if not len(r):
         return
-    r, i, j = np.array(out).T
+    r = live[r]
     number = entry["slice"][r]
     o = np.argsort(number, kind="stable")
     r, i, j, number = r[o], i[o], j[o], number[o]
