@@ -14,6 +14,11 @@ TIERS = [("t1", 1000, 2), ("t2", 5000, 2), ("t3", 30000, 1)]
 MILLIS = "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz))"
 
 
+def half_up(x: str, places: int) -> str:
+    """The double x rounded as the SQL's engine does: scaled, to the next whole number, back. Spark's own round of a double goes by its shortest decimal, which is another number at ties."""
+    return f"(round(({x}) * {10**places}D) / {10**places}D)"
+
+
 class Views:
     """DataFrames of the domain over one folder of tables; each is built when first asked for."""
 
@@ -59,7 +64,7 @@ class Views:
     @cached_property
     def jobs(self) -> DataFrame:
         return self.table("customer").selectExpr(
-            "c_custkey + 1 as job_id", "c_nationkey as group_id", "c_mktsegment as uri", "round(abs(c_acctbal) / 5000, 4) as scale", "c_custkey % 120 as worker_id", "case c_custkey % 10 when 0 then 'CANCELED' when 1 then 'FAILED' else 'RUNNING' end as state"
+            "c_custkey + 1 as job_id", "c_nationkey as group_id", "c_mktsegment as uri", f"{half_up('abs(c_acctbal) / 5000', 4)} as scale", "c_custkey % 120 as worker_id", "case c_custkey % 10 when 0 then 'CANCELED' when 1 then 'FAILED' else 'RUNNING' end as state"
         )
 
     @cached_property
