@@ -1,7 +1,9 @@
 """Fleet queries on hand-made tables."""
 
 import duckdb
+import pytest
 
+from tidelog.operators import placement
 from tidelog.plans import catalog
 
 
@@ -12,3 +14,38 @@ def test_scales_at_ties_are_rounded_as_in_sql(spark, tmp_path):
     duck.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
     got = catalog.QUERIES["overloaded_jobs"](spark, str(tmp_path)).select("worker_id", "job_id", "leaves").collect()
     assert sorted(map(tuple, got)) == sorted(duck.execute(f"SELECT worker_id, job_id, leaves FROM ({catalog.SQL['overloaded_jobs']})").fetchall())
+
+
+class Worker(int):
+    """A worker's id that counts how often it is looked up or compared."""
+
+    looks = 0
+
+    def __hash__(self):
+        Worker.looks += 1
+        return int.__hash__(self)
+
+    def __eq__(self, other):
+        Worker.looks += 1
+        return int.__eq__(self, other)
+
+
+CASES = {
+    "jobs without a worker, one each": lambda n: [(j, "u", 0.9, None) for j in range(n)],
+    "nothing merges": lambda n: [(j, "u", 0.6, Worker(j)) for j in range(n)],
+    "most merge": lambda n: [(j, "u", 0.01, Worker(j)) for j in range(n)],
+    "an idle worker and many with one job": lambda n: [(j, "u", 1.0 if j else 0.0, Worker(j)) for j in range(n)],
+    "many URIs": lambda n: [(j, f"u{j}", 0.6, Worker(j)) for j in range(n)],
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_placement_grows_with_the_jobs(case):
+    def looks(n):
+        jobs, workers = CASES[case](n), [Worker(w) for w in range(n)]
+        Worker.looks = 0
+        assert len(placement.place(jobs, workers)) == n
+        return Worker.looks
+
+    # Four times the jobs and workers: 16 times the looks if each job meets each worker.
+    assert looks(1200) < 6 * looks(300)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -46,95 +47,151 @@ def overloaded(loads: list[float], cap: float) -> list[bool]:
     return out
 
 
+class Room:
+    """Loads in a row; the last one that takes x more is found in a walk down a tree of least loads."""
+
+    def __init__(self, loads: list[float], cap: float):
+        self.cap, self.n = cap, 1 << max(len(loads) - 1, 0).bit_length()
+        self.least = [math.inf] * self.n + loads + [math.inf] * (self.n - len(loads))
+        for i in range(self.n - 1, 0, -1):
+            self.least[i] = min(self.least[2 * i], self.least[2 * i + 1])
+
+    def last(self, x: float) -> int:
+        if not self.least[1] + x < self.cap:
+            return -1
+        i = 1
+        while i < self.n:
+            i = 2 * i + (self.least[2 * i + 1] + x < self.cap)
+        return i - self.n
+
+    def add(self, at: int, x: float) -> None:
+        i = at + self.n
+        self.least[i] += x
+        while i > 1:
+            i //= 2
+            self.least[i] = min(self.least[2 * i], self.least[2 * i + 1])
+
+
 class Fleet:
-    """Where the jobs of several URIs run: one worker each, or none."""
+    """Where the jobs of several URIs run: one worker each, or none.
 
-    def __init__(self, jobs: list[tuple[int, str, float, int | None]], workers: list[int], cap: float, per_uri: int):
+    Each step is in time with the jobs and workers, times the logarithm of the workers.
+    """
+
+    def __init__(self, jobs: Iterable[tuple[int, str, float, int | None]], workers: list[int], cap: float, per_uri: int):
         self.cap, self.per_uri = cap, per_uri
         self.workers = set(workers)
-        self.job = {j: (uri, load) for j, uri, load, _ in sorted(jobs, key=lambda x: x[0])}
+        self.job: dict[int, tuple[str, float]] = {}
         # A job on a worker that is gone has none.
-        self.at = {j: w if w in self.workers else None for j, _, _, w in sorted(jobs, key=lambda x: x[0])}
-
-    def loads(self, uri: str) -> dict[int | None, float]:
-        out: dict[int | None, float] = {}
-        for j, (own, load) in self.job.items():
-            if own == uri:
-                out[self.at[j]] = out.get(self.at[j], 0.0) + load
-        return out
-
-    def uris(self) -> list[str]:
-        return sorted({uri for uri, _ in self.job.values()})
+        self.at: dict[int, int | None] = {}
+        for j, uri, load, w in sorted(jobs, key=lambda x: x[0]):
+            self.job[j] = (uri, load)
+            self.at[j] = w if w in self.workers else None
+
+    def loads(self) -> dict[str, dict[int | None, float]]:
+        """Load of each URI on each worker, URIs in order."""
+        out: dict[str, dict[int | None, float]] = {}
+        for j, (uri, load) in self.job.items():
+            own = out.setdefault(uri, {})
+            own[self.at[j]] = own.get(self.at[j], 0.0) + load
+        return dict(sorted(out.items()))
 
     def minimise(self) -> None:
         """Where a URI has more workers than it needs, the least loaded merge into the most loaded that has room.
 
         Jobs without a worker count as one, so they may draw others to be placed anew with them.
         """
-        for uri in self.uris():
-            load = self.loads(uri)
+        # A worker that has merged gets no jobs again: its jobs are where it points to.
+        merged: dict[int | None, int | None] = {}
+
+        def now(w: int | None) -> int | None:
+            path = []
+            while w in merged:
+                path.append(w)
+                w = merged[w]
+            for x in path:
+                merged[x] = w
+            return w
+
+        own: dict[str, list[int]] = {}
+        for j, (uri, _) in self.job.items():
+            own.setdefault(uri, []).append(j)
+        for _, jobs in sorted(own.items()):
+            load: dict[int | None, float] = {}
+            for j in jobs:
+                w = now(self.at[j])
+                load[w] = load.get(w, 0.0) + self.job[j][1]
             if len(load) <= self.per_uri:
                 continue
             rising = sorted(load, key=lambda w: (load[w], -1 if w is None else w))
-            for this in rising:
-                for other in reversed(rising):
-                    if other == this:
-                        break
-                    if load[other] + load[this] < self.cap:
-                        for j, w in self.at.items():
-                            if w == this:
-                                self.at[j] = other
-                        load[other] += load[this]
-                        load[this] = 0.0
-                        break
+            room = Room([load[w] for w in rising], self.cap)
+            for i, this in enumerate(rising):
+                x = room.least[i + room.n]
+                to = room.last(x)
+                if to > i:
+                    merged[this] = rising[to]
+                    room.add(to, x)
+        if merged:
+            for j, w in self.at.items():
+                self.at[j] = now(w)
 
     def pools(self) -> dict[str, dict[int, float]]:
         """Workers of each URI with its load on them, topped up to per_uri from the spare ones, newest first."""
-        out = {uri: {w: x for w, x in self.loads(uri).items() if w is not None} for uri in self.uris()}
+        out = {uri: {w: x for w, x in load.items() if w is not None} for uri, load in self.loads().items()}
         spare = self.spare(out)
         for pool in out.values():
             while len(pool) < self.per_uri and spare:
-                pool[spare.pop(0)] = 0.0
+                pool[spare.pop()] = 0.0
         return out
 
     def spare(self, pools: dict[str, dict[int, float]]) -> list[int]:
-        return sorted(self.workers - {w for pool in pools.values() for w in pool}, reverse=True)
+        """Workers of no pool; the newest is the last."""
+        return sorted(self.workers.difference(*pools.values()))
 
     def assign(self, original: dict[int, int]) -> None:
         """Jobs without a worker: the least loaded of the pool if there is room or it is idle, a spare one, the original one, the least loaded."""
         pools = self.pools()
         spare = self.spare(pools)
+        heaps = {uri: [(x, w) for w, x in pool.items()] for uri, pool in pools.items()}
+        for heap in heaps.values():
+            heapq.heapify(heap)
         for j, (uri, load) in self.job.items():
             if self.at[j] is not None:
                 continue
-            pool = pools[uri]
-            least = min(pool, key=lambda w: (pool[w], w), default=None)
+            pool, heap = pools[uri], heaps[uri]
+            # A worker that has got more since then has another entry.
+            while heap and heap[0][0] < pool[heap[0][1]]:
+                heapq.heappop(heap)
+            least = heap[0][1] if heap else None
             if least is not None and (pool[least] + load < self.cap or pool[least] == 0.0):
                 to = least
             elif spare:
-                to = spare.pop(0)
+                to = spare.pop()
             elif j in original:
                 to = original[j] if original[j] in pool else None
             else:
                 to = least
             if to is not None:
                 pool[to] = pool.get(to, 0.0) + load
+                heapq.heappush(heap, (pool[to], to))
                 self.at[j] = to
 
     def feed(self) -> dict[int, int]:
         """A URI with an idle worker gives up all jobs of its most loaded worker that has not just one; without such a one, nothing more is tried."""
+        held: dict[int | None, list[int]] = {}
+        for j, w in self.at.items():
+            held.setdefault(w, []).append(j)
         freed: dict[int, int] = {}
         for pool in self.pools().values():
             if not pool or min(pool.values()) != 0.0:
                 continue
             busy = [w for w in sorted(pool, key=lambda w: (pool[w], w), reverse=True) if pool[w] != 0.0]
-            give = next((w for w in busy if sum(at == w for at in self.at.values()) != 1), None)
+            give = next((w for w in busy if len(held.get(w, ())) != 1), None)
             if give is None:
                 return freed
-            for j, at in self.at.items():
-                if at == give:
-                    self.at[j] = None
-                    freed[j] = give
+            for j in held.pop(give, ()):
+                self.at[j] = None
+                freed[j] = give
         return freed
 
     def unload(self) -> dict[int, int]:
@@ -154,7 +211,7 @@ class Fleet:
         return freed
 
 
-def place(jobs: list[tuple[int, str, float, int | None]], workers: list[int], cap: float = 1.0, per_uri: int = 2) -> dict[int, int]:
+def place(jobs: Iterable[tuple[int, str, float, int | None]], workers: list[int], cap: float = 1.0, per_uri: int = 2) -> dict[int, int]:
     """Worker of each (job, uri, load, worker now): merge, assign, feed idle workers, unload overloaded ones, assign again."""
     fleet = Fleet(jobs, workers, cap, per_uri)
     fleet.minimise()
@@ -169,7 +226,7 @@ def place_by_pod(jobs: DataFrame, workers: DataFrame, cap: float = 1.0) -> DataF
     """(job_id, placed_on): jobs (pod, job_id, uri, scale, worker_id) of each pod on its workers (pod, worker_id)."""
 
     def one(own: pd.DataFrame, fleet: pd.DataFrame) -> pd.DataFrame:
-        made = place(list(zip(own.job_id.tolist(), own.uri.tolist(), own.scale.tolist(), own.worker_id.tolist(), strict=True)), fleet.worker_id.tolist(), cap)
+        made = place(zip(own.job_id.tolist(), own.uri.tolist(), own.scale.tolist(), own.worker_id.tolist(), strict=True), fleet.worker_id.tolist(), cap)
         return pd.DataFrame({"job_id": list(made), "placed_on": list(made.values())}, dtype="int64")
 
     left = jobs.select(F.col("pod").cast("long").alias("pod"), "job_id", "uri", "scale", "worker_id")
