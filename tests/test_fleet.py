@@ -1,5 +1,7 @@
 """Fleet queries on hand-made tables."""
 
+import time
+
 import duckdb
 import pytest
 
@@ -49,3 +51,17 @@ def test_placement_grows_with_the_jobs(case):
 
     # Four times the jobs and workers: 16 times the looks if each job meets each worker.
     assert looks(1200) < 6 * looks(300)
+
+
+def test_shadow_of_a_large_pod_is_whole_and_soon_there(spark, tmp_path):
+    # 40,000 jobs of one pod, 32,000 of them running, all without a worker and one to a worker: they meet half the workers each if the least loaded is sought anew.
+    n = 40_000
+    duckdb.execute(f"COPY (SELECT range AS c_custkey, 4 AS c_nationkey, 'u' AS c_mktsegment, 9999.0 AS c_acctbal FROM range({n})) TO '{tmp_path}/customer.parquet'")
+    duckdb.execute(f"COPY (SELECT range + 1000 AS s_suppkey, 0 AS s_nationkey FROM range({n})) TO '{tmp_path}/supplier.parquet'")
+    began = time.perf_counter()
+    got = catalog.QUERIES["shadow_rebalance"](spark, str(tmp_path)).collect()
+    assert time.perf_counter() - began < 30
+    assert sorted((r.job_id, r.worker_id) for r in got) == [(j + 1, j % 120) for j in range(n)]
+    run = {r.job_id: r.shadow_id for r in got if r.shadow_id is not None}
+    assert sorted(run) == [j + 1 for j in range(n) if j % 10 > 1]
+    assert len(set(run.values())) == len(run)
